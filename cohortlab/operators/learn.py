@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.scalars import round_even
 from cohortlab.operators.features import SEED, Encoding
 from cohortlab.session import shared_folder
+from cohortlab.spec import CohortSpec
 
 # The untuned parameters, the grid and the number of folds.
 UNTUNED = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05}
@@ -162,10 +163,13 @@ def regression_metrics(df: DataFrame, actual_log: str, predicted_log: str) -> Da
     )
 
 
-def segment_mean_scores(train: DataFrame, test: DataFrame, segment: str, actual_log: str) -> DataFrame:
+def segment_mean_scores(
+    train: DataFrame, test: DataFrame, spec: CohortSpec, actual_log: str
+) -> DataFrame:
     """Baseline: the mean logarithm of the target in the row's segment of the training part.
 
-    ``segment`` must be cleaned, so the means are at most one row per listed category.
+    Only listed segments get a mean, so the broadcast side has at most one row for each of them.
     """
-    means = train.groupBy(segment).agg(F.avg(actual_log).alias("predicted_log"))
-    return test.join(F.broadcast(means), segment)
+    listed = train.where(F.col(spec.segment).isin(*spec.segments))
+    means = listed.groupBy(spec.segment).agg(F.avg(actual_log).alias("predicted_log"))
+    return test.join(F.broadcast(means), spec.segment)

@@ -1,9 +1,10 @@
-"""Exact medians that never gather a whole group in one task.
+"""Exact medians that never gather a large group in one task.
 
-``median`` and ``percentile`` keep every distinct value of a group in one aggregation buffer. Here
-a quantile sketch only proposes intervals around the middle of each group, exact counts choose the
-narrowest interval that is proven to hold the middle ranks, and only the rows of that interval are
-counted by value and ranked. A poor proposal costs time, never correctness.
+``median`` keeps every distinct value of a group in one aggregation buffer, which is the fastest
+way for groups that are known to be small. For larger ones a quantile sketch proposes intervals
+around the middle of each group, exact counts choose the narrowest interval that is proven to hold
+the middle ranks, and only the rows of that interval are counted by value and ranked. A poor
+proposal costs time, never correctness.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 # times wider than that, the second one serves small groups, the last one is the whole group.
 ACCURACY = 100_000
 MARGINS = (0.0001, 0.05)
+# Largest group whose values may be held in one buffer: some tens of megabytes.
+BUFFERED_ROWS = 500_000
 
 
 def edge_columns(value: Column) -> list[Column]:
@@ -31,13 +34,27 @@ def edge_columns(value: Column) -> list[Column]:
 
 
 def exact_median(
-    rows: DataFrame, keys: Sequence[str], value: str, summary: DataFrame
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    summary: DataFrame,
+    buffered_rows: int = BUFFERED_ROWS,
 ) -> DataFrame:
     """``(*keys, median)`` for the groups of ``rows``.
 
-    ``summary`` has one row per group with ``edge_columns``. It must be checkpointed, so that both
-    passes see the same edges, and small enough to broadcast: callers group by listed categories.
+    ``summary`` has one row per group with ``edge_columns``. It must be checkpointed, so that the
+    counts and the interval they choose are about the same edges even when a lost task runs again,
+    and small enough to broadcast: callers group by listed categories.
     """
+    largest = summary.agg(F.max("_n")).first()[0] or 0
+    if largest <= buffered_rows:
+        return rows.groupBy(*keys).agg(F.median(value).alias("median"))
+    return _narrowed_median(rows, keys, value, summary)
+
+
+def _narrowed_median(
+    rows: DataFrame, keys: Sequence[str], value: str, summary: DataFrame
+) -> DataFrame:
     v = F.col(value)
     k = len(MARGINS)
     intervals = [(F.col("_edges")[i], F.col("_edges")[k + i]) for i in range(k)]
@@ -65,7 +82,6 @@ def exact_median(
         edges.join(F.broadcast(counts), list(keys))
         .withColumn("_pick", pick)
         .select(*keys, "_pick.lo", "_pick.hi", "_pick.below", first.alias("r1"), second.alias("r2"))
-        .checkpoint()
     )
     in_order = (
         Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -223,7 +223,7 @@ def regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.select("profile_id", "segment", F.log1p("target").alias("actual_log"))
     parts = features.split(rows, SPEC)
     scored = learn.segment_mean_scores(
-        parts.where("part = 'train'"), parts.where("part = 'test'"), "segment", "actual_log"
+        parts.where("part = 'train'"), parts.where("part = 'test'"), SPEC, "actual_log"
     )
     return learn.regression_metrics(scored, "actual_log", "predicted_log")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,24 @@ def require(df: DataFrame, spec: CohortSpec) -> DataFrame:
     return df
 
 
+def from_dicts(
+    spark: SparkSession, given: Sequence[Mapping[str, Any]], spec: CohortSpec
+) -> DataFrame:
+    """A table of a few profiles given by hand; each needs every feature. Row numbers are the ids."""
+    for profile in given:
+        missing = [c for c in spec.features if c not in profile]
+        if missing:
+            raise ValueError(f"Missing required feature: {', '.join(missing)}")
+    fields = [f for f in spec.schema if f.name in spec.features]
+    number = {T.DoubleType(): float, T.IntegerType(): int, T.LongType(): int}
+    rows = [
+        (str(i), *(number.get(f.dataType, str)(p[f.name]) if p[f.name] is not None else None for f in fields))
+        for i, p in enumerate(given)
+    ]
+    schema = T.StructType([T.StructField(spec.id, T.StringType()), *fields])
+    return spark.createDataFrame(rows, schema).select(spec.id, *spec.features)
+
+
 def profiles(df: DataFrame, spec: CohortSpec) -> DataFrame:
     """The id and the features, and nothing that is known only after the outcome."""
     return require(df, spec).select(spec.id, *spec.features)
