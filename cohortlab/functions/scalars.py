@@ -50,4 +50,5 @@ def hash_bucket(key: Column, seed: int, buckets: int) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """Text with a fixed number of digits, rounded like every other figure here; null stays null."""
-    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", round_even(value, digits)))
+    pattern = F.lit("0." + "0" * digits)
+    return F.call_function("format_number", round_even(value, digits), pattern)

@@ -61,9 +61,9 @@ def explain(
 
 def factors_long(explained: DataFrame, spec: CohortSpec) -> DataFrame:
     """One row per main factor: ``(id, rank, feature, value, score)``."""
-    return explained.select(
-        spec.id, F.posexplode("top_factors").alias("pos", "factor")
-    ).select(
+    # The outer form, as the inner one would build the array a second time to filter empty ones.
+    each = explained.select(spec.id, F.posexplode_outer("top_factors").alias("pos", "factor"))
+    return each.where(F.col("pos").isNotNull()).select(
         spec.id,
         (F.col("pos") + 1).alias("rank"),
         "factor.feature",

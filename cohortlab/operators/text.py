@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from cohortlab.functions.names import display_name
 from cohortlab.functions.scalars import fixed, round_even
 from cohortlab.operators.cohorts import overview
-from cohortlab.operators.whatif import gains_per_profile
+from cohortlab.operators.whatif import by_lever, gains_per_profile
 from cohortlab.spec import CohortSpec
 
 EXPLAIN_SYSTEM = "You explain predicted outcomes to the person they are about. Be brief, concrete and kind."
@@ -85,15 +85,12 @@ def importance_text(importance: DataFrame) -> DataFrame:
 
 def advice_text(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
     """Profile, base value and the eight largest gains of each profile, also without any gain."""
-    labels = F.create_map(
-        *(F.lit(x) for f in sorted({lv.feature for lv in spec.levers}) for x in (f, display_name(spec, f)))
-    )
-    with_lines = df.select(spec.id, *spec.features, profile_lines(df, spec).alias("_profile"))
-    gathered = gains_per_profile(with_lines, model, spec, "_profile")
+    labels = [display_name(spec, lever.feature) for lever in spec.levers]
+    gathered = gains_per_profile(df, model, spec)
     best = F.transform(
         F.slice("gains", 1, TOP_GAINS),
         lambda g: F.concat(
-            F.lit("- "), F.element_at(labels, g["feature"]), F.lit(": "),
+            F.lit("- "), by_lever(labels, g), F.lit(": "),
             fixed(g["current_value"], 2), F.lit(" to "), fixed(g["improved_value"], 2),
             F.lit(", gain "), fixed(g["gain"], 2),
         ),
@@ -102,7 +99,7 @@ def advice_text(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFr
         F.lit("Predicted value: "),
         fixed(F.col("base_value"), 2),
         F.lit(f" {spec.unit}\nProfile:\n"),
-        F.col("_profile"),
+        profile_lines(gathered, spec),
         F.lit("\nLargest gains:\n"),
         F.when(F.size("gains") > 0, F.array_join(best, "\n")).otherwise("none"),
         F.lit("\nGive three or four steps in order of priority."),

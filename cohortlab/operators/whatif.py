@@ -1,11 +1,13 @@
 """What-if gains: change one feature of a profile, score it again, rank the gains.
 
-The base score is a column of the profile before its scenarios are laid out below it, so nothing
-has to be joined back, and all scenarios of all profiles are scored by one transform.
+Each profile is laid out as one row per change plus one unchanged row, so all profiles and changes
+are scored by a single transform, and the unchanged row brings the base value without a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,77 +41,95 @@ def new_value(lever: Lever) -> Column:
     return F.when(applies, changed)
 
 
-def scenarios(df: DataFrame, spec: CohortSpec, *keep: str) -> DataFrame:
-    """One row per profile and applicable lever, with the features after the change."""
+BASE = -1
+
+
+def scenarios(df: DataFrame, spec: CohortSpec) -> DataFrame:
+    """One row per profile and applicable lever, with the features after the change.
+
+    ``lever_order`` is the position of the lever, or ``BASE`` on the row without any change.
+    """
+    nothing = F.lit(None).cast("double")
     tries = [
         F.struct(
-            F.lit(lever.name).alias("lever"),
-            F.lit(order).alias("lever_order"),
-            F.lit(lever.feature).alias("feature"),
-            F.coalesce(F.col(lever.feature).cast("double"), F.lit(0.0)).alias("current"),
-            new_value(lever).alias("improved"),
+            F.lit(BASE).alias("lever_order"), F.lit("").alias("moved"), nothing.alias("improved")
         )
-        for order, lever in enumerate(spec.levers)
     ]
-    laid_out = df.select(spec.id, *spec.features, *keep, F.inline(F.array(*tries)))
+    for order, lever in enumerate(spec.levers):
+        tries.append(
+            F.struct(
+                F.lit(order).alias("lever_order"), F.lit(lever.feature).alias("moved"),
+                new_value(lever).alias("improved"),
+            )
+        )
     changed = {
-        c: F.when(F.col("feature") == c, F.col("improved")).otherwise(F.col(c).cast("double"))
+        c: F.when(F.col("moved") == c, F.col("improved")).otherwise(F.col(c).cast("double"))
         for c in spec.scalars
     }
-    return laid_out.where(F.col("improved").isNotNull()).withColumns(changed)
-
-
-def scored_scenarios(
-    df: DataFrame, model: PipelineModel, spec: CohortSpec, *keep: str
-) -> DataFrame:
-    """Every scenario with ``gain``, the unrounded difference of the two rounded predictions."""
-    base = model.transform(require(df, spec)).select(
-        spec.id, *spec.features, *keep, F.col("predicted_value").alias("base_value")
-    )
-    again = model.transform(scenarios(base, spec, "base_value", *keep))
-    return again.select(
-        spec.id, *keep, "base_value", "lever", "lever_order", "feature", "current", "improved",
-        (F.col("predicted_value") - F.col("base_value")).alias("gain"),
+    return (
+        df.select(spec.id, *spec.features, F.inline(F.array(*tries)))
+        .where((F.col("lever_order") == BASE) | F.col("improved").isNotNull())
+        .withColumns(changed)
     )
 
 
-def gains_per_profile(
-    df: DataFrame, model: PipelineModel, spec: CohortSpec, *keep: str
-) -> DataFrame:
-    """``gains`` of each profile, largest first, ties in the order of the levers.
+def gains_per_profile(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
+    """The profiles with ``base_value`` and ``gains``, largest first, ties in the order of the levers.
 
-    A profile has at most one entry per lever and stays when it has none. Its scenarios lie next
-    to each other, so map-side aggregation leaves one row per profile before any shuffle, and when
-    ``df`` is already partitioned by the id, as after a join on it, there is no shuffle at all.
-    The threshold sits inside the aggregate: as a filter it would make Spark score twice.
+    A profile has at most one entry per lever and stays when it has none. The scenarios are brought
+    back to one row by plain maxima of fixed width, one per lever, which need neither sorting nor
+    collecting. They lie next to each other, so map-side aggregation leaves one row per profile
+    before any shuffle, and when ``df`` is already partitioned by the id, as after a join on it,
+    there is no shuffle at all.
     """
-    gain = round_even(F.col("gain"), 2)
-    entry = F.struct(
-        (-gain).alias("k"),
-        F.col("lever_order").alias("o"),
-        "lever",
-        "feature",
-        round_even(F.col("current"), 2).alias("current_value"),
-        round_even(F.col("improved"), 2).alias("improved_value"),
-        gain.alias("gain"),
-    )
-    return (
-        scored_scenarios(df, model, spec, *keep)
-        .groupBy(spec.id)
+    order, value = F.col("lever_order"), F.col("predicted_value")
+    kinds = {f.name: f.dataType for f in df.schema}
+    wide = (
+        model.transform(scenarios(require(df, spec), spec))
+        .groupBy(spec.id, spec.segment)
         .agg(
-            *(F.first(c).alias(c) for c in ("base_value", *keep)),
-            F.sort_array(F.collect_list(F.when(F.col("gain") > MIN_GAIN, entry))).alias("gains"),
+            F.max(F.when(order == BASE, value)).alias("base_value"),
+            *(F.max(F.when(order == i, value)).alias(f"_v{i}") for i in range(len(spec.levers))),
+            *(F.max(F.when(order == BASE, F.col(c))).cast(kinds[c]).alias(c) for c in spec.scalars),
         )
     )
+    entries = []
+    for i, lever in enumerate(spec.levers):
+        # The threshold is on the difference of two rounded predictions before it is rounded again.
+        raw = F.col(f"_v{i}") - F.col("base_value")
+        current = F.coalesce(F.col(lever.feature).cast("double"), F.lit(0.0))
+        entries.append(
+            F.when(
+                raw > MIN_GAIN,
+                F.struct(
+                    round_even(raw, 2).alias("gain"),
+                    F.lit(-i).alias("tie"),
+                    round_even(current, 2).alias("current_value"),
+                    round_even(new_value(lever), 2).alias("improved_value"),
+                ),
+            )
+        )
+    best_first = F.array_compact(F.sort_array(F.array(*entries), asc=False))
+    return wide.select(spec.id, *spec.features, "base_value", best_first.alias("gains"))
+
+
+def by_lever(values: Sequence[str], gain: Column) -> Column:
+    """The text of ``values`` that belongs to the lever of an entry of ``gains``."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), 1 - gain["tie"])
 
 
 def whatif_gains(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
     """One row per gain above one hundredth, with its rank within the profile."""
-    each = gains_per_profile(df, model, spec).select(
-        spec.id, F.posexplode("gains").alias("pos", "g")
+    # The outer form, as the inner one would build the array a second time to filter empty ones.
+    each = (
+        gains_per_profile(df, model, spec)
+        .select(spec.id, F.posexplode_outer("gains").alias("pos", "g"))
+        .where(F.col("pos").isNotNull())
     )
     return each.select(
         spec.id,
-        *(F.col(f"g.{c}").alias(c) for c in ("lever", "feature", "current_value", "improved_value", "gain")),
+        by_lever([lever.name for lever in spec.levers], F.col("g")).alias("lever"),
+        by_lever([lever.feature for lever in spec.levers], F.col("g")).alias("feature"),
+        *(F.col(f"g.{c}").alias(c) for c in ("current_value", "improved_value", "gain")),
         (F.col("pos") + 1).alias("rank"),
     )

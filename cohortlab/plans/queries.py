@@ -53,13 +53,21 @@ def report_rows(spark: SparkSession, folder: str) -> DataFrame:
     return stage(rows.select("segment", "tier", "converted", "target"), "report")
 
 
-def fitted(df: DataFrame) -> features.Encoding:
-    return features.fit_encoding(clean.converted_only(df, SPEC), SPEC)
+_ENCODINGS: dict[tuple[str, str], features.Encoding] = {}
 
 
-def fixed_model(df: DataFrame) -> tuple[PipelineModel, features.Encoding]:
-    encoding = fitted(df)
-    return learn.weighted_sum(encoding, WEIGHTS, INTERCEPT), encoding
+def fitted(spark: SparkSession, folder: str) -> features.Encoding:
+    """The encoding of this folder's converted rows; like a saved model it is fitted once per
+    application, so that a query that scores reads its rows a single time."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _ENCODINGS:
+        rows = clean.converted_only(customers.cohort(spark, folder), SPEC)
+        _ENCODINGS[key] = features.fit_encoding(rows, SPEC)
+    return _ENCODINGS[key]
+
+
+def fixed_model(spark: SparkSession, folder: str) -> PipelineModel:
+    return learn.weighted_sum(fitted(spark, folder), WEIGHTS, INTERCEPT)
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -110,13 +118,13 @@ def clean_category(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def outcome_mask(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    return rounded(features.prepare_all(df, fitted(df)), 6)
+    return rounded(features.prepare_all(df, fitted(spark, folder)), 6)
 
 
 @query
 def label_features(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and deviation of every encoded column under its display name."""
-    encoding = fitted(customers.cohort(spark, folder))
+    encoding = fitted(spark, folder)
     rows = list(zip(encoding.names, encoding.means, encoding.deviations, strict=True))
     stats = spark.createDataFrame(rows, "feature string, mean double, deviation double")
     return rounded(with_labels(stats, SPEC), 6, "mean", "deviation").select(
@@ -127,7 +135,7 @@ def label_features(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def value_bands(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    scored = score.predict(df, fixed_model(df)[0], SPEC)
+    scored = score.predict(df, fixed_model(spark, folder), SPEC)
     banded = clean.value_bands(scored, SPEC, "predicted_value")
     return banded.select("profile_id", "predicted_value", "band", "value_in_units")
 
@@ -195,19 +203,19 @@ def category_domain(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    return features.one_hot(df, fitted(df))
+    return features.one_hot(df, fitted(spark, folder))
 
 
 @query
 def standardize(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    return rounded(features.standardize(df, fitted(df)), 6)
+    return rounded(features.standardize(df, fitted(spark, folder)), 6)
 
 
 @query
 def training_set(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    rows = features.training_set(df, fitted(df))
+    rows = features.training_set(df, fitted(spark, folder))
     return features.split(rounded(rounded(rows, 6), 6, "label"), SPEC)
 
 
@@ -234,14 +242,13 @@ def regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    scored = score.predict(df, fixed_model(df)[0], SPEC)
+    scored = score.predict(df, fixed_model(spark, folder), SPEC)
     return rounded(scored.select("profile_id", "segment_clean", "predicted_log", "predicted_value"), 4, "predicted_log")
 
 
 def _explained(spark: SparkSession, folder: str) -> DataFrame:
-    df = customers.cohort(spark, folder)
-    model, encoding = fixed_model(df)
-    return score.explain(df, model, encoding.names, IMPORTANCE, SPEC)
+    model, names = fixed_model(spark, folder), fitted(spark, folder).names
+    return score.explain(customers.cohort(spark, folder), model, names, IMPORTANCE, SPEC)
 
 
 @query
@@ -252,7 +259,7 @@ def top_factors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def whatif_gains(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    return whatif.whatif_gains(df, fixed_model(df)[0], SPEC)
+    return whatif.whatif_gains(df, fixed_model(spark, folder), SPEC)
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,7 +267,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     pairs = customers.read(spark, folder, "customer").select(key.alias("a"), (key + 1).alias("b"))
     df = customers.cohort(spark, folder)
-    scored = score.predict(df, fixed_model(df)[0], SPEC)
+    scored = score.predict(df, fixed_model(spark, folder), SPEC)
     # Both sides of the pairs read the scores, so they are written once.
     scored = stage(scored.select("profile_id", "segment", "acctbal", "predicted_value"), "scores")
     return score.pair_comparison(pairs, scored, SPEC, ["segment", "acctbal"])
@@ -282,7 +289,7 @@ def explain_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def advice_text(spark: SparkSession, folder: str) -> DataFrame:
     df = customers.cohort(spark, folder)
-    return text.advice_text(df, fixed_model(df)[0], SPEC)
+    return text.advice_text(df, fixed_model(spark, folder), SPEC)
 
 
 @query
@@ -366,12 +373,11 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
 @query
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as they arrive, joined with their order facts and scored."""
-    model = fixed_model(customers.cohort(spark, folder))[0]
-    facts = stage(customers.order_facts(customers.read(spark, folder, "orders")).drop("last_priority"), "facts")
+    model = fixed_model(spark, folder)
+    facts = stage(customers.order_facts(customers.read(spark, folder, "orders")), "facts")
     schema = customers.read(spark, folder, "customer").schema
     arriving = streams.file_stream(spark, folder, "customer.parquet", schema)
-    raw = customers.raw_profiles(arriving, facts.withColumn("last_priority", F.lit(None).cast("string")))
-    profiles = tables.profiles(customers.finish(raw), SPEC)
+    profiles = tables.profiles(customers.finish(customers.raw_profiles(arriving, facts)), SPEC)
     return rounded(_drain(streams.score_stream(profiles, model, SPEC), "scores"), 4, "predicted_log")
 
 

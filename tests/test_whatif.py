@@ -79,24 +79,44 @@ def test_equals_scoring_one_change_at_a_time(spark, graduates, which, request):
     assert got == want and len(got) > 40
 
 
+def tries(df, spec=G):
+    """Scenarios by the name of the lever."""
+    rows = whatif.scenarios(df, spec).collect()
+    assert sum(r["lever_order"] == whatif.BASE for r in rows) == df.count()
+    return {spec.levers[r["lever_order"]].name: r for r in rows if r["lever_order"] != whatif.BASE}
+
+
 def test_levers_that_do_not_apply(make):
     df = make({f: 1 for f in G.binary} | {"college_tier": 1, "internships": 5, "projects": 10, "backlogs": 0})
-    rows = {r["lever"]: r for r in whatif.scenarios(df, G).collect()}
+    rows = tries(df)
     assert set(rows) == {f"{c}_up" for c in G.numeric}
     assert rows["backlogs_up"]["improved"] == 0.5
     assert rows["projects_up"]["improved"] == 11.0
 
 
 def test_missing_flag_counts_as_off(make):
-    rows = {r["lever"]: r for r in whatif.scenarios(make({"ml_skill": None}), G).collect()}
-    assert rows["ml_skill_on"]["current"] == 0.0 and rows["ml_skill_on"]["ml_skill"] == 1.0
+    rows = tries(make({"ml_skill": None}))
+    assert rows["ml_skill_on"]["ml_skill"] == 1.0
+
+
+def test_gains_keep_the_profile_and_its_types(make, graduates):
+    encoding = features.fit_encoding(graduates.where("placed = 1"), G)
+    rising = learn.weighted_sum(encoding, {"ml_skill": 0.5, "projects": 0.5}, 3.9)
+    df = make({"ml_skill": None, "projects": 4})
+    filled = df.na.fill(0, ["ml_skill"])
+    row = whatif.gains_per_profile(filled, rising, G).first()
+    assert row["projects"] == 4 and isinstance(row["projects"], int) and row["branch"] == "CSE"
+    assert {g["improved_value"] for g in row["gains"]} == {1.0, 4.5, 5.0}
+    assert [g["gain"] for g in row["gains"]] == sorted((g["gain"] for g in row["gains"]), reverse=True)
 
 
 def test_each_scenario_changes_one_feature(graduates):
-    tries = whatif.scenarios(graduates, G).alias("t").join(graduates.alias("g"), "student_id")
+    laid_out = whatif.scenarios(graduates, G).alias("t").join(graduates.alias("g"), "student_id")
     changed = sum((~F.col(f"t.{c}").eqNullSafe(F.col(f"g.{c}"))).cast("int") for c in G.features)
-    assert tries.where(changed != 1).count() == 0
-    assert tries.groupBy("student_id").count().agg(F.max("count")).first()[0] <= 16
+    wanted = F.when(F.col("lever_order") == whatif.BASE, 0).otherwise(1)
+    assert laid_out.where(changed != wanted).count() == 0
+    # At most sixteen levers and the base row.
+    assert laid_out.groupBy("student_id").count().agg(F.max("count")).first()[0] <= 17
 
 
 def test_no_gain_is_dropped(make, graduates):
@@ -104,6 +124,9 @@ def test_no_gain_is_dropped(make, graduates):
     flat = learn.weighted_sum(encoding, {"cgpa": 0.0}, 3.0)
     assert whatif.whatif_gains(graduates, flat, G).count() == 0
     assert whatif.gains_per_profile(graduates, flat, G).count() == 800
+    # Also a profile to which no lever applies at all keeps its base value.
+    none = replace(G, levers=(Lever("x", "cgpa", "add", 1.0, above=99.0),))
+    assert whatif.gains_per_profile(make({}), flat, none).first()["base_value"] > 0
 
 
 def test_cap_and_direction(make):
@@ -112,10 +135,10 @@ def test_cap_and_direction(make):
         Lever("fewer_backlogs", "backlogs", "add", -1.0, above=0.0),
     )
     spec = replace(G, levers=levers)
-    rows = whatif.scenarios(make({"cgpa": 9.8, "backlogs": 2}, {"cgpa": 10.0, "backlogs": 0}), spec).collect()
-    assert [(r["student_id"], r["lever"], r["improved"]) for r in rows] == [
+    both = make({"cgpa": 9.8, "backlogs": 2}, {"cgpa": 10.0, "backlogs": 0})
+    assert {(r["student_id"], name, r["improved"]) for name, r in tries(both, spec).items()} == {
         ("T0", "cgpa_capped", 10.0), ("T0", "fewer_backlogs", 1.0),
-    ]
+    }
     with pytest.raises(ValueError, match="unknown rule"):
         whatif.scenarios(make({}), replace(G, levers=(Lever("x", "cgpa", "halve", 1.0),)))
 
@@ -125,5 +148,5 @@ def test_no_shuffle_when_partitioned_by_id_and_one_score_per_scenario(graduates,
     plan = whatif.whatif_gains(placed, trees, G)._jdf.queryExecution().optimizedPlan().toString()
     physical = whatif.whatif_gains(placed, trees, G)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange") == 1
-    # Assembling and predicting, once for the base row and once for the scenario row.
-    assert plan.count("UDF(") == 4
+    # Assembling and predicting, each once.
+    assert plan.count("UDF(") == 2
