@@ -109,15 +109,16 @@ def fit_encoding(df: DataFrame, spec: CohortSpec) -> Encoding:
 
 
 def one_hot(df: DataFrame, encoding: Encoding) -> DataFrame:
-    """The id and the encoded columns in feature order."""
+    """The id and the encoded columns in feature order, after the clean-up done before a fit."""
     columns = (f"{sql} AS `{name}`" for name, sql in encoding.encoded_sql().items())
-    return df.selectExpr(f"`{encoding.spec.id}`", *columns)
+    return listed_category(df, encoding.spec).selectExpr(f"`{encoding.spec.id}`", *columns)
 
 
 def standardize(df: DataFrame, encoding: Encoding, *keep: str) -> DataFrame:
     """The id, the columns to keep, and the standardised columns as ``z_<feature>``."""
     columns = (f"{sql} AS `z_{name}`" for name, sql in encoding.scaled_sql().items())
-    return df.selectExpr(f"`{encoding.spec.id}`", *(f"`{c}`" for c in keep), *columns)
+    rows = listed_category(df, encoding.spec)
+    return rows.selectExpr(f"`{encoding.spec.id}`", *(f"`{c}`" for c in keep), *columns)
 
 
 def training_set(df: DataFrame, encoding: Encoding) -> DataFrame:

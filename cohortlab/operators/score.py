@@ -47,12 +47,14 @@ def explain(
     names: Sequence[str],
     importance: Sequence[tuple[str, float]],
     spec: CohortSpec,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Per row: predicted value, its logarithm with four digits, and the main factors."""
     scored = model.transform(require(df, spec))
     return scored.select(
         spec.id,
         *spec.features,
+        *keep,
         "predicted_value",
         round_even(F.col("predicted_log"), 4).alias("predicted_log"),
         main_factors(importance, names).alias("top_factors"),

@@ -18,9 +18,11 @@ from cohortlab.spec import GRADUATES, CohortSpec
 
 
 def scores(df: DataFrame, bundle: Bundle, spec: CohortSpec) -> DataFrame:
-    """One narrow pass: value, logarithm, main factors, band and value in base units."""
+    """One narrow pass: filled features, value, logarithm, main factors, band, value in base units."""
     filled = default_fill(tables.profiles(df, spec), spec)
-    explained = explain(filled, bundle.model, bundle.feature_names, bundle.importance, spec)
+    explained = explain(
+        filled, bundle.model, bundle.feature_names, bundle.importance, spec, ["n_filled"]
+    )
     return value_bands(explained, spec, "predicted_value")
 
 
@@ -33,7 +35,6 @@ def main() -> None:
     spark = SparkSession.builder.appName("cohortlab-score").getOrCreate()
     df = tables.read_csv(spark, given.input, GRADUATES)
     scores(df, bundles.load(spark, given.model), GRADUATES).write.parquet(given.output)
-    spark.stop()
 
 
 if __name__ == "__main__":

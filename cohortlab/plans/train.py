@@ -9,13 +9,13 @@ import argparse
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators import features, learn
 from cohortlab.operators.clean import converted_only, default_fill
-from cohortlab.session import stage
+from cohortlab.plans.compare import cached
+from cohortlab.session import staged
 from cohortlab.sources import bundle as bundles
 from cohortlab.sources import tables
 from cohortlab.spec import GRADUATES, CohortSpec
@@ -36,26 +36,26 @@ def train(
     out of them. ``params`` replace the fixed parameters of an untuned fit.
     """
     rows = converted_only(default_fill(tables.require(df, spec), spec), spec)
-    rows = features.split(rows.select(spec.id, spec.target, *spec.features), spec)
-    # Read twice per tree level, so written once and kept near the tasks while it is used.
-    rows = stage(rows, "converted")
+    rows = features.listed_category(rows.select(spec.id, spec.target, *spec.features), spec)
+    rows = features.split(rows, spec)
     train_part = F.col("part") == "train"
-    encoding = features.fit_encoding(rows if fit_scope == "all" else rows.where(train_part), spec)
-
-    learning = learn.learning_rows(features.folds(rows.where(train_part), spec, folds), encoding, "fold")
-    learning = learning.persist(StorageLevel.MEMORY_AND_DISK)
     table: list[dict[str, Any]] = []
-    try:
-        if tune:
-            trees, table = learn.tune_trees(learning, grid, folds)
-        else:
-            trees = learn.fit_trees(learning.select("features", "label"), **params)
-    finally:
-        learning.unpersist()
-
-    model = learn.scoring_model(encoding, trees)
-    tested = model.transform(rows.where(~train_part)).withColumn("actual_log", F.log1p(spec.target))
-    metrics = learn.regression_metrics(tested, "actual_log", "predicted_log").first().asDict()
+    # The fit of the encoding, the trees and the evaluation all read these rows: written once, and
+    # the encoded training part stays cached while trees are grown, one pass per level.
+    with staged(rows, "converted") as rows:
+        in_scope = rows if fit_scope == "all" else rows.where(train_part)
+        encoding = features.fit_encoding(in_scope, spec)
+        folded = features.folds(rows.where(train_part), spec, folds)
+        with cached(learn.learning_rows(folded, encoding, "fold")) as learning:
+            if tune:
+                trees, table = learn.tune_trees(learning, grid, folds)
+            else:
+                trees = learn.fit_trees(learning.select("features", "label"), **params)
+        model = learn.scoring_model(encoding, trees)
+        tested = model.transform(rows.where(~train_part)).withColumn(
+            "actual_log", F.log1p(spec.target)
+        )
+        metrics = learn.regression_metrics(tested, "actual_log", "predicted_log").first().asDict()
     return learn.Bundle(
         model,
         encoding.names,
@@ -71,12 +71,13 @@ def main() -> None:
     args.add_argument("--input", required=True, help="CSV file or folder with a header line")
     args.add_argument("--output", required=True, help="folder for the model, shared by all executors")
     args.add_argument("--no-tune", action="store_true", help="use the fixed parameters")
+    args.add_argument("--trees", type=int, help="number of trees of an untuned fit")
     given = args.parse_args()
     spark = SparkSession.builder.appName("cohortlab-train").getOrCreate()
     df = tables.read_csv(spark, given.input, GRADUATES)
-    fitted = train(df, GRADUATES, tune=not given.no_tune)
+    params = {"maxIter": given.trees} if given.trees else {}
+    fitted = train(df, GRADUATES, tune=not given.no_tune, **params)
     bundles.save(spark, fitted, GRADUATES, given.output)
-    spark.stop()
 
 
 if __name__ == "__main__":

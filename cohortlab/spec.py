@@ -89,13 +89,14 @@ def _schema(spec: str) -> T.StructType:
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])
 
 
+# The column names of a graduate table and their order.
 _GRADE_NUMERIC = (
     "cgpa", "coding_score", "communication_score", "aptitude_score", "internships",
     "projects", "backlogs", "resume_score", "skill_score",
 )
 _GRADE_FLAGS = ("python_skill", "dsa_skill", "ml_skill", "web_dev_skill")
 
-# Column names, category list, limits, defaults, band edges and lever limits.
+# Column names and roles, category list, limits, defaults, band edges, lever limits.
 GRADUATES = CohortSpec(
     id="student_id",
     target="salary_lpa",

@@ -49,6 +49,16 @@ def test_only_seen_categories_are_fitted(make):
     assert [(r["branch_EEE"], r["branch_IT"]) for r in hot] == [(0, 0), (0, 0), (0, 1)]
 
 
+def test_unlisted_categories_differ_before_a_fit_and_in_scoring(make):
+    """Before a fit they count as the given default, in scoring as the first fitted category."""
+    spec = replace(G, default_segment="IT")
+    encoding = features.fit_encoding(make({"branch": "ECE"}, {"branch": "IT"}, {"branch": "Physics"}), spec)
+    assert encoding.categories == ("ECE", "IT") and encoding.means[0] == 2 / 3
+    odd = make({"branch": "Physics"})
+    assert features.one_hot(odd, encoding).first()["branch_IT"] == 1.0
+    assert odd.selectExpr(f"{encoding.clean_sql()} AS c").first()["c"] == "ECE"
+
+
 def test_zero_variance_is_only_centred(make):
     encoding = features.fit_encoding(make({"cgpa": 7.0}, {"cgpa": 7.0}), G)
     z = features.standardize(make({"cgpa": 7.0}, {"cgpa": 9.0}), encoding).orderBy("student_id").collect()

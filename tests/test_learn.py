@@ -11,6 +11,7 @@ from cohortlab.operators import features, learn, score
 from cohortlab.plans.score import scores
 from cohortlab.plans.train import train
 from cohortlab.sources import bundle as bundles
+from cohortlab.sources import tables
 
 TREES = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.4}
 
@@ -125,3 +126,11 @@ def test_scoring_is_one_narrow_pass(spark, fitted, graduates, tmp_path):
     plan = scores(spark.read.parquet(path), fitted, G)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "salary_lpa" not in plan and "job_role" not in plan
+
+
+def test_one_profile_given_by_hand(spark, fitted):
+    low, high = ({**G.defaults, "skill_score": s} for s in (0, 4))
+    rows = scores(tables.from_dicts(spark, [low, high], G), fitted, G).orderBy("student_id").collect()
+    assert rows[0]["predicted_value"] < rows[1]["predicted_value"]
+    assert rows[1]["predicted_log"] == round(rows[1]["predicted_log"], 4)
+    assert rows[0]["top_factors"][0]["feature"] == "skill_score"
