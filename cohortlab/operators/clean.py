@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import band, known_category, starts_with_any
@@ -42,22 +42,27 @@ def default_fill(df: DataFrame, spec: CohortSpec, defaults: dict | None = None)
 
 
 def range_violations(df: DataFrame, spec: CohortSpec) -> DataFrame:
-    """One row per value outside its allowed range: ``(id, rule, value, low, high)``."""
-    checks = []
-    for feature, (low, high) in spec.ranges.items():
-        value = F.col(feature).cast("double")
-        checks.append(
-            F.struct(
-                F.lit(feature).alias("rule"),
-                value.alias("value"),
-                F.lit(float(low)).alias("low"),
-                F.lit(float(high)).alias("high"),
-            )
+    """One row per value outside its allowed range: ``(id, rule, value, low, high)``.
+
+    A segment that is not listed is reported without value and limits. Missing values are no
+    violation, ``default_fill`` counts those.
+    """
+
+    def rule(name: str, value: Column, low: float | None, high: float | None, bad: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("rule"),
+            value.cast("double").alias("value"),
+            F.lit(low).cast("double").alias("low"),
+            F.lit(high).cast("double").alias("high"),
+            bad.alias("bad"),
         )
-    return (
-        df.select(spec.id, F.inline(F.array(*checks)))
-        .where(~F.col("value").between(F.col("low"), F.col("high")))
-    )
+
+    segment = F.col(spec.segment)
+    rules = [rule(spec.segment, F.lit(None), None, None, ~segment.isin(*spec.segments))]
+    for feature, (low, high) in spec.ranges.items():
+        value = F.col(feature)
+        rules.append(rule(feature, value, low, high, ~value.between(low, high)))
+    return df.select(spec.id, F.inline(F.array(*rules))).where("bad").drop("bad")
 
 
 def value_bands(df: DataFrame, spec: CohortSpec, value: str) -> DataFrame:

@@ -128,9 +128,15 @@ def test_default_fill_counts_what_it_fills(make):
 
 
 def test_range_violations(make):
-    df = make({"cgpa": 4.9, "projects": 16}, {"cgpa": 5.0, "projects": 15}, {"cgpa": None})
+    df = make(
+        {"cgpa": 4.9, "projects": 16}, {"cgpa": 5.0, "projects": 15}, {"cgpa": None, "branch": None},
+        {"branch": "Physics"},
+    )
     rows = clean.range_violations(df, G).collect()
-    assert {(r["student_id"], r["rule"], r["value"]) for r in rows} == {("T0", "cgpa", 4.9), ("T0", "projects", 16.0)}
+    assert {tuple(r) for r in rows} == {
+        ("T0", "cgpa", 4.9, 5.0, 10.0), ("T0", "projects", 16.0, 0.0, 15.0),
+        ("T3", "branch", None, None, None),
+    }
 
 
 @pytest.mark.parametrize(
