@@ -378,7 +378,8 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     schema = customers.read(spark, folder, "customer").schema
     arriving = streams.file_stream(spark, folder, "customer.parquet", schema)
     profiles = tables.profiles(customers.finish(customers.raw_profiles(arriving, facts)), SPEC)
-    return rounded(_drain(streams.score_stream(profiles, model, SPEC), "scores"), 4, "predicted_log")
+    scored = _drain(streams.score_stream(profiles, model, SPEC), "scores")
+    return rounded(scored.drop("n_filled"), 4, "predicted_log")
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from cohortlab.operators.clean import default_fill
 from cohortlab.operators.score import predict
 from cohortlab.operators.text import chat_context
 from cohortlab.spec import CohortSpec
@@ -33,7 +34,10 @@ def start(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> St
 
 
 def score_stream(profiles: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
-    return predict(profiles, model, spec).select(spec.id, "predicted_log", "predicted_value")
+    """Missing features get their defaults, as one incomplete row must not end the stream."""
+    filled = default_fill(profiles, spec)
+    scored = predict(filled, model, spec)
+    return scored.select(spec.id, "predicted_log", "predicted_value", "n_filled")
 
 
 def context_stream(turns: DataFrame, sentence: Column) -> DataFrame:

@@ -25,6 +25,17 @@ def test_stream_scores_equal_batch_scores(spark, graduates, tmp_path):
     assert run() == batch.orderBy("student_id").collect()
 
 
+def test_incomplete_rows_are_filled(spark, graduates, make, tmp_path):
+    model = train(graduates, G, tune=False, maxIter=3, maxDepth=3).model
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    make({"cgpa": None, "branch": None}, {}).write.parquet(folder)
+    arriving = streams.file_stream(spark, folder, "*.parquet", G.schema)
+    streams.start(streams.score_stream(arriving, model, G), out, state).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("student_id").collect()
+    assert [r["n_filled"] for r in rows] == [2, 0]
+    assert rows[0]["predicted_value"] == rows[1]["predicted_value"]
+
+
 def test_context_stream_equals_batch(spark, graduates, tmp_path):
     turns = spark.createDataFrame(
         [(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(40)],
