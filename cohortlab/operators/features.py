@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.names import feature_names
 from cohortlab.functions.scalars import hash_bucket, known_category
-from cohortlab.operators.clean import converted_only
+from cohortlab.operators.clean import converted_only, outcome_mask
 from cohortlab.spec import CohortSpec
 
 SEED = 42
@@ -131,8 +131,7 @@ def training_set(df: DataFrame, encoding: Encoding) -> DataFrame:
 def prepare_all(df: DataFrame, encoding: Encoding) -> DataFrame:
     """Every row standardised, with its raw target and whether it was converted."""
     spec = encoding.spec
-    marked = df.withColumn("is_converted", F.coalesce(F.col(spec.outcome) == 1, F.lit(False)))
-    return standardize(marked, encoding, spec.target, "is_converted")
+    return standardize(outcome_mask(df, spec), encoding, spec.target, "is_converted")
 
 
 def split(df: DataFrame, spec: CohortSpec, percent: int = TRAIN_PERCENT, seed: int = SEED) -> DataFrame:

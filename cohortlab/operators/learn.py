@@ -74,15 +74,8 @@ def learning_rows(df: DataFrame, encoding: Encoding, *keep: str) -> DataFrame:
 
 def regressor(**params: Any) -> GBTRegressor:
     """Squared error; the tree statistics are merged in tasks, the driver sees only histograms."""
-    return GBTRegressor(
-        featuresCol="features",
-        labelCol="label",
-        lossType="squared",
-        seed=SEED,
-        maxBins=64,
-        checkpointInterval=10,
-        **params,
-    )
+    settings = {"lossType": "squared", "seed": SEED, "maxBins": 64, "checkpointInterval": 10}
+    return GBTRegressor(featuresCol="features", labelCol="label", **(settings | params))
 
 
 def fit_trees(rows: DataFrame, **params: Any) -> GBTRegressionModel:
