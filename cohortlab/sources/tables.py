@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,16 +20,45 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+# The texts that stand for a missing value in a CSV file.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def _parsed(column: T.StructField) -> Column:
+    """The text of a CSV column as its type. Whole numbers may be written as 3.0; any other text
+    that does not fit stops the job, whether or not the session casts strictly."""
+    text = F.when(~F.col(column.name).isin(*MISSING), F.col(column.name))
+    if isinstance(column.dataType, T.StringType):
+        return text.alias(column.name)
+    value = text.try_cast(column.dataType)
+    if isinstance(column.dataType, T.IntegralType):
+        number = text.try_cast("double")
+        value = F.coalesce(value, F.when(number == F.rint(number), number.try_cast(column.dataType)))
+    unfit = F.raise_error(F.concat(F.lit(f"{column.name} is not a number: "), text))
+    return (
+        F.when(text.isNull() | value.isNotNull(), value)
+        .otherwise(unfit.cast(column.dataType))
+        .alias(column.name)
+    )
+
+
 def read_csv(spark: SparkSession, path: str, spec: CohortSpec) -> DataFrame:
-    """CSV with a header line; a value that does not fit its type stops the job."""
+    """CSV with a header line, columns found by name in any order, further columns left out.
+
+    Types come from the spec, so no pass over the data infers them. Columns that are no features,
+    such as the outcome of profiles to score, may be absent.
+    """
     raw = (
-        spark.read.schema(spec.schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
-    return nan_to_null(raw)
+    columns = [f for f in spec.schema if f.name in require(raw, spec).columns]
+    return raw.select(*(_parsed(f) for f in columns))
 
 
 def read_parquet(spark: SparkSession, path: str, spec: CohortSpec) -> DataFrame:

@@ -16,12 +16,57 @@ def test_csv_round_trip(spark, graduates, tmp_path):
     assert cohorts.overview(read, G).collect() == cohorts.overview(graduates, G).collect()
 
 
-def test_text_in_a_number_column_stops_the_job(spark, tmp_path):
-    row = dict(zip(G.schema.names, graduate_rows(1)[0], strict=True)) | {"cgpa": "high"}
-    lines = [",".join(row), ",".join("" if v is None else str(v) for v in row.values())]
-    (tmp_path / "bad.csv").write_text("\n".join(lines))
+def write_csv(path, *rows: dict) -> str:
+    lines = [",".join(rows[0])] + [",".join(str(v) for v in r.values()) for r in rows]
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def one_row() -> dict:
+    return dict(zip(G.schema.names, graduate_rows(1)[0], strict=True))
+
+
+@pytest.mark.parametrize(("column", "text"), [("cgpa", "high"), ("projects", "2.5"), ("placed", "yes")])
+@pytest.mark.parametrize("strict", ["true", "false"])
+def test_unfit_text_stops_the_job(spark, tmp_path, column, text, strict):
+    path = write_csv(tmp_path / "bad.csv", one_row() | {column: text})
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", strict)
+        with pytest.raises(Exception, match=f"{column} is not a number: {text}"):
+            tables.read_csv(spark, path, G).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_csv_with_too_few_values_stops_the_job(spark, tmp_path):
+    path = write_csv(tmp_path / "short.csv", one_row())
+    with open(path, "a") as f:
+        f.write("S1,7.0\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
-        tables.read_csv(spark, str(tmp_path / "bad.csv"), G).collect()
+        tables.read_csv(spark, path, G).collect()
+
+
+def test_csv_columns_by_name_and_missing_values(spark, tmp_path):
+    row = one_row()
+    back = dict(reversed(row.items())) | {"remark": "x"}
+    path = write_csv(
+        tmp_path / "odd.csv", back,
+        back | {"cgpa": "NaN", "projects": "", "internships": "3.0", "branch": "NA", "job_role": "None"},
+    )
+    first, second = tables.read_csv(spark, path, G).collect()
+    assert first.asDict() == row
+    assert (second["cgpa"], second["projects"], second["branch"], second["job_role"]) == (None,) * 4
+    assert second["internships"] == 3 and isinstance(second["internships"], int)
+
+
+def test_csv_of_profiles_without_outcome(spark, tmp_path):
+    row = {k: v for k, v in one_row().items() if k in ("student_id", *G.features)}
+    df = tables.read_csv(spark, write_csv(tmp_path / "p.csv", row), G)
+    assert set(df.columns) == set(row) and df.count() == 1
+    short = {k: v for k, v in row.items() if k != "cgpa"}
+    with pytest.raises(ValueError, match="cgpa"):
+        tables.read_csv(spark, write_csv(tmp_path / "q.csv", short), G)
 
 
 def test_parquet_nan_becomes_null(spark, make, tmp_path):
