@@ -36,7 +36,7 @@ class Encoding:
     def clean_sql(self) -> str:
         """The segment with categories unknown to the fit replaced by the first fitted one."""
         known = ", ".join(_text(c) for c in self.categories)
-        seg = f"`{self.spec.segment}`"
+        seg = quoted(self.spec.segment)
         return f"CASE WHEN {seg} IN ({known}) THEN {seg} ELSE {_text(self.dropped)} END"
 
     def encoded_sql(self) -> dict[str, str]:
@@ -45,12 +45,12 @@ class Encoding:
             f"{self.spec.segment}_{c}": f"CASE WHEN {self.clean_sql()} = {_text(c)} THEN 1D ELSE 0D END"
             for c in self.categories[1:]
         }
-        return hot | {c: f"CAST(`{c}` AS DOUBLE)" for c in self.spec.scalars}
+        return hot | {c: f"CAST({quoted(c)} AS DOUBLE)" for c in self.spec.scalars}
 
     def scaled_sql(self) -> dict[str, str]:
         """Standardised columns. A column that never varied is only centred."""
         return {
-            name: f"(({sql}) - {_double(mean)}) / {_double(dev if dev > 0 else 1.0)}"
+            name: f"(({sql}) - {double(mean)}) / {double(dev if dev > 0 else 1.0)}"
             for (name, sql), mean, dev in zip(
                 self.encoded_sql().items(), self.means, self.deviations, strict=True
             )
@@ -61,9 +61,14 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _double(value: float) -> str:
+def double(value: float) -> str:
     """A literal that reads back as exactly the same double."""
-    return f"CAST('{value!r}' AS DOUBLE)"
+    return f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+def quoted(name: str) -> str:
+    """A column name as it is written in an expression; categories may hold any character."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def listed_category(df: DataFrame, spec: CohortSpec) -> DataFrame:
@@ -88,37 +93,38 @@ def fit_encoding(df: DataFrame, spec: CohortSpec) -> Encoding:
     """
     rows = listed_category(df, spec)
     listed = sorted(spec.segments)
-    hot = {c: (F.col(spec.segment) == c).cast("double") for c in listed}
-    aggs = []
-    for name, value in [*hot.items(), *((c, F.col(c).cast("double")) for c in spec.scalars)]:
-        aggs += [F.avg(value).alias(f"m_{name}"), F.stddev_pop(value).alias(f"d_{name}")]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    if not stats["n"]:
+    hot = [(F.col(spec.segment) == c).cast("double") for c in listed]
+    moments = []
+    for value in [*hot, *(F.col(c).cast("double") for c in spec.scalars)]:
+        moments.append(F.struct(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation")))
+    n, stats = rows.agg(F.count(F.lit(1)), F.array(*moments)).first()
+    if not n:
         raise ValueError("no rows to fit on")
-    categories = tuple(c for c in listed if stats[f"m_{c}"] > 0)
-    columns = [*categories[1:], *spec.scalars]
-    empty = [c for c in columns if stats[f"m_{c}"] is None]
+    seen = [(c, s) for c, s in zip(listed, stats, strict=False) if s["mean"] > 0]
+    numbers = list(zip(spec.scalars, stats[len(listed):], strict=True))
+    empty = [c for c, s in numbers if s["mean"] is None]
     if empty:
         raise ValueError(f"features without any value: {', '.join(empty)}")
+    kept = [s for _, s in seen[1:] + numbers]
     return Encoding(
         spec,
-        categories,
-        tuple(stats[f"m_{c}"] for c in columns),
-        tuple(stats[f"d_{c}"] for c in columns),
+        tuple(c for c, _ in seen),
+        tuple(s["mean"] for s in kept),
+        tuple(s["deviation"] for s in kept),
     )
 
 
 def one_hot(df: DataFrame, encoding: Encoding) -> DataFrame:
     """The id and the encoded columns in feature order, after the clean-up done before a fit."""
-    columns = (f"{sql} AS `{name}`" for name, sql in encoding.encoded_sql().items())
-    return listed_category(df, encoding.spec).selectExpr(f"`{encoding.spec.id}`", *columns)
+    columns = (f"{sql} AS {quoted(name)}" for name, sql in encoding.encoded_sql().items())
+    return listed_category(df, encoding.spec).selectExpr(quoted(encoding.spec.id), *columns)
 
 
 def standardize(df: DataFrame, encoding: Encoding, *keep: str) -> DataFrame:
     """The id, the columns to keep, and the standardised columns as ``z_<feature>``."""
-    columns = (f"{sql} AS `z_{name}`" for name, sql in encoding.scaled_sql().items())
+    columns = (f"{sql} AS {quoted(f'z_{name}')}" for name, sql in encoding.scaled_sql().items())
     rows = listed_category(df, encoding.spec)
-    return rows.selectExpr(f"`{encoding.spec.id}`", *(f"`{c}`" for c in keep), *columns)
+    return rows.selectExpr(quoted(encoding.spec.id), *map(quoted, keep), *columns)
 
 
 def training_set(df: DataFrame, encoding: Encoding) -> DataFrame:

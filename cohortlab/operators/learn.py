@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import round_even
-from cohortlab.operators.features import SEED, Encoding
+from cohortlab.operators.features import SEED, Encoding, double, quoted
 from cohortlab.session import shared_folder
 from cohortlab.spec import CohortSpec
 
@@ -38,12 +38,17 @@ class Bundle:
 
 
 def encoder_stages(encoding: Encoding) -> list[Transformer]:
-    """Clean, encode, standardise and assemble, as stages that are saved with the model."""
-    columns = [f"{encoding.clean_sql()} AS `{encoding.spec.segment}_clean`"]
-    columns += [f"{sql} AS `z_{name}`" for name, sql in encoding.scaled_sql().items()]
+    """Clean, encode, standardise and assemble, as stages that are saved with the model.
+
+    The standardised columns are ``z_0``, ``z_1`` and so on in feature order.
+    """
+    columns = [f"{encoding.clean_sql()} AS {quoted(f'{encoding.spec.segment}_clean')}"]
+    columns += [f"{sql} AS z_{i}" for i, sql in enumerate(encoding.scaled_sql().values())]
     return [
         SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"z_{n}" for n in encoding.names], outputCol="features"),
+        VectorAssembler(
+            inputCols=[f"z_{i}" for i in range(len(encoding.names))], outputCol="features"
+        ),
     ]
 
 
@@ -61,8 +66,10 @@ def scoring_model(encoding: Encoding, learned: Transformer) -> PipelineModel:
 
 def weighted_sum(encoding: Encoding, weights: Mapping[str, float], intercept: float) -> PipelineModel:
     """A scoring model with given weights of the standardised features instead of learned trees."""
-    terms = " + ".join(f"{weights[n]!r}D * `z_{n}`" for n in encoding.names if n in weights)
-    rule = f"SELECT *, {intercept!r}D + {terms} AS prediction FROM __THIS__"
+    terms = [
+        f"{double(weights[n])} * z_{i}" for i, n in enumerate(encoding.names) if n in weights
+    ]
+    rule = f"SELECT *, {' + '.join([double(intercept), *terms])} AS prediction FROM __THIS__"
     return scoring_model(encoding, SQLTransformer(statement=rule))
 
 

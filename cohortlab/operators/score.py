@@ -22,14 +22,16 @@ def predict(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
 
 
 def main_factors(importance: Sequence[tuple[str, float]], names: Sequence[str], top: int = TOP) -> Column:
-    """Array of the ``top`` features by |standardised value| x importance, from the ``z_`` columns.
+    """Array of the ``top`` features by |standardised value| x importance.
 
-    Features without an importance are left out; equal scores stay in feature order.
+    ``names`` are the features of the columns ``z_0``, ``z_1`` and so on. Features without an importance are left out; equal scores stay in feature order.
     """
     weight = dict(importance)
     candidates = []
-    for order, name in enumerate(n for n in names if n in weight):
-        z = F.col(f"z_{name}")
+    for order, name in enumerate(names):
+        if name not in weight:
+            continue
+        z = F.col(f"z_{order}")
         score = round_even(F.abs(z) * weight[name], 6)
         candidates.append(
             F.struct(

@@ -6,7 +6,7 @@ import pytest
 from cohortlab import GRADUATES as G
 from cohortlab import CohortSpec
 from cohortlab.functions.names import feature_names, label_features
-from cohortlab.operators import clean, features
+from cohortlab.operators import clean, features, learn, score
 from dataclasses import replace
 
 # Fixed value: the order of the encoded features.
@@ -73,10 +73,18 @@ def test_fit_on_nothing_or_without_values(make):
 
 
 def test_category_names_with_quotes(make):
-    odd = replace(G, segments=("CSE", "O'Neil\\x", 'say "hi"'))
-    df = make({"branch": "O'Neil\\x"}, {"branch": 'say "hi"'}, {"branch": "CSE"})
-    hot = features.one_hot(df, features.fit_encoding(df, odd)).orderBy("student_id").collect()
-    assert [tuple(r)[1:3] for r in hot] == [(1, 0), (0, 1), (0, 0)]
+    names = ("B.Tech", "O'Neil\\x", "a `tick`", 'say "hi"')
+    odd = replace(G, segments=names)
+    df = make(*({"branch": n} for n in names))
+    encoding = features.fit_encoding(df, odd)
+    hot = features.one_hot(df, encoding).orderBy("student_id").collect()
+    assert [tuple(r)[1:4] for r in hot] == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    weights = {"branch_a `tick`": 0.5}
+    rows = score.explain(
+        df, learn.weighted_sum(encoding, weights, 3.0), encoding.names, [*weights.items()], odd
+    ).orderBy("student_id").collect()
+    best = max(range(4), key=lambda i: rows[i]["predicted_value"])
+    assert names[best] == "a `tick`" and rows[0]["top_factors"][0]["feature"] == "branch_a `tick`"
 
 
 def test_leakage_guard():

@@ -12,7 +12,7 @@ NAMES = ["a", "b", "c", "d"]
 
 
 def factors(spark, values, importance, top=3):
-    df = spark.createDataFrame([tuple(values)], ", ".join(f"z_{n} double" for n in NAMES))
+    df = spark.createDataFrame([tuple(values)], "z_0 double, z_1 double, z_2 double, z_3 double")
     rows = df.select(score.main_factors(importance, NAMES, top).alias("f")).first()["f"]
     return [(r["feature"], r["value"], r["score"]) for r in rows]
 
