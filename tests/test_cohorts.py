@@ -1,5 +1,6 @@
 from functools import partial
 
+import numpy as np
 import pytest
 
 from cohortlab import GRADUATES as G
@@ -114,3 +115,27 @@ def test_comparisons_share_one_cache(graduates):
         assert set(reports) == {"overview", "segments", "flags", "tiers"}
         assert reports["segments"].collect() == cohorts.segment_comparison(graduates, G).collect()
         assert reports["tiers"].collect() == cohorts.tier_comparison(graduates, G).collect()
+
+
+def test_reports_equal_a_data_frame_library(graduates):
+    """The same figures from one in-memory frame, rounded by that library."""
+    frame = graduates.toPandas()
+    placed = frame[frame.placed == 1]
+    pay = placed.salary_lpa
+    row = cohorts.overview(graduates, G).first()
+    assert row["total"] == len(frame) and row["converted_count"] == len(placed)
+    spread = [pay.mean(), pay.median(), pay.min(), pay.max(), pay.std()]
+    assert list(row)[3:] == [float(np.round(x, 2)) for x in spread]
+    keys = ["branch", "college_tier", "company_type", "job_role"]
+    means = {(r["key"], r["value"]): r["avg_target"] for r in cohorts.group_means(graduates, keys, G).collect()}
+    for key in keys:
+        want = placed.groupby(key).salary_lpa.mean().round(2)
+        assert {v: m for (k, v), m in means.items() if k == key} == {str(v): m for v, m in want.items()}
+    for r in cohorts.segment_comparison(graduates, G).collect():
+        group = placed[placed.branch == r["segment"]].salary_lpa
+        assert r["median_target"] == np.round(group.median(), 2) and r["max_target"] == group.max()
+        assert r["avg_target"] == np.round(group.mean(), 2)
+    for r in cohorts.flag_premium(graduates, G).collect():
+        on, off = (placed[placed[r["flag"]] == v].salary_lpa.mean() for v in (1, 0))
+        assert (r["with_avg"], r["without_avg"]) == (np.round(on, 2), np.round(off, 2))
+        assert r["premium"] == np.round(on - off, 2)
