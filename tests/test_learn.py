@@ -89,10 +89,12 @@ def test_load_without_model(spark, tmp_path):
 
 
 def test_grid_search(graduates):
-    bundle = train(graduates, G, tune=True, grid={"maxIter": [1, 6], "maxDepth": [2]}, folds=2)
+    grid = {"maxIter": [1, 6], "maxDepth": [2], "stepSize": [0.3], "subsamplingRate": [0.9]}
+    assert set(grid) == set(learn.GRID)
+    bundle = train(graduates, G, tune=True, grid=grid, folds=2)
     assert [(t["maxIter"], t["is_best"]) for t in bundle.grid] == [(1, False), (6, True)]
     table = learn.grid_table(graduates, bundle.grid)
-    assert table.columns == ["maxIter", "maxDepth", "mae_log", "is_best"] and table.count() == 2
+    assert table.columns == [*grid, "mae_log", "is_best"] and table.count() == 2
 
 
 def test_fit_scope(graduates):
