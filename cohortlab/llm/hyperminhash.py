@@ -33,7 +33,7 @@ BANDS = REGISTERS // 4
 EMPTY = 0xFFFF
 ORDERS = 8
 # Members and shingles that a side of a block has at most, but for one longer text.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 2_000_000
 # Estimates may fall short of the threshold by so many standard errors.
 MARGIN = 4.0
 
@@ -312,14 +312,22 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     links = keep(in_arrow(links, _verifier(percent), "a long, b long"), "links")
     labels = components(links)
 
-    # Whatever is still apart within a band, in blocks.
-    placed = _relabelled(members, labels)
-    apart = placed.where("members > 2").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    placed = placed.join(apart.where("lo != hi").select("bucket"), "bucket")
-    cut = F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    placed = placed.withColumn("cuts", cut.cast("long"))
-    placed = placed.withColumn("slot", F.pmod(F.xxhash64("node", F.lit("block")), F.col("cuts")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    # Whatever is still apart within a band, in blocks. Members of the largest component of a band have slots of
+    # their own, which are only paired with the slots of the others.
+    placed = _relabelled(members.where("members > 2"), labels)
+    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"), F.count("*").alias("parts"))
+    placed = placed.join(parts.where("parts > 1"), "bucket")
+    in_main = F.col("label") == F.col("main.label")
+    by_size = F.ceil(F.col("shingles") / BLOCK_SHINGLES)
+    slots = F.greatest(F.ceil(F.col("main.size") / BLOCK_MEMBERS), by_size).cast("long")
+    others = F.greatest(F.ceil((F.col("members") - F.col("main.size")) / BLOCK_MEMBERS), by_size).cast("long")
+    placed = placed.withColumns({"slots": slots, "others": others})
+    turn = F.xxhash64("node", F.lit("block"))
+    slot = F.when(in_main, F.pmod(turn, F.col("slots"))).otherwise(F.col("slots") + F.pmod(turn, F.col("others")))
+    first = F.when(in_main, F.col("slots")).otherwise(F.lit(0).cast("long"))
+    placed = placed.withColumn("slot", slot)
+    placed = placed.withColumn("other", F.explode(F.sequence(first, F.col("slots") + F.col("others") - 1)))
     block = F.xxhash64("bucket", F.least("slot", "other"), F.greatest("slot", "other"))
     part = F.when(F.col("slot") < F.col("other"), 0).when(F.col("slot") > F.col("other"), 1).otherwise(2)
     blocks = placed.select(block.alias("block"), part.alias("part"), "band", "node", "label").join(regs, "node")

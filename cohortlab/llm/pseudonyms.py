@@ -29,7 +29,7 @@ CARD = (
     r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}"
     r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 )
-PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
 ANY = "|".join((SECRET, ACCESS, EMAIL, IP, CARD, PHONE, SSN, DATE))
@@ -144,11 +144,8 @@ def phone(text: Column, key: str) -> Column:
     digits = _digits(text)
     front = F.substring(digits, F.lit(1), F.length(digits) - 10)
     own = F.substring(digits, F.length(digits) - 9, F.lit(10))
-    part = [F.substring(own, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4))]
-    x = ((part[0] - 200) * 800 + part[1] - 200) * 10_000 + part[2]
-    y = permute(x, _whole(80_000), _whole(80_000), "phone", key)
-    new = (F.floor(y / 8_000_000) + 200) * 10_000_000 + (F.floor(y / 10_000) % 800 + 200) * 10_000 + y % 10_000
-    return _refilled(text, F.concat(front, new.cast("string")))
+    y = permute(own.cast("long"), _whole(100_000), _whole(100_000), "phone", key)
+    return _refilled(text, F.concat(front, F.lpad(y.cast("string"), F.lit(10), F.lit("0"))))
 
 
 def address(text: Column, key: str) -> Column:

@@ -1,0 +1,102 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import edge_documents, empty_documents
+from conftest import MEDIUM
+
+from cohortlab.llm import brown
+from cohortlab.llm.queries import REGISTRY
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def test_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
+    counts = Counter(t for i, text in docs.items() if not held[i] for t in tokens(text))
+    n, v = sum(counts.values()), len(counts)
+    rows = REGISTRY["op2_brown_scores"](spark, MEDIUM).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        own = tokens(docs[r["doc_id"]])
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(own), n)
+        assert r["n_known"] == sum(counts[t] > 0 for t in own)
+        base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in own)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    out = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in out) > 0.95 * sum(r["base_score"] for r in out)
+    assert sum(r["score"] > r["base_score"] for r in out) > 0.9 * len(out)
+
+
+def test_exchange_finds_two_languages():
+    rng = np.random.default_rng(4)
+    m = 60
+    pairs = np.zeros((m + 2, m + 2))
+    side = np.arange(m) % 2
+    for w in range(m):
+        for x in range(m):
+            if side[w] != side[x]:
+                pairs[w, x] = rng.poisson(6)
+    cls = brown.exchange(pairs, 2)
+    assert len(set(cls[side == 0])) == len(set(cls[side == 1])) == 1 and cls[0] != cls[1]
+
+
+def test_exchange_raises_the_likelihood():
+    rng = np.random.default_rng(5)
+    pairs = rng.poisson(0.4, (42, 42)).astype(float)
+
+    def likelihood(cls):
+        full = np.concatenate((cls, [4, 5]))
+        member = np.zeros((42, 6))
+        member[np.arange(42), full] = 1
+        table = member.T @ pairs @ member
+        return brown._xlogx(table).sum() - brown._xlogx(table.sum(axis=0)).sum() - brown._xlogx(table.sum(axis=1)).sum()
+
+    assert likelihood(brown.exchange(pairs, 4)) > likelihood(np.arange(40) % 4)
+
+
+def test_probabilities_sum_to_one(spark):
+    """The model over all training tokens and the unseen one, after any word."""
+    docs = [(i, t) for i, t in enumerate(["a b a c", "b a b", "c c d a", "d a b c", "a a a b", "e a b", "d c"] * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    vocabulary = {t for i, text in docs if zlib.crc32(str(i).encode()) % 5 != 1 for t in text.split()}
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    # One held-out text of two tokens for each possible word; the end is common to all.
+    probes = [(held[k], w) for k, w in enumerate([*sorted(vocabulary), "unseen", ""])]
+    scored = brown.score_texts(df.unionByName(spark.createDataFrame(probes, df.schema)), classes=3, seeds=4).collect()
+    score = {r["doc_id"]: r["score"] for r in scored}
+    assert all(s < 0 for s in score.values())
+    # P(end | word) differs from word to word, so only the first step is checked: it sums to less than 1.
+    assert sum(10 ** score[i] for i, w in probes) <= 1 + 1e-9
+    counts = np.array([[3, 1, 0, 2.0], [0, 5, 0, 1], [1, 1, 0, 0], [4, 2, 0, 0]])
+    p = 10 ** brown.transitions(counts, np.array([0.1, 0.2]), 1e-9)
+    # Seen words of a class have what unseen words leave.
+    seen = p[:, :2] * (1 - np.array([0.1, 0.2]))
+    assert seen.sum(axis=1) + p[:, 2] + p[:, 3] == pytest.approx(np.ones(4))
+
+
+def test_chunks_do_not_matter(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").limit(300)
+    small = {r["doc_id"]: r for r in brown.score_texts(docs.repartition(3), chunk_tokens=5000).collect()}
+    for r in brown.score_texts(docs).collect():
+        assert r["score"] == pytest.approx(small[r["doc_id"]]["score"], rel=1e-9)
+
+
+def test_edges(spark):
+    docs = edge_documents(spark)
+    rows = brown.score_texts(docs).collect()
+    assert len(rows) == docs.count()
+    assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (2, 3, 4))
+    assert not any(r["held_out"] for r in rows if r["doc_id"] is None)
+    assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
+    assert brown.score_texts(empty_documents(spark)).count() == 0
+    held = next(i for i in range(100) if brown.is_held_out(i))
+    only = brown.score_texts(spark.createDataFrame([(held, "no training text")], "doc_id long, text string")).first()
+    assert (only["score"], only["base_score"], only["train_tokens"], only["n_known"]) == (0, 0, 0, 0)
+    ends = brown.score_texts(spark.createDataFrame([(2, None), (held, "x")], "doc_id long, text string")).collect()
+    assert all(math.isfinite(r["score"]) for r in ends)

@@ -1,0 +1,87 @@
+import random
+from collections import Counter
+
+from cases import edge_documents, empty_documents
+from conftest import MEDIUM
+
+from cohortlab.llm import rules
+from cohortlab.llm.queries import REGISTRY
+from cohortlab.llm.tables import read
+
+
+def brute(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = text.encode().split()
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    inside = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    return (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text),
+            len(lines) - len(set(lines)), len(inside))
+
+
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in read(spark, MEDIUM, "documents").collect()}
+    rows = REGISTRY["op7_quality_rules"](spark, MEDIUM).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        n, *_, repeated = expected = brute(docs[r["doc_id"]])
+        assert tuple(r[c] for c in COLUMNS) == expected
+        assert r["base_failed"] == (n < 10 or 100 * repeated > 20 * n)
+        assert r["kept"] == (not r["base_failed"] and r["rule"] is None)
+    labels = {r["doc_id"]: r["quality"] for r in read(spark, MEDIUM, "labels").collect()}
+    good = [r["kept"] or r["base_failed"] for r in rows if labels.get(r["doc_id"]) == 1]
+    bad = [r["kept"] for r in rows if labels.get(r["doc_id"]) == 0]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_repeats_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))) for _ in range(200)]
+    texts += ["x y z u v " * 3000, "a b c d e f a b c d e", "a a a a a a", "A\nA \nA\n\n\nA\n b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rules.statistics(df, "text").collect():
+        assert tuple(r[c] for c in COLUMNS) == brute(r["text"]), r["text"][:80]
+
+
+def learning_rows(spark, n, bad_if, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        x, y, z = rng.random(), rng.random(), rng.random()
+        rows.append((int(bad_if(x, y)), rng.random() < 0.67, round(x, 3), round(y, 3), round(z, 3)))
+    return spark.createDataFrame(rows, "bad int, grow boolean, f_x double, f_y double, f_z double")
+
+
+def test_learns_conjunctions(spark):
+    df = learning_rows(spark, 3000, lambda x, y: (x > 0.8 and y <= 0.5) or y > 0.95, 7)
+    learned = rules.learn(df)
+    verdict = rules.decision(learned).isNotNull().alias("v")
+    wrong = df.select("bad", verdict).where("(bad = 1) != v").count()
+    assert 2 <= len(learned) <= 6 and wrong < 45
+    used = {c.feature for rule in learned for c in rule}
+    assert {"f_x", "f_y"} <= used
+
+
+def test_noise_gives_no_rules(spark):
+    rng = random.Random(8)
+    assert rules.learn(learning_rows(spark, 800, lambda x, y: rng.random() < 0.3, 9)) == []
+    one_kind = learning_rows(spark, 50, lambda x, y: False, 1)
+    assert rules.learn(one_kind) == [] and rules.learn(one_kind.limit(0)) == []
+
+
+def test_edges(spark):
+    docs = edge_documents(spark)
+    labels = spark.createDataFrame([(1, 0), (1, None), (5, 1), (None, 0), (99, 0)], "doc_id long, quality int")
+    rows = rules.judge(docs, labels).collect()
+    assert len(rows) == docs.count()
+    assert all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (2, 3, 4))
+    assert all(r["n_words"] == 0 for r in rows if r["doc_id"] in (2, 3, 4))
+    kept = rules.good_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
+    assert rules.judge(empty_documents(spark), labels).count() == 0
+    assert rules.judge(docs, labels.limit(0)).where("rule is not null").count() == 0
