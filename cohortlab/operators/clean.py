@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlab.functions.scalars import band, known_category, starts_with_any
 from cohortlab.spec import CohortSpec
@@ -35,10 +36,22 @@ def clean_category(
 
 
 def default_fill(df: DataFrame, spec: CohortSpec, defaults: dict | None = None) -> DataFrame:
-    """Fill missing features with their defaults; ``n_filled`` says how many a row needed."""
+    """Fill missing features, null or NaN, with their defaults; ``n_filled`` says how many a row needed."""
     values = {c: v for c, v in (defaults or spec.defaults).items() if c in df.columns}
-    missing = sum((F.col(c).isNull().cast("int") for c in values), F.lit(0))
-    return df.withColumn("n_filled", missing).na.fill(values)
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+
+    def missing(c: str) -> Column:
+        # isnan gives false for null, so the sum has no null.
+        return (F.col(c).isNull() | F.isnan(c) if c in floats else F.col(c).isNull()).cast("int")
+
+    return df.withColumn("n_filled", sum(map(missing, values), F.lit(0))).na.fill(values)
+
+
+def numbers_filled(df: DataFrame, spec: CohortSpec) -> DataFrame:
+    """``default_fill`` of the features that are numbers, as done before scoring; once is enough."""
+    if "n_filled" in df.columns:
+        return df
+    return default_fill(df, spec, {c: v for c, v in spec.defaults.items() if c in spec.scalars})
 
 
 def range_violations(df: DataFrame, spec: CohortSpec) -> DataFrame:

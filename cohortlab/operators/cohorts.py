@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import percent, round_even
-from cohortlab.operators.medians import approx_median, edge_columns, exact_median
-from cohortlab.session import shared_folder
+from cohortlab.operators.medians import approx_median, exact_median
 from cohortlab.spec import CohortSpec
 
 
@@ -23,16 +22,13 @@ def _target(spec: CohortSpec) -> Column:
 
 
 def _summary(
-    rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], spec: CohortSpec, exact: bool
+    rows: DataFrame, key: str, listed: Sequence, aggs: Sequence[Column], spec: CohortSpec, exact: bool
 ) -> DataFrame:
-    """Group summary plus a ``median`` column; ``keys`` take few listed values."""
-    target = _target(spec)
+    """Group summary plus a ``median`` column; all keys of ``rows`` are listed."""
     if not exact:
-        return rows.groupBy(*keys).agg(*aggs, approx_median(target).alias("median"))
-    shared_folder(rows.sparkSession)
-    summary = rows.groupBy(*keys).agg(*aggs, *edge_columns(target)).checkpoint()
-    medians = exact_median(rows.where(_hit(spec)), keys, spec.target, summary)
-    return summary.join(F.broadcast(medians), list(keys), "left")
+        return rows.groupBy(key).agg(*aggs, approx_median(_target(spec)).alias("median"))
+    medians = exact_median(rows.where(_hit(spec)), key, spec.target, listed)
+    return rows.groupBy(key).agg(*aggs).join(F.broadcast(medians), key, "left")
 
 
 def _domain(df: DataFrame, name: str, values: Sequence) -> DataFrame:
@@ -55,11 +51,8 @@ def overview(df: DataFrame, spec: CohortSpec, exact: bool = True) -> DataFrame:
     ]
     if exact:
         # The converted rows form the one group whose median is wanted.
-        shared_folder(df.sparkSession)
-        summary = rows.agg(*aggs, *edge_columns(target)).withColumn(spec.outcome, F.lit(1))
-        summary = summary.checkpoint()
-        median = exact_median(rows.where(_hit(spec)), [spec.outcome], spec.target, summary)
-        report = summary.join(F.broadcast(median), spec.outcome, "left")
+        median = exact_median(rows, spec.outcome, spec.target, [1])
+        report = rows.agg(*aggs).withColumn(spec.outcome, F.lit(1)).join(F.broadcast(median), spec.outcome, "left")
     else:
         report = rows.agg(*aggs, approx_median(target).alias("median"))
     return report.select(
@@ -109,7 +102,7 @@ def segment_comparison(df: DataFrame, spec: CohortSpec, exact: bool = True) -> D
         F.avg(target).alias("_mean"),
         F.max(target).alias("_high"),
     ]
-    groups = _summary(rows, ["segment"], aggs, spec, exact)
+    groups = _summary(rows, "segment", spec.segments, aggs, spec, exact)
     total = F.coalesce("_total", F.lit(0))
     hits = F.coalesce("_hits", F.lit(0))
     return (
@@ -134,7 +127,7 @@ def tier_comparison(df: DataFrame, spec: CohortSpec, exact: bool = True) -> Data
         F.col(spec.tier).alias("tier"), spec.outcome, spec.target
     )
     aggs = [F.count(F.lit(1)).alias("_hits"), F.avg(spec.target).alias("_mean")]
-    groups = _summary(rows, ["tier"], aggs, spec, exact)
+    groups = _summary(rows, "tier", spec.tiers, aggs, spec, exact)
     return (
         _domain(df, "tier", spec.tiers)
         .join(F.broadcast(groups), "tier", "left")

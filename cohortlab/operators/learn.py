@@ -23,6 +23,8 @@ from cohortlab.spec import CohortSpec
 UNTUNED = {"maxIter": 200, "maxDepth": 5, "stepSize": 0.05}
 GRID = {"maxIter": [100, 200], "maxDepth": [4, 5], "stepSize": [0.05, 0.1], "subsamplingRate": [0.9]}
 FOLDS = 5
+# Split candidates per feature, unless a fit is given others.
+MAX_BINS = 64
 
 
 @dataclass(frozen=True)
@@ -80,8 +82,12 @@ def learning_rows(df: DataFrame, encoding: Encoding, *keep: str) -> DataFrame:
 
 
 def regressor(**params: Any) -> GBTRegressor:
-    """Squared error; the tree statistics are merged in tasks, the driver sees only histograms."""
-    settings = {"lossType": "squared", "seed": SEED, "maxBins": 64, "checkpointInterval": 10}
+    """Squared error; the tree statistics are merged in tasks, the driver sees only histograms.
+
+    ``params`` are those of Spark's learner. ``maxBins`` (``MAX_BINS`` by default) bounds the split candidates of a
+    feature: its values are cut into that many ranges with about as many rows each.
+    """
+    settings = {"lossType": "squared", "seed": SEED, "maxBins": MAX_BINS, "checkpointInterval": 10}
     return GBTRegressor(featuresCol="features", labelCol="label", **(settings | params))
 
 
@@ -139,12 +145,6 @@ def importances(learned: GBTRegressionModel, names: Sequence[str]) -> list[tuple
     return [(n, round(x, 6)) for n, x in sorted(pairs, key=lambda p: -p[1])]
 
 
-def importance_table(df: DataFrame, pairs: Sequence[tuple[str, float]]) -> DataFrame:
-    """``(rank, feature, importance)``; one row per feature of the model."""
-    rows = [(i + 1, n, x) for i, (n, x) in enumerate(pairs)]
-    return df.sparkSession.createDataFrame(rows, "rank int, feature string, importance double")
-
-
 def regression_metrics(df: DataFrame, actual_log: str, predicted_log: str) -> DataFrame:
     """One row of errors on the original scale, from one aggregation."""
     pairs = df.select(
@@ -166,10 +166,13 @@ def regression_metrics(df: DataFrame, actual_log: str, predicted_log: str) -> Da
 def segment_mean_scores(
     train: DataFrame, test: DataFrame, spec: CohortSpec, actual_log: str
 ) -> DataFrame:
-    """Baseline: the mean logarithm of the target in the row's segment of the training part.
+    """Baseline: the mean logarithm of the target in the row's segment of the training part; the mean of all
+    training rows for a segment without any.
 
     Only listed segments get a mean, so the broadcast side has at most one row for each of them.
     """
     listed = train.where(F.col(spec.segment).isin(*spec.segments))
     means = listed.groupBy(spec.segment).agg(F.avg(actual_log).alias("predicted_log"))
-    return test.join(F.broadcast(means), spec.segment)
+    overall = train.agg(F.avg(actual_log)).scalar()
+    scored = test.join(F.broadcast(means), spec.segment, "left")
+    return scored.withColumn("predicted_log", F.coalesce("predicted_log", overall))

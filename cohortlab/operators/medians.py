@@ -1,10 +1,9 @@
 """Exact medians that never gather a large group in one task.
 
-``median`` keeps every distinct value of a group in one aggregation buffer, which is the fastest
-way for groups that are known to be small. For larger ones a quantile sketch proposes intervals
-around the middle of each group, exact counts choose the narrowest interval that is proven to hold
-the middle ranks, and only the rows of that interval are counted by value and ranked. A poor
-proposal costs time, never correctness.
+The range of each group is cut into equal bins, counted in one aggregation; running counts over the bins, a bounded
+number of rows, tell which ones hold the middle ranks, and their smallest and largest values are the next range. After
+two rounds only the values of a four-billionth of the range are counted one by one. The plan is the same for every
+size, lazy, and its windows do not grow with the group.
 """
 
 from __future__ import annotations
@@ -14,95 +13,68 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank errors of the sketch stay below 1 / ACCURACY of the group; the first interval is ten
-# times wider than that, the second one serves small groups, the last one is the whole group.
-ACCURACY = 100_000
-MARGINS = (0.0001, 0.05)
-# Largest group whose values may be held in one buffer: some tens of megabytes.
-BUFFERED_ROWS = 500_000
-
-
-def edge_columns(value: Column) -> list[Column]:
-    """Aggregates to add to a group summary that is passed on to ``exact_median``."""
-    points = [0.5 - m for m in MARGINS] + [0.5 + m for m in MARGINS]
-    return [
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, points, ACCURACY).alias("_edges"),
-    ]
-
-
-def exact_median(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    summary: DataFrame,
-    buffered_rows: int = BUFFERED_ROWS,
-) -> DataFrame:
-    """``(*keys, median)`` for the groups of ``rows``.
-
-    ``summary`` has one row per group with ``edge_columns``. It must be checkpointed, so that the
-    counts and the interval they choose are about the same edges even when a lost task runs again,
-    and small enough to broadcast: callers group by listed categories.
-    """
-    largest = summary.agg(F.max("_n")).first()[0] or 0
-    if largest <= buffered_rows:
-        return rows.groupBy(*keys).agg(F.median(value).alias("median"))
-    return _narrowed_median(rows, keys, value, summary)
-
-
-def _narrowed_median(
-    rows: DataFrame, keys: Sequence[str], value: str, summary: DataFrame
-) -> DataFrame:
-    v = F.col(value)
-    k = len(MARGINS)
-    intervals = [(F.col("_edges")[i], F.col("_edges")[k + i]) for i in range(k)]
-    intervals.append((F.col("_min"), F.col("_max")))
-
-    edges = summary.select(*keys, "_n", "_min", "_max", "_edges")
-    counts = (
-        rows.where(v.isNotNull())
-        .select(*keys, v)
-        .join(F.broadcast(edges), list(keys))
-        .groupBy(*keys)
-        .agg(
-            *(F.count_if(v < lo).alias(f"_below{i}") for i, (lo, _) in enumerate(intervals)),
-            *(F.count_if(v <= hi).alias(f"_upto{i}") for i, (_, hi) in enumerate(intervals)),
-        )
+BINS = 65_536
+ROUNDS = 2
+
+
+def _running(key: str, order: str) -> Column:
+    """Rows of the group up to and including this bin or value."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.col("_below") + F.sum("_c").over(upto)
+
+
+def _holds(rank: str) -> Column:
+    return (F.col(rank) < F.col("_upto")) & (F.col(rank) >= F.col("_upto") - F.col("_c"))
+
+
+def _within(rows: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
+    # At most one range for each listed key.
+    return rows.join(F.broadcast(ranges), key).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+
+def _carried() -> list[Column]:
+    return [F.max(c).alias(c) for c in ("_below", "_r1", "_r2")]
+
+
+def _narrowed(rows: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
+    """The values between which the middle ranks of each group lie, from the bins of its last range."""
+    # Halves, so that the width of no range overflows.
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    place = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * BINS)
+    place = F.when(width > 0, F.least(place, F.lit(BINS - 1))).otherwise(0)
+    bins = (
+        _within(rows, key, ranges)
+        .groupBy(key, place.alias("_bin"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), *_carried())
+        .withColumn("_upto", _running(key, "_bin"))
     )
-    # 0-based middle ranks; the same one twice when the number of rows is odd.
-    first, second = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    pick = F.lit(None)
-    for i, (lo, hi) in reversed(list(enumerate(intervals))):
-        holds = (F.col(f"_below{i}") <= first) & (second < F.col(f"_upto{i}"))
-        found = F.struct(lo.alias("lo"), hi.alias("hi"), F.col(f"_below{i}").alias("below"))
-        pick = F.when(holds, found).otherwise(pick)
-    chosen = (
-        edges.join(F.broadcast(counts), list(keys))
-        .withColumn("_pick", pick)
-        .select(*keys, "_pick.lo", "_pick.hi", "_pick.below", first.alias("r1"), second.alias("r2"))
+    return bins.where(_holds("_r1") | _holds("_r2")).groupBy(key).agg(
+        F.min("_least").alias("_lo"), F.max("_most").alias("_hi"), F.min(F.col("_upto") - F.col("_c")).alias("_below"),
+        F.max("_r1").alias("_r1"), F.max("_r2").alias("_r2"),
     )
-    in_order = (
-        Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def exact_median(rows: DataFrame, key: str, value: str, listed: Sequence) -> DataFrame:
+    """``(key, median)`` for the groups of ``rows`` whose key is one of ``listed``; nulls do not count.
+
+    The list bounds what is broadcast: one row of limits for each of its values.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.where(F.col(key).isin(*listed) & v.isNotNull()).select(key, (v + 0.0).alias("_v"))
+    n = F.col("_n")
+    # 0-based middle ranks; the same one twice when the number of rows is odd.
+    ranges = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(
+        key, "_lo", "_hi", F.lit(0).cast("long").alias("_below"),
+        F.floor((n - 1) / 2).alias("_r1"), F.floor(n / 2).alias("_r2"),
     )
-    upto = F.col("below") + F.sum("_c").over(in_order)
-    by_value = (
-        rows.select(*keys, v)
-        .join(F.broadcast(chosen), list(keys))
-        .where((v >= F.col("lo")) & (v <= F.col("hi")))
-        .groupBy(*keys, v)
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            *(F.first(c).alias(c) for c in ("below", "r1", "r2")),
-        )
-        .withColumn("_upto", upto)
+    for _ in range(ROUNDS):
+        ranges = _narrowed(rows, key, ranges)
+    values = (
+        _within(rows, key, ranges).groupBy(key, "_v").agg(F.count("*").alias("_c"), *_carried())
+        .withColumn("_upto", _running(key, "_v"))
     )
-    covers = [
-        F.max(F.when((F.col(r) < F.col("_upto")) & (F.col(r) >= F.col("_upto") - F.col("_c")), v))
-        for r in ("r1", "r2")
-    ]
-    return by_value.groupBy(*keys).agg(((covers[0] + covers[1]) / 2).alias("median"))
+    middle = [F.max(F.when(_holds(r), F.col("_v"))) for r in ("_r1", "_r2")]
+    return values.groupBy(key).agg(((middle[0] + middle[1]) / 2).alias("median"))
 
 
 def approx_median(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import round_even
+from cohortlab.operators.clean import numbers_filled
 from cohortlab.sources.tables import require
 from cohortlab.spec import CohortSpec
 
@@ -16,9 +17,12 @@ TOP = 3
 
 
 def predict(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
-    """The input with ``<segment>_clean``, ``predicted_log`` and ``predicted_value``."""
-    scored = model.transform(require(df, spec))
-    return scored.select(*df.columns, f"{spec.segment}_clean", "predicted_log", "predicted_value")
+    """The input, missing numbers filled, with ``n_filled``, ``<segment>_clean``, ``predicted_log`` and
+    ``predicted_value``."""
+    filled = numbers_filled(require(df, spec), spec)
+    return model.transform(filled).select(
+        *filled.columns, f"{spec.segment}_clean", "predicted_log", "predicted_value"
+    )
 
 
 def main_factors(importance: Sequence[tuple[str, float]], names: Sequence[str], top: int = TOP) -> Column:
@@ -51,12 +55,13 @@ def explain(
     spec: CohortSpec,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row: predicted value, its logarithm with four digits, and the main factors."""
-    scored = model.transform(require(df, spec))
+    """Per row: predicted value, its logarithm with four digits, the main factors, and how many missing numbers
+    were filled."""
+    scored = model.transform(numbers_filled(require(df, spec), spec))
     return scored.select(
         spec.id,
         *spec.features,
-        *keep,
+        *dict.fromkeys([*keep, "n_filled"]),
         "predicted_value",
         round_even(F.col("predicted_log"), 4).alias("predicted_log"),
         main_factors(importance, names).alias("top_factors"),
@@ -79,19 +84,24 @@ def factors_long(explained: DataFrame, spec: CohortSpec) -> DataFrame:
 def pair_comparison(
     pairs: DataFrame, scored: DataFrame, spec: CohortSpec, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Compare the two profiles of each given pair ``(a, b)``; ``carry`` adds columns of both sides."""
+    """Compare the two profiles of each given pair ``(a, b)``; ``carry`` adds columns of both sides.
+
+    ``status`` is ``ok``, or says which profile has no score; gaps and winner are null then.
+    """
 
     def side(name: str) -> DataFrame:
         return scored.select(
             F.col(spec.id).alias(name),
             F.col("predicted_value").alias(f"value_{name}"),
             *(F.col(c).alias(f"{c}_{name}") for c in carry),
+            F.lit(True).alias(f"known_{name}"),
         )
 
     gap = F.col("value_a") - F.col("value_b")
+    no_a, no_b = F.col("known_a").isNull(), F.col("known_b").isNull()
     return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
+        pairs.join(side("a"), "a", "left")
+        .join(side("b"), "b", "left")
         .select(
             "a",
             "b",
@@ -100,6 +110,7 @@ def pair_comparison(
             *(f"{c}_{s}" for s in "ab" for c in carry),
             round_even(gap, 2).alias("gap"),
             round_even(F.abs(gap), 2).alias("abs_gap"),
-            F.when(gap > 0, "a").when(gap < 0, "b").otherwise("tie").alias("winner"),
+            F.when(gap > 0, "a").when(gap < 0, "b").when(gap == 0, "tie").alias("winner"),
+            F.when(no_a & no_b, "neither").when(no_a, "no a").when(no_b, "no b").otherwise("ok").alias("status"),
         )
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import round_even
+from cohortlab.operators.clean import numbers_filled
 from cohortlab.sources.tables import require
 from cohortlab.spec import CohortSpec, Lever
 
@@ -45,9 +46,10 @@ BASE = -1
 
 
 def scenarios(df: DataFrame, spec: CohortSpec) -> DataFrame:
-    """One row per profile and applicable lever, with the features after the change.
+    """One row per profile and applicable lever, with the features after the change; missing numbers are filled.
 
-    ``lever_order`` is the position of the lever, or ``BASE`` on the row without any change.
+    ``lever_order`` is the position of the lever, or ``BASE`` on the row without any change; the values before the
+    change are in ``was_<feature>``.
     """
     nothing = F.lit(None).cast("double")
     tries = [
@@ -67,31 +69,36 @@ def scenarios(df: DataFrame, spec: CohortSpec) -> DataFrame:
         for c in spec.scalars
     }
     return (
-        df.select(spec.id, *spec.features, F.inline(F.array(*tries)))
+        numbers_filled(df, spec)
+        .select(
+            spec.id, *spec.features, "n_filled", *(F.col(c).alias(f"was_{c}") for c in spec.scalars),
+            F.inline(F.array(*tries)),
+        )
         .where((F.col("lever_order") == BASE) | F.col("improved").isNotNull())
         .withColumns(changed)
     )
 
 
 def gains_per_profile(df: DataFrame, model: PipelineModel, spec: CohortSpec) -> DataFrame:
-    """The profiles with ``base_value`` and ``gains``, largest first, ties in the order of the levers.
+    """The profiles with ``base_value``, ``n_filled`` and ``gains``, largest first, ties in the order of the levers.
 
     A profile has at most one entry per lever and stays when it has none. The scenarios are brought
     back to one row by plain maxima of fixed width, one per lever, which need neither sorting nor
-    collecting. They lie next to each other, so map-side aggregation leaves one row per profile
-    before any shuffle, and when ``df`` is already partitioned by the id, as after a join on it,
-    there is no shuffle at all.
+    collecting. Rows that share an id but not their features are profiles of their own, equal rows are counted and
+    repeated, so no row is lost or mixed with another one, whatever the ids. The scenarios lie next to each other, so
+    map-side aggregation leaves one row per profile before any shuffle, and when ``df`` is already
+    partitioned by the id, as after a join on it, there is no shuffle at all.
     """
     order, value = F.col("lever_order"), F.col("predicted_value")
-    kinds = {f.name: f.dataType for f in df.schema}
     wide = (
         model.transform(scenarios(require(df, spec), spec))
-        .groupBy(spec.id, spec.segment)
+        .groupBy(spec.id, spec.segment, "n_filled", *(f"was_{c}" for c in spec.scalars))
         .agg(
             F.max(F.when(order == BASE, value)).alias("base_value"),
+            F.count_if(order == BASE).alias("_rows"),
             *(F.max(F.when(order == i, value)).alias(f"_v{i}") for i in range(len(spec.levers))),
-            *(F.max(F.when(order == BASE, F.col(c))).cast(kinds[c]).alias(c) for c in spec.scalars),
         )
+        .withColumnsRenamed({f"was_{c}": c for c in spec.scalars})
     )
     entries = []
     for i, lever in enumerate(spec.levers):
@@ -110,7 +117,8 @@ def gains_per_profile(df: DataFrame, model: PipelineModel, spec: CohortSpec) ->
             )
         )
     best_first = F.array_compact(F.sort_array(F.array(*entries), asc=False))
-    return wide.select(spec.id, *spec.features, "base_value", best_first.alias("gains"))
+    each = wide.select(spec.id, *spec.features, "n_filled", "base_value", best_first.alias("gains"), "_rows")
+    return each.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).drop("_rows", "_row")
 
 
 def by_lever(values: Sequence[str], gain: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from cohortlab.functions.names import display_name
 from cohortlab.operators import text
 from cohortlab.plans.queries import IMPORTANCE, INTERCEPT, KEYS, REPLY_PREFIXES, WEIGHTS
 from cohortlab.spec import CUSTOMERS as SPEC
@@ -93,41 +92,52 @@ FACTORS = "factors as (" + " union all ".join(
 top3 as (select * from ranked where rank <= 3)"""
 
 
+RANGES = {
+    "acctbal": (0, 9000), "n_orders": (3, 20), "n_urgent": (0, 5), "n_low": (0, 5), "n_open": (0, 8),
+    "n_recent": (0, 9), "tier": (1, 3), "flag_urgent": (0, 1), "flag_low": (0, 1), "flag_recent": (0, 1),
+    "flag_open": (0, 1),
+}
+# Name, feature, condition and new value of each change.
+_UP = [
+    (f"{c}_up", c, "true", f"{c}::double + greatest(0.5::double, {c}::double * 0.1::double)")
+    for c in ("acctbal", "n_orders", "n_urgent", "n_low", "n_open", "n_recent")
+]
+_ON = [(f"{c}_on", c, f"{c} = 0", "1.0::double") for c in ("flag_urgent", "flag_low", "flag_recent", "flag_open")]
+LEVERS = [
+    *_UP, *_ON, ("tier_better", "tier", "tier > 1", "tier::double - 1"),
+    ("n_urgent_plus_one", "n_urgent", "n_urgent < 5", "n_urgent::double + 1"),
+    ("n_low_plus_one", "n_low", "n_low < 10", "n_low::double + 1"),
+]
+
+
 def _lever(order: int) -> str:
-    lever = SPEC.levers[order]
-    c = lever.feature
+    name, c, where, new = LEVERS[order]
     x = f"{c}::double"
-    where, new = "true", f"{x} + {lever.step}::double"
-    if lever.rule == "grow":
-        new = f"{x} + greatest({lever.step}::double, {x} * {lever.share}::double)"
-    elif lever.rule == "set":
-        where, new = f"{c} = 0", f"{lever.step}::double"
-    elif lever.above is not None:
-        where = f"{c} > {lever.above}"
-    elif lever.below is not None:
-        where = f"{c} < {lever.below}"
     moved = f"predicted_log + ({WEIGHTS[c]}) * ({new} - {x}) / d_{c}"
     return (
-        f"select profile_id, predicted_value, '{lever.name}' as lever, {order} as o, '{c}' as feature, "
+        f"select profile_id, predicted_value, '{name}' as lever, {order} as o, '{c}' as feature, "
         f"{x} as cur, {new} as new, {r(f'exp({moved}) - 1', 2)} - predicted_value as diff "
         f"from scored where {where}"
     )
 
 
-GAINS = "tries as (" + " union all ".join(_lever(i) for i in range(len(SPEC.levers))) + f"""), gains as (
+GAINS = "tries as (" + " union all ".join(_lever(i) for i in range(len(LEVERS))) + f"""), gains as (
   select profile_id, lever, feature, {r("cur", 2)} as current_value, {r("new", 2)} as improved_value,
     {r("diff", 2)} as gain, o from tries where diff > 0.01::double),
 ordered as (
   select *, row_number() over (partition by profile_id order by gain desc, o) as rank from gains)"""
 
 PAIRS = f"""pairs as (
-  select a.profile_id as a, b.profile_id as b, a.predicted_value as value_a, b.predicted_value as value_b,
+  select a_key as a, b_key as b, a.predicted_value as value_a, b.predicted_value as value_b,
     a.segment as segment_a, b.segment as segment_b, a.acctbal as acctbal_a, b.acctbal as acctbal_b,
     {r("a.predicted_value - b.predicted_value", 2)} as gap,
     {r("abs(a.predicted_value - b.predicted_value)", 2)} as abs_gap,
     case when a.predicted_value > b.predicted_value then 'a'
-         when a.predicted_value < b.predicted_value then 'b' else 'tie' end as winner
-  from scored a join scored b on b.profile_id = a.profile_id + 1)"""
+         when a.predicted_value < b.predicted_value then 'b'
+         when a.predicted_value = b.predicted_value then 'tie' end as winner,
+    case when b.profile_id is null then 'no b' else 'ok' end as status
+  from (select c_custkey as a_key, c_custkey + 1 as b_key from customer) keys
+  left join scored a on a.profile_id = a_key left join scored b on b.profile_id = b_key)"""
 
 
 def money(column: str) -> str:
@@ -139,21 +149,26 @@ def lit(value: str) -> str:
     return "(" + " || chr(10) || ".join(f"'{p}'" for p in parts) + ")"
 
 
+LABEL = {
+    "acctbal": "Account balance", "n_orders": "Orders", "n_urgent": "Urgent orders", "n_low": "Low-priority orders",
+    "n_open": "Open orders", "n_recent": "Recent orders", "segment": "Market segment", "tier": "Balance tier",
+    "flag_urgent": "Often urgent", "flag_low": "Often low priority", "flag_recent": "Recently active",
+    "flag_open": "Many open orders",
+}
 LINES = " || chr(10) || ".join(
-    f"'- {display_name(SPEC, c)}: ' || " + (money(c) if c == "acctbal" else f"{c}::varchar")
-    for c in SPEC.features
+    f"'{name} = ' || " + (money(c) if c == "acctbal" else f"{c}::varchar") for c, name in LABEL.items()
 )
 CONTEXT = f"""context as (
-  select {lit(chr(10) * 2 + '[Context] The data holds ')} || count(*) || ' profiles, '
-    || printf('%.1f', {r("100.0::double * sum(converted) / count(*)", 1)}) || '% converted, mean value '
-    || {money("avg(target) filter (where converted = 1)")} || ' K, range '
-    || {money("min(target) filter (where converted = 1)")} || ' to '
-    || {money("max(target) filter (where converted = 1)")} || ' K.' as sentence from cohort)"""
+  select chr(10) || chr(10) || 'rows = ' || count(*) || chr(10) || 'converted = '
+    || printf('%.1f', {r("100.0::double * sum(converted) / count(*)", 1)}) || ' in 100' || chr(10) || 'lowest = '
+    || {money("min(target) filter (where converted = 1)")} || ' K' || chr(10) || 'mean = '
+    || {money("avg(target) filter (where converted = 1)")} || ' K' || chr(10) || 'highest = '
+    || {money("max(target) filter (where converted = 1)")} || ' K' as sentence from cohort)"""
 CHAT = f"""{BASE}, {CONTEXT}
 select conv_id, turn, {lit(text.CHAT_SYSTEM)} as system_text, text || sentence as user_text
 from conversations, context where role = 'user'"""
 FEATURES = ", ".join(SPEC.features)
-LABELS = "case " + " ".join(f"when feature = '{f}' then '{v}'" for f, v in SPEC.labels.items()) + " else feature end"
+LABELS = "case " + " ".join(f"when feature = '{f}' then '{v}'" for f, v in LABEL.items()) + " else feature end"
 
 SQL: dict[str, str] = {
     "scan_profiles": f"{BASE} select profile_id, {FEATURES} from cohort",
@@ -169,14 +184,14 @@ SQL: dict[str, str] = {
     + " union all ".join(f"select '{c}' as feature, m_{c} as m, d_{c} as d from stats" for c in ENCODED)
     + f") select {LABELS} as feature_name, feature as feature_key, {r('m', 6)} as mean, {r('d', 6)} as deviation from long",
     "value_bands": f"""{SCORE} select profile_id, predicted_value,
-        case when predicted_value >= 4000 then 'high' when predicted_value >= 2500 then 'upper middle'
-             when predicted_value >= 1500 then 'middle' else 'starting' end as band,
+        case when predicted_value >= 4000 then 'top' when predicted_value >= 2500 then 'solid'
+             when predicted_value >= 1500 then 'modest' else 'base' end as band,
         predicted_value * 1000::double as value_in_units from scored""",
     "range_violations": f"{BASE} "
     + " union all ".join(
         f"select profile_id, '{c}' as rule, {c}::double as value, {low}::double as low, {high}::double as high "
         f"from cohort where {c} < {low} or {c} > {high}"
-        for c, (low, high) in SPEC.ranges.items()
+        for c, (low, high) in RANGES.items()
     ),
     "default_fill": f"""{BASE} select profile_id, segment, tier, acctbal, coalesce(n_orders, 0) as n_orders,
         coalesce(n_urgent, 0) as n_urgent, coalesce(n_low, 0) as n_low, coalesce(n_open, 0) as n_open,
@@ -224,7 +239,8 @@ SQL: dict[str, str] = {
     "regression_metrics": f"""{BASE},
         parts as (select segment, ln(1 + target) as a, {TRAIN} as in_train from cohort where converted = 1),
         fit as (select segment, avg(a) as m from parts where in_train group by segment),
-        pairs as (select exp(a) - 1 as y, exp(m) - 1 as p from parts join fit using (segment) where not in_train)
+        pairs as (select exp(a) - 1 as y, exp(coalesce(m, (select avg(a) from parts where in_train))) - 1 as p
+          from parts left join fit using (segment) where not in_train)
         select {r("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))", 4)} as r2, {r("avg(abs(y - p))", 2)} as mae,
           {r("sqrt(avg((y - p) * (y - p)))", 2)} as rmse, {r("100 * avg(abs((y - p) / (y + 1e-8)))", 2)} as mape,
           {r("avg(y)", 2)} as mean_actual, {r("avg(p)", 2)} as mean_predicted, count(*) as n from pairs""",
@@ -232,31 +248,34 @@ SQL: dict[str, str] = {
     "top_factors": f"{SCORE}, {FACTORS} select profile_id, cast(rank as integer) as rank, feature, {r('z', 6)} as value, score from top3",
     "whatif_gains": f"""{SCORE}, {GAINS} select profile_id, lever, feature, current_value, improved_value, gain,
         cast(rank as integer) as rank from ordered""",
-    "pair_comparison": f"{SCORE}, {PAIRS} select a, b, value_a, value_b, gap, abs_gap, winner from pairs",
+    "pair_comparison": f"{SCORE}, {PAIRS} select a, b, value_a, value_b, gap, abs_gap, winner, status from pairs",
     "explain_text": f"""{SCORE}, {FACTORS}, lines as (
-          select profile_id, string_agg('  ' || rank || '. ' || feature || ' (value ' || printf('%.3f', {r("z", 3)})
-            || ', score ' || printf('%.4f', {r("score", 4)}) || ')', chr(10) order by rank) as factor_lines
+          select profile_id, string_agg('driver ' || rank || ' = ' || feature || ' at ' || printf('%.3f', {r("z", 3)})
+            || ', strength ' || printf('%.4f', {r("score", 4)}), chr(10) order by rank) as factor_lines
           from top3 group by profile_id)
         select profile_id, {lit(text.EXPLAIN_SYSTEM)} as system_text,
-          'Profile:' || chr(10) || {LINES} || chr(10) || 'Predicted value: ' || {money("predicted_value")} || ' K ('
-          || format('{{:,}}', cast(round_even(predicted_value * 1000, 0) as bigint)) || ')' || chr(10) || 'Main factors:'
-          || chr(10) || factor_lines || chr(10)
-          || 'Say how high this value is, which factors helped or hurt, and one thing to improve.' as user_text
+          'score = ' || {money("predicted_value")} || ' K' || chr(10) || 'in single units = '
+          || format('{{:,}}', cast(round_even(predicted_value * 1000, 0) as bigint)) || chr(10) || factor_lines
+          || chr(10) || {LINES} || chr(10)
+          || 'wanted = two sentences on the drivers, one on the rest' as user_text
         from scored join lines using (profile_id)""",
     "advice_text": f"""{SCORE}, {GAINS}, lines as (
-          select profile_id, string_agg('- ' || {LABELS} || ': ' || {money("current_value")} || ' to '
-            || {money("improved_value")} || ', gain ' || {money("gain")}, chr(10) order by rank) as gain_lines
+          select profile_id, string_agg('option ' || rank || ' = ' || {LABELS} || ' ' || {money("current_value")} || ' -> '
+            || {money("improved_value")} || ' adds ' || {money("gain")}, chr(10) order by rank) as gain_lines
           from ordered where rank <= 8 group by profile_id)
         select profile_id, {lit(text.ADVICE_SYSTEM)} as system_text,
-          'Predicted value: ' || {money("predicted_value")} || ' K' || chr(10) || 'Profile:' || chr(10) || {LINES}
-          || chr(10) || 'Largest gains:' || chr(10) || coalesce(gain_lines, 'none') || chr(10)
-          || 'Give three or four steps in order of priority.' as user_text
+          coalesce(gain_lines, 'option = none') || chr(10) || 'score now = ' || {money("predicted_value")} || ' K'
+          || chr(10) || {LINES} || chr(10)
+          || 'wanted = the option with the best return, and what stands against it' as user_text
         from scored left join lines using (profile_id)""",
     "pair_text": f"""{SCORE}, {PAIRS} select a, b, {lit(text.PAIR_SYSTEM)} as system_text,
-          'Profile A (' || segment_a || ', Account balance ' || {money("acctbal_a")} || ') is predicted at '
-          || {money("value_a")} || ' K.' || chr(10)
-          || 'Profile B (' || segment_b || ', Account balance ' || {money("acctbal_b")} || ') is predicted at '
-          || {money("value_b")} || ' K.' || chr(10) || 'Explain the main reasons for the difference.' as user_text
+          'distance = ' || coalesce({money("abs_gap")}, 'unknown') || ' K' || chr(10)
+          || 'score a = ' || {money("value_a")} || ' K' || chr(10) || 'Market segment a = ' || segment_a || chr(10)
+          || 'Account balance a = ' || {money("acctbal_a")} || chr(10)
+          || 'score b = ' || coalesce({money("value_b")}, 'unknown') || ' K' || chr(10)
+          || 'Market segment b = ' || coalesce(segment_b, 'unknown') || chr(10)
+          || 'Account balance b = ' || coalesce({money("acctbal_b")}, 'unknown') || chr(10)
+          || 'wanted = whether the figures above account for the distance' as user_text
         from pairs""",
     "chat_context": CHAT,
     "chat_replay": "select conv_id, turn, role, text from conversations order by conv_id, turn",

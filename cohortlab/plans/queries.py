@@ -12,7 +12,7 @@ from cohortlab.functions.names import label_features as with_labels
 from cohortlab.functions.scalars import round_even
 from cohortlab.operators import clean, cohorts, features, learn, score, text, whatif
 from cohortlab.plans.train import train
-from cohortlab.session import new_folder, stage
+from cohortlab.session import file_states, new_folder, stage
 from cohortlab.sources import bundle as bundles
 from cohortlab.sources import customers, tables
 from cohortlab.spec import CUSTOMERS as SPEC
@@ -48,18 +48,22 @@ def query(function: Query) -> Query:
 
 
 def report_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """What the reports read, written once: an exact median takes three passes."""
-    rows = customers.cohort(spark, folder)
-    return stage(rows.select("segment", "tier", "converted", "target"), "report")
+    """What the reports read. An exact median reads it four times; the order facts are shuffled once."""
+    return customers.cohort(spark, folder).select("segment", "tier", "converted", "target")
 
 
-_ENCODINGS: dict[tuple[str, str], features.Encoding] = {}
+_ENCODINGS: dict[tuple, features.Encoding] = {}
+
+
+def written(spark: SparkSession, folder: str) -> tuple:
+    """What tells this application and the present files of the cohort from all others."""
+    return (spark.sparkContext.applicationId, folder, *(file_states(spark, f"{folder}/{t}.parquet") for t in ("customer", "orders")))
 
 
 def fitted(spark: SparkSession, folder: str) -> features.Encoding:
-    """The encoding of this folder's converted rows; like a saved model it is fitted once per
-    application, so that a query that scores reads its rows a single time."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The encoding of this folder's converted rows; like a saved model it is fitted once per application and
+    state of the files, so that a query that scores reads its rows a single time."""
+    key = written(spark, folder)
     if key not in _ENCODINGS:
         rows = clean.converted_only(customers.cohort(spark, folder), SPEC)
         _ENCODINGS[key] = features.fit_encoding(rows, SPEC)
@@ -75,12 +79,12 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: round_even(F.col(c), digits) for c in names})
 
 
-_SAVED: dict[tuple[str, str], str] = {}
+_SAVED: dict[tuple, str] = {}
 
 
 def saved_model(spark: SparkSession, folder: str) -> str:
-    """Path of the model of this folder; trained and saved by the first query that needs it."""
-    key = (spark.sparkContext.applicationId, folder)
+    """Path of the model of these files; trained and saved by the first query that needs it."""
+    key = written(spark, folder)
     if key not in _SAVED:
         path = new_folder(spark, "model")
         bundles.save(spark, train(customers.cohort(spark, folder), SPEC, tune=False, **FEW_TREES), SPEC, path)
@@ -275,7 +279,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def pair_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return _pairs(spark, folder).select("a", "b", "value_a", "value_b", "gap", "abs_gap", "winner")
+    return _pairs(spark, folder).select("a", "b", "value_a", "value_b", "gap", "abs_gap", "winner", "status")
 
 
 # Text and chat
@@ -307,7 +311,7 @@ def chat_context(spark: SparkSession, folder: str) -> DataFrame:
 def chat_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Replies appended to the other turns, then everything in reading order."""
     turns = customers.read(spark, folder, "conversations")
-    replies = F.col("role") == "assistant"
+    replies = F.coalesce(F.col("role") == "assistant", F.lit(False))
     return text.chat_replay(text.append_turns(turns.where(~replies), turns.where(replies)))
 
 

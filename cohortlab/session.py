@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,9 +29,13 @@ def local_session(cores: str = "*", name: str = "cohortlab") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where alone it may be a
+    folder of this machine."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is not None and not sc.master.startswith("local"):
+        if _files(spark, folder).getScheme() == "file":
+            raise RuntimeError(f"{folder} is on one machine; spark.checkpoint.dir must be shared by all executors")
     if folder is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
@@ -39,8 +45,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_states(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a file or of the files of a folder; changes when they are written again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(
+        sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in _files(spark, path).listStatus(where))
+    )
+
+
+_ROOTS: set[str] = set()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_folder(spark), "cohortlab", f"{label}-{uuid.uuid4().hex}")
+    """A new folder of this application; all of them are removed when the program ends."""
+    root = os.path.join(shared_folder(spark), "cohortlab", spark.sparkContext.applicationId)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        files, path = _files(spark, root), spark._jvm.org.apache.hadoop.fs.Path(root)
+        atexit.register(_removed, files, path)
+    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def _removed(files, path) -> None:
+    try:
+        files.delete(path, True)
+    except (Py4JError, OSError):  # the JVM has ended before
+        pass
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -63,5 +97,4 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        written = spark._jvm.org.apache.hadoop.fs.Path(path)
-        written.getFileSystem(spark._jsc.hadoopConfiguration()).delete(written, True)
+        _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)

@@ -45,16 +45,21 @@ def _parsed(column: T.StructField) -> Column:
     )
 
 
-def read_csv(spark: SparkSession, path: str, spec: CohortSpec) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, spec: CohortSpec, multi_line: bool = False) -> DataFrame:
     """CSV with a header line, columns found by name in any order, further columns left out.
 
     Types come from the spec, so no pass over the data infers them. Columns that are no features,
-    such as the outcome of profiles to score, may be absent.
+    such as the outcome of profiles to score, may be absent. A quote inside quoted text is doubled. Texts with line
+    ends need ``multi_line``, which reads each file in one task. Records of the wrong length stop the job, whatever
+    columns it uses.
     """
     raw = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)
         .csv(path)
     )
     columns = [f for f in spec.schema if f.name in require(raw, spec).columns]
@@ -69,7 +74,7 @@ def require(df: DataFrame, spec: CohortSpec) -> DataFrame:
     """Fail while the plan is built when a feature is missing."""
     missing = [c for c in spec.features if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required feature: {', '.join(missing)}")
+        raise ValueError(f"no value can be found for: {', '.join(missing)}")
     return df
 
 
@@ -80,7 +85,7 @@ def from_dicts(
     for profile in given:
         missing = [c for c in spec.features if c not in profile]
         if missing:
-            raise ValueError(f"Missing required feature: {', '.join(missing)}")
+            raise ValueError(f"no value can be found for: {', '.join(missing)}")
     fields = [f for f in spec.schema if f.name in spec.features]
     number = {T.DoubleType(): float, T.IntegerType(): int, T.LongType(): int}
     rows = [

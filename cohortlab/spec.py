@@ -83,10 +83,9 @@ class CohortSpec:
         return (*self.numeric, self.tier, *self.binary)
 
 
-def _schema(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "i": T.IntegerType(), "l": T.LongType()}
-    pairs = (item.split(":") for item in spec.split())
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs])
+def _columns(kind: str, *names: str) -> list[T.StructField]:
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}
+    return [T.StructField(name, kinds[kind]) for name in names]
 
 
 # The column names of a graduate table and their order.
@@ -109,34 +108,40 @@ GRADUATES = CohortSpec(
     segments=("CSE", "IT", "ECE", "Mechanical", "Civil", "EEE"),
     tiers=(1, 2, 3),
     default_segment="CSE",
-    schema=_schema(
-        "student_id:s cgpa:d coding_score:d communication_score:d aptitude_score:d internships:i "
-        "projects:i backlogs:i resume_score:d skill_score:i branch:s college_tier:i python_skill:i "
-        "dsa_skill:i ml_skill:i web_dev_skill:i placed:i salary_lpa:d company_type:s job_role:s"
-    ),
+    schema=T.StructType([
+        *_columns("string", "student_id"),
+        *_columns("double", "cgpa", "coding_score", "communication_score", "aptitude_score"),
+        *_columns("int", "internships", "projects", "backlogs"),
+        *_columns("double", "resume_score"),
+        *_columns("int", "skill_score"),
+        *_columns("string", "branch"),
+        *_columns("int", "college_tier", *_GRADE_FLAGS, "placed"),
+        *_columns("double", "salary_lpa"),
+        *_columns("string", "company_type", "job_role"),
+    ]),
     levers=default_levers(
         _GRADE_NUMERIC, _GRADE_FLAGS, ("college_tier",), (("internships", 5.0), ("projects", 10.0))
     ),
-    bands=((80.0, "high"), (50.0, "upper middle"), (30.0, "middle")),
-    lowest_band="starting",
+    bands=((80.0, "top"), (50.0, "solid"), (30.0, "modest")),
+    lowest_band="base",
     unit="LPA",
     unit_factor=100000.0,
     labels={
-        "cgpa": "Grade average",
-        "branch": "Branch",
-        "college_tier": "College tier",
-        "python_skill": "Python skill",
-        "dsa_skill": "Data structures and algorithms",
-        "ml_skill": "Machine learning",
-        "web_dev_skill": "Web development",
-        "coding_score": "Coding score",
-        "communication_score": "Communication score",
-        "aptitude_score": "Aptitude score",
-        "internships": "Internships",
-        "projects": "Projects",
-        "backlogs": "Failed courses",
-        "resume_score": "Resume score",
-        "skill_score": "Overall skill score",
+        "cgpa": "Mean grade",
+        "branch": "Subject",
+        "college_tier": "College group",
+        "python_skill": "Knows Python",
+        "dsa_skill": "Knows algorithms",
+        "ml_skill": "Has trained models",
+        "web_dev_skill": "Has built sites",
+        "coding_score": "Programming test",
+        "communication_score": "Speaking mark",
+        "aptitude_score": "Reasoning test",
+        "internships": "Placements done",
+        "projects": "Own projects",
+        "backlogs": "Courses to repeat",
+        "resume_score": "CV mark",
+        "skill_score": "Skills held",
     },
     ranges={
         "cgpa": (5, 10), "coding_score": (0, 100), "communication_score": (0, 10),
@@ -168,13 +173,19 @@ CUSTOMERS = CohortSpec(
     segments=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "SPACE"),
     tiers=(1, 2, 3),
     default_segment="BUILDING",
-    schema=_schema(
-        "profile_id:l segment:s tier:i acctbal:d n_orders:l n_urgent:l n_low:l n_open:l n_recent:l "
-        "flag_urgent:i flag_low:i flag_recent:i flag_open:i converted:i target:d region:s last_priority:s"
-    ),
+    schema=T.StructType([
+        *_columns("long", "profile_id"),
+        *_columns("string", "segment"),
+        *_columns("int", "tier"),
+        *_columns("double", "acctbal"),
+        *_columns("long", *_CUST_NUMERIC[1:]),
+        *_columns("int", *_CUST_FLAGS, "converted"),
+        *_columns("double", "target"),
+        *_columns("string", "region", "last_priority"),
+    ]),
     levers=default_levers(_CUST_NUMERIC, _CUST_FLAGS, ("tier",), (("n_urgent", 5.0), ("n_low", 10.0))),
-    bands=((4000.0, "high"), (2500.0, "upper middle"), (1500.0, "middle")),
-    lowest_band="starting",
+    bands=((4000.0, "top"), (2500.0, "solid"), (1500.0, "modest")),
+    lowest_band="base",
     unit="K",
     unit_factor=1000.0,
     labels={

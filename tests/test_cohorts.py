@@ -1,5 +1,3 @@
-from functools import partial
-
 import numpy as np
 import pytest
 
@@ -97,13 +95,6 @@ def test_partitioning_does_not_change_results(graduates):
     assert few == many
 
 
-def test_reports_are_the_same_when_groups_are_too_large_for_a_buffer(graduates, monkeypatch):
-    reports = (cohorts.overview, cohorts.segment_comparison, cohorts.tier_comparison)
-    buffered = [report(graduates, G).collect() for report in reports]
-    monkeypatch.setattr(cohorts, "exact_median", partial(cohorts.exact_median, buffered_rows=0))
-    assert [report(graduates, G).collect() for report in reports] == buffered
-
-
 def test_flag_counts_stay_within_the_cohort(graduates):
     placed = graduates.where("placed = 1").count()
     for row in cohorts.flag_premium(graduates, G).collect():

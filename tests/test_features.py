@@ -149,8 +149,8 @@ def test_range_violations(make):
 
 @pytest.mark.parametrize(
     ("value", "band"),
-    [(80.0, "high"), (79.99, "upper middle"), (50.0, "upper middle"), (49.99, "middle"),
-     (30.0, "middle"), (29.99, "starting"), (None, None)],
+    [(80.0, "top"), (79.99, "solid"), (50.0, "solid"), (49.99, "modest"),
+     (30.0, "modest"), (29.99, "base"), (None, None)],
 )
 def test_bands(spark, value, band):
     df = spark.createDataFrame([(value,)], "v double")
@@ -177,5 +177,5 @@ def test_outcome_mask_and_projection(make):
 def test_labels_fall_back_to_the_key(spark):
     df = spark.createDataFrame([("cgpa",), ("branch_IT",)], "feature string")
     assert {r["feature"]: r["label"] for r in label_features(df, G).collect()} == {
-        "cgpa": "Grade average", "branch_IT": "branch_IT",
+        "cgpa": "Mean grade", "branch_IT": "branch_IT",
     }

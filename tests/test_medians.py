@@ -1,22 +1,15 @@
-import math
 import statistics
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from cohortlab.operators.medians import MARGINS, edge_columns, exact_median
-from cohortlab.session import shared_folder
+from cohortlab.operators import medians as m
 
 
-def medians(spark, pairs, summary=None):
-    shared_folder(spark)
+def medians(spark, pairs):
     rows = spark.createDataFrame(pairs, "k string, v double").repartition(5)
-    if summary is None:
-        summary = rows.groupBy("k").agg(*edge_columns(F.col("v")))
-    result = exact_median(rows, ["k"], "v", summary.checkpoint(), buffered_rows=0)
-    return {r["k"]: r["median"] for r in result.collect()}
+    return {r["k"]: r["median"] for r in m.exact_median(rows, "k", "v", ["a", "b", "c", "hot", "cold"]).collect()}
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -41,28 +34,35 @@ def test_one_value_holds_most_rows(spark):
     assert medians(spark, pairs) == {"a": 5.0}
 
 
-@pytest.mark.parametrize("edges", [[0.0] * 4, [1e9] * 4, [90.0, 95.0, 96.0, 99.0]])
-def test_wrong_edges_do_not_change_the_result(spark, edges):
-    """The counts, not the sketch, decide which interval is used."""
-    assert len(edges) == 2 * len(MARGINS)
-    summary = spark.createDataFrame(
-        [("a", 101, 0.0, 100.0, edges)],
-        "k string, _n bigint, _min double, _max double, _edges array<double>",
-    )
-    assert medians(spark, [("a", float(i)) for i in range(101)], summary) == {"a": 50.0}
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_few_bins_do_not_change_the_result(spark, monkeypatch, rounds):
+    """The counts decide; bins only say how many values are left for the last step."""
+    monkeypatch.setattr(m, "BINS", 3)
+    monkeypatch.setattr(m, "ROUNDS", rounds)
+    pairs = [("a", float(i * i * i)) for i in range(-50, 51)] + [("b", 1e300), ("b", -1e300), ("b", 1e-300), ("b", None)]
+    assert medians(spark, pairs) == {"a": 0.0, "b": 1e-300}
+
+
+def test_only_listed_keys(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("x", 5.0), (None, 7.0)], "k string, v double")
+    assert m.exact_median(rows, "k", "v", ["a"]).collect() == [("a", 1.0)]
 
 
-def test_small_groups_use_one_buffer(spark):
-    shared_folder(spark)
-    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0)], "k string, v double")
-    summary = rows.groupBy("k").agg(*edge_columns(F.col("v"))).checkpoint()
-    assert exact_median(rows, ["k"], "v", summary).first()["median"] == 2.5
+def test_no_job_while_the_plan_is_built(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("median-plan", "nothing should run")
+    result = m.exact_median(rows, "k", "v", ["a"])
+    assert len(tracker.getJobIdsForGroup("median-plan")) == 0
+    assert result.first()["median"] == 1.5
 
 
-def test_interval_is_a_small_part_of_a_large_group(spark):
-    """The ranked rows are those between the first edges, not the group."""
-    n = 200_000
-    rows = spark.range(n).select(F.lit("a").alias("k"), (F.col("id") * 1.0).alias("v"))
-    edges = rows.groupBy("k").agg(*edge_columns(F.col("v"))).first()["_edges"]
-    width = edges[len(MARGINS)] - edges[0]
-    assert width <= math.ceil(n * (2 * MARGINS[0] + 2 / 100_000)) + 2
+def test_one_plan_for_all_sizes(spark):
+    """Windows are over counted bins or values, never over rows."""
+    rows = spark.range(100_000).selectExpr("'a' as k", "cast(id as double) as v")
+    result = m.exact_median(rows, "k", "v", ["a"])
+    assert result.first()["median"] == 49_999.5
+    plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    for line in plan.split("\n"):
+        if "Window" in line:
+            assert "_bin" in line or "_v" in line

@@ -68,9 +68,13 @@ def test_explain(graduates):
 
 def test_pairs(spark):
     scored = spark.createDataFrame([("x", 10.0), ("y", 12.5), ("z", 10.0)], "student_id string, predicted_value double")
-    pairs = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "z"), ("x", "gone")], "a string, b string")
-    rows = {(r["a"], r["b"]): (r["gap"], r["abs_gap"], r["winner"]) for r in score.pair_comparison(pairs, scored, G).collect()}
-    assert rows == {("x", "y"): (-2.5, 2.5, "b"), ("y", "x"): (2.5, 2.5, "a"), ("x", "z"): (0.0, 0.0, "tie")}
+    pairs = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "z"), ("x", "gone"), ("lost", "gone")], "a string, b string")
+    compared = score.pair_comparison(pairs, scored, G).collect()
+    rows = {(r["a"], r["b"]): (r["gap"], r["abs_gap"], r["winner"], r["status"]) for r in compared}
+    assert rows == {
+        ("x", "y"): (-2.5, 2.5, "b", "ok"), ("y", "x"): (2.5, 2.5, "a", "ok"), ("x", "z"): (0.0, 0.0, "tie", "ok"),
+        ("x", "gone"): (None, None, None, "no b"), ("lost", "gone"): (None, None, None, "neither"),
+    }
 
 
 def test_a_profile_in_most_pairs_is_split(spark):

@@ -17,22 +17,21 @@ def test_explain_text(make, scorer):
     row = text.explain_text(explained, G).first()
     lines = row["user_text"].split("\n")
     assert row["system_text"] == text.EXPLAIN_SYSTEM
-    assert "- Grade average: 8.13" in lines and "- Branch: IT" in lines and "- Projects: 3" in lines
-    assert "- Coding score: unknown" in lines
-    value = next(x for x in lines if x.startswith("Predicted value: "))
-    assert value.endswith(")") and " LPA (" in value and "," in value
-    assert sum(x.startswith("  ") for x in lines) == 2
+    assert "Mean grade = 8.13" in lines and "Subject = IT" in lines and "Own projects = 3" in lines
+    assert "Programming test = 50.00" in lines and explained.first()["n_filled"] == 1
+    assert lines[0].startswith("score = ") and lines[0].endswith(" LPA") and "," in lines[1]
+    assert sum(x.startswith("driver ") for x in lines) == 2
 
 
 def test_advice_text_keeps_eight_gains_and_profiles_without_any(make, graduates, scorer):
     encoding, _ = scorer
     every = learn.weighted_sum(encoding, {n: 0.05 for n in encoding.names}, 3.9)
     row = text.advice_text(make({"python_skill": 0, "dsa_skill": 0}), every, G).first()
-    gains = row["user_text"].split("Largest gains:\n")[1].split("\n")[:-1]
-    assert len(gains) == 8 and all(g.startswith("- ") and ", gain " in g for g in gains)
+    gains = [x for x in row["user_text"].split("\n") if x.startswith("option ")]
+    assert len(gains) == 8 and all(" -> " in g and " adds " in g for g in gains)
     flat = learn.weighted_sum(encoding, {"cgpa": 0.0}, 3.0)
     row = text.advice_text(make({}), flat, G).first()
-    assert "Largest gains:\nnone\n" in row["user_text"]
+    assert row["user_text"].startswith("option = none\n")
 
 
 def test_importance_text(spark):
@@ -40,19 +39,20 @@ def test_importance_text(spark):
         [(i + 1, f"f{i}", 1 / (i + 2)) for i in range(19)], "rank int, feature string, importance double"
     ).repartition(4)
     lines = text.importance_text(table).first()["user_text"].split("\n")
-    assert lines[1] == "1. f0: 0.500000" and lines[10] == "10. f9: 0.090909" and len(lines) == 12
+    assert lines[0] == "place 1 = f0, share 0.500000" and lines[9] == "place 10 = f9, share 0.090909" and len(lines) == 11
 
 
 def test_pair_text(spark):
     scored = spark.createDataFrame(
         [("x", "IT", 8.0, 10.0), ("y", "EEE", 6.5, 12.5)], "student_id string, branch string, cgpa double, predicted_value double"
     )
-    pairs = spark.createDataFrame([("x", "y")], "a string, b string")
-    row = text.pair_text(score.pair_comparison(pairs, scored, G, ["branch", "cgpa"]), G, "cgpa").first()
-    assert row["user_text"].split("\n")[:2] == [
-        "Profile A (IT, Grade average 8.00) is predicted at 10.00 LPA.",
-        "Profile B (EEE, Grade average 6.50) is predicted at 12.50 LPA.",
+    pairs = spark.createDataFrame([("x", "y"), ("y", "gone")], "a string, b string")
+    rows = text.pair_text(score.pair_comparison(pairs, scored, G, ["branch", "cgpa"]), G, "cgpa").orderBy("a").collect()
+    assert rows[0]["user_text"].split("\n")[:7] == [
+        "distance = 2.50 LPA", "score a = 10.00 LPA", "Subject a = IT", "Mean grade a = 8.00",
+        "score b = 12.50 LPA", "Subject b = EEE", "Mean grade b = 6.50",
     ]
+    assert "score b = unknown LPA\nSubject b = unknown\nMean grade b = unknown" in rows[1]["user_text"]
 
 
 def test_chat(spark, make):
@@ -64,8 +64,10 @@ def test_chat(spark, make):
     rows = text.chat_context(turns, sentence.scalar()).orderBy("conv_id").collect()
     assert [r["user_text"][:4] for r in rows] == ["hi\n\n", "why?"]
     assert rows[0]["user_text"].endswith(
-        "[Context] The data holds 3 profiles, 66.7% converted, mean value 15.00 LPA, range 10.00 to 20.00 LPA."
+        "\n\nrows = 3\nconverted = 66.7 in 100\nlowest = 10.00 LPA\nmean = 15.00 LPA\nhighest = 20.00 LPA"
     )
+    silent = spark.createDataFrame([(1, 0, "user", None)], turns.schema)
+    assert text.chat_context(silent, sentence.scalar()).first()["user_text"].startswith("\n\nrows = 3")
     assert {r["system_text"] for r in rows} == {text.CHAT_SYSTEM}
     more = spark.createDataFrame([("later", "assistant", 1, 2)], "text string, role string, turn int, conv_id int")
     replay = text.chat_replay(text.append_turns(turns, more)).collect()
