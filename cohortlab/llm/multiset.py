@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cohortlab.llm.tables import BLANK, SPACES, field, keep, ranked
 
 EQUAL_LANES, EQUAL_BITS = 16, 32
-SIGN_LANES, SIGN_BITS = 128, 16
+SIGN_LANES, SIGN_BITS = 96, 16
 SHINGLE = 3
 
 
@@ -26,7 +26,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def equal_lanes(text: Column) -> Column:
-    """Lanes of the whole paragraphs, summed modulo 2^32."""
+    """Lanes of the whole paragraphs, summed modulo 2^32, as signed numbers."""
     lanes = F.array(*(_lit(i) for i in range(EQUAL_LANES)))
     mask = F.lit((1 << EQUAL_BITS) - 1)
 
@@ -36,10 +36,11 @@ def equal_lanes(text: Column) -> Column:
         ))
         return digests[0]
 
-    zero = F.array(*(_lit(0) for _ in range(EQUAL_LANES)))
+    zero, half = F.array(*(_lit(0) for _ in range(EQUAL_LANES))), F.lit(1 << EQUAL_BITS - 1)
     return F.aggregate(
         F.transform(paragraphs(text), vector), zero,
         lambda total, v: F.zip_with(total, v, lambda a, b: (a + b).bitwiseAND(mask)),
+        lambda total: F.transform(total, lambda x: (F.pmod(x + half, 2 * half) - half).cast("int")),
     )
 
 
@@ -69,11 +70,9 @@ def shingles(text: Column) -> Column:
 def _sign_sums() -> list[Column]:
     """Number of shingles with each bit set, two lanes to a sum: the lower one counts up to 2^32."""
     sums = []
-    for word in range(SIGN_LANES // 64):
-        h = F.col(f"h{word}")
-        for k in range(32):
-            both = F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1 << 32 | 1))
-            sums.append(F.sum(both).alias(f"s{word}_{k}"))
+    for i in range(SIGN_LANES // 2):
+        both = F.shiftrightunsigned(F.col(f"h{i // 32}"), i % 32).bitwiseAND(F.lit(1 << 32 | 1))
+        sums.append(F.sum(both).alias(f"s{i}"))
     return sums
 
 
@@ -81,12 +80,10 @@ def _sign_lanes(n: Column) -> Column:
     """Sums of +1 and -1 modulo 2^16, as signed numbers."""
     half = 1 << SIGN_BITS - 1
     lanes = []
-    for word in range(SIGN_LANES // 64):
-        for upper in (False, True):
-            for k in range(32):
-                s = F.coalesce(F.col(f"s{word}_{k}"), F.lit(0))
-                count = F.shiftright(s, 32) if upper else s.bitwiseAND(F.lit((1 << 32) - 1))
-                lanes.append((F.pmod(2 * count - n + half, F.lit(2 * half)) - half).cast("smallint"))
+    for i in range(SIGN_LANES // 2):
+        s = F.coalesce(F.col(f"s{i}"), F.lit(0))
+        for count in (s.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(s, 32)):
+            lanes.append((F.pmod(2 * count - n + half, F.lit(2 * half)) - half).cast("smallint"))
     return F.array(*lanes)
 
 
@@ -120,6 +117,11 @@ def likeness(equal_a: Column, signs_a: Column, equal_b: Column, signs_b: Column)
     return F.when(same, 1.0).otherwise(F.least(F.greatest(angle, F.lit(0.0)), F.lit(1.0)))
 
 
+def _some(equal: str) -> Column:
+    """128 bits of the first lanes."""
+    return F.slice(equal, 1, 4)
+
+
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint)`` for each document of ``docs(doc_id, text)``; cases as in ``compare_with_next``."""
     keys = ["k1", "k2", "k3"]
@@ -181,17 +183,17 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_edited"), F.col("signs"))).alias("edited_signs"),
     )
     info = whole.select(
-        *keys, *following, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        *keys, *following, n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("digest"),
         equal_lanes(F.col("text")).alias("equal"), equal_lanes(F.col("edited")).alias("edited_equal"),
     )
-    # Kept because each document is looked up by the one before it.
+    # Kept because each document is looked up by the one before it. A few lanes tell whether two are equal.
     own = keep(info.join(signs, keys), "fingerprints")
-    after = own.select(*(F.col(k).alias(f"n{k}") for k in keys), F.col("equal").alias("next_equal"),
+    after = own.select(*(F.col(k).alias(f"n{k}") for k in keys), _some("equal").alias("next_equal"),
                        F.col("signs").alias("next_signs"))
     mine = (F.col("equal"), F.col("signs"))
     return own.join(after, following).select(
-        _id().alias("doc_id"), "n_chars", "edited_sha256", as_text(*mine).alias("fingerprint"),
+        _id().alias("doc_id"), "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), as_text(*mine).alias("fingerprint"),
         as_text(F.col("edited_equal"), F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(*mine, F.col("edited_equal"), F.col("edited_signs")).alias("near_edited"),
-        likeness(*mine, F.col("next_equal"), F.col("next_signs")).alias("near_next"),
+        likeness(_some("equal"), F.col("signs"), F.col("next_equal"), F.col("next_signs")).alias("near_next"),
     )
