@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlab.llm import hyperminhash, mixing, pieces, pseudonyms, rules
-from cohortlab.llm.tables import keep, read
+from cohortlab.llm.tables import field, keep, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +23,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms; ``n_chars`` follows the text."""
-    return pseudonyms.pseudonymise(docs).drop("n_values").select(*docs.columns)
+    """Personal data replaced by pseudonyms of the same format."""
+    return pseudonyms.pseudonymise(docs).select(*map(field, docs.columns))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as their source's target asks for."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*map(field, docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
