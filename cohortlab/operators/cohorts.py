@@ -51,8 +51,8 @@ def overview(df: DataFrame, spec: CohortSpec, exact: bool = True) -> DataFrame:
     ]
     if exact:
         # The converted rows form the one group whose median is wanted.
-        median = exact_median(rows, spec.outcome, spec.target, [1])
-        report = rows.agg(*aggs).withColumn(spec.outcome, F.lit(1)).join(F.broadcast(median), spec.outcome, "left")
+        median = exact_median(rows, spec.outcome, spec.target, [1]).select("median")
+        report = rows.agg(*aggs).withColumn("median", median.scalar())
     else:
         report = rows.agg(*aggs, approx_median(target).alias("median"))
     return report.select(
