@@ -96,11 +96,13 @@ def ranked(df: DataFrame, order: Sequence[Column], label: str, name: str = "rank
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = numbered(dealt, label, "_at")
-    part, index = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}
+    sizes = {r[0]: r[1] for r in placed.groupBy(F.shiftright("_at", 33)).count().collect()}
     starts, before = [], 0
     for p in sorted(sizes):
-        starts += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        starts.append((p, before))
         before += sizes[p]
-    start = F.create_map(*starts)[part] if starts else F.lit(0).cast("long")
-    return placed.withColumn(name, index + start).drop("_at")
+    # One row for each partition that has rows.
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    index = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.withColumn("_part", F.shiftright("_at", 33)).join(first, "_part")
+    return out.withColumn(name, index + F.col("_start")).drop("_at", "_part", "_start")
