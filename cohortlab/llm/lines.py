@@ -1,8 +1,11 @@
-"""Repeated passages, by hashing lines.
-
-Lines are normalised (words, A-Z lower-cased, one blank between them) and their digests grouped over the whole corpus.
-The occurrence that comes first, by document and place, stays; the others are cut out. What is left of a
-text keeps the places of its parts in the original.
+"""Repeated passages, by hashing lines and runs of lines.
+
+A passage is a line that has enough words, or a run of lines that have enough words together: from each line on, and up
+to each line, the shortest such run, and each whole paragraph between blank lines. So passages wrapped into short lines
+are found wherever they start, and copies cut alike. Passages are normalised (words, A-Z lower-cased, one blank between
+them) and their digests grouped over the whole corpus. The occurrence that comes first, by document and place, stays;
+the lines of the others are cut out. What is left of a text keeps the places of its parts in the original.
+What is repeated only inside lines that otherwise differ stays.
 """
 
 from __future__ import annotations
@@ -17,29 +20,60 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from cohortlab.llm.shingles import binary, text_key, word_list
 from cohortlab.llm.tables import field, in_arrow, keep, packed, unpacked
 
-# Words that a line must have to be looked for elsewhere.
+# Words that a line or a run of lines must have to be looked for elsewhere.
 LEAST_WORDS = 20
 
 
+def passages(lines: list[list[bytes]], least: int) -> list[tuple[int, int]]:
+    """First and last line of the passages of a text, given by the words of its lines; neither of them is blank."""
+    full = [i for i, words in enumerate(lines) if words]
+    n, ahead = len(full), [0]
+    for i in full:
+        ahead.append(ahead[-1] + len(lines[i]))
+    found = set()
+    # Two pointers over the lines with words: the shortest run from each line on, and up to each line.
+    last = 0
+    for first in range(n):
+        last = max(last, first)
+        while last < n and ahead[last + 1] - ahead[first] < least:
+            last += 1
+        if last == n:
+            break
+        found.add((first, last))
+    first = 0
+    for last in range(n):
+        while ahead[last + 1] - ahead[first + 1] >= least and first < last:
+            first += 1
+        if ahead[last + 1] - ahead[first] >= least:
+            found.add((first, last))
+    first = 0
+    for last in range(n):
+        if last + 1 == n or full[last + 1] > full[last] + 1:
+            if ahead[last + 1] - ahead[first] >= least:
+                found.add((first, last))
+            first = last + 1
+    return sorted((full[a], full[b]) for a, b in found)
+
+
 def _hasher(least: int) -> Callable:
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Place and digest of the lines of each text that have enough words."""
+        """First and last line and digest of the passages of each text."""
         for batch in batches:
-            rows, places, high, low = [], [], [], []
+            rows, places, ends, high, low = [], [], [], [], []
             for i, text in enumerate(binary(batch.column("text"))):
-                for place, line in enumerate((text or b"").split(b"\n")):
-                    words = word_list(line)
-                    if len(words) >= least:
-                        first, second = text_key(words)
-                        rows.append(i)
-                        places.append(place)
-                        high.append(first)
-                        low.append(second)
+                lines = [word_list(line) for line in (text or b"").split(b"\n")]
+                for place, end in passages(lines, least):
+                    first, second = text_key([w for line in lines[place : end + 1] for w in line])
+                    rows.append(i)
+                    places.append(place)
+                    ends.append(end)
+                    high.append(first)
+                    low.append(second)
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(taken) for c in ("k1", "k2", "k3")),
-                 *(pa.array(x, pa.int64()) for x in (places, high, low))],
-                names=["k1", "k2", "k3", "place", "h1", "h2"],
+                 *(pa.array(x, pa.int64()) for x in (places, ends, high, low))],
+                names=["k1", "k2", "k3", "place", "end", "h1", "h2"],
             )
 
     return units
@@ -66,7 +100,8 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans.append([])
                 counts.append(0)
                 continue
-            out, kept, at, gone = [], [], 0, set(cut or ())
+            out, kept, at = [], [], 0
+            gone = {place for c in cut or () for place in range(c["place"], c["end"] + 1)}
             for place, line in enumerate(text.split("\n")):
                 if place not in gone:
                     if kept and kept[-1]["end"] == at - 1:
@@ -88,8 +123,9 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The columns of ``docs`` with ``text`` without its repeated lines, ``n_removed`` (lines) and ``spans`` (start and
     end, in characters of the original text, of each run of lines that stays; joined by line ends they are the text).
 
-    Lines with fewer than ``least_words`` words are left alone. Documents rank by id, null last; within a text the
-    upper line comes first. Rows that repeat an id and a text are one document and get the same result; several texts
+    Lines and runs of lines with fewer than ``least_words`` words are left alone. Blank lines inside a repeated run go
+    with it. Documents rank by id, null last; within a text the upper passage comes first, and passages that overlap
+    it stay. Rows that repeat an id and a text are one document and get the same result; several texts
     with one id rank by their hashes. Null text: null, no spans. Very long texts are read whole. An empty table
     gives no rows. Extra columns are kept, but for those with the names of the new ones.
     """
@@ -97,14 +133,15 @@ def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     keys = [F.coalesce(doc_id, F.lit(0)).alias("k1"), doc_id.isNull().alias("k2"), F.xxhash64(text).alias("k3")]
     units = in_arrow(
         docs.select(*keys, text.alias("text")), _hasher(least_words),
-        "k1 long, k2 boolean, k3 long, place long, h1 long, h2 long",
+        "k1 long, k2 boolean, k3 long, place long, end long, h1 long, h2 long",
     )
     units = keep(units.withColumn("rank", _rank()), "units")
     first = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1")
     repeats = units.join(first, ["h1", "h2"])
-    upper = F.min("place").over(Window.partitionBy("h1", "h2", "rank"))
+    # Passages with one content that start at different lines end in the same order.
+    upper = F.min("end").over(Window.partitionBy("h1", "h2", "rank"))
     repeats = repeats.withColumn("upper", upper).where((F.col("rank") > F.col("first")) | (F.col("place") > F.col("upper")))
-    cut = repeats.groupBy("k1", "k2", "k3").agg(F.collect_set("place").alias("cut"))
+    cut = repeats.groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("place", "end")).alias("cut"))
     rows = packed(docs, *keys, text.alias("text")).join(cut, ["k1", "k2", "k3"], "left").select("doc", "text", "cut")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([

@@ -52,3 +52,60 @@ def test_edges(spark):
     null_last = spark.createDataFrame([(None, "a b c"), (5, "A  b c"), (-7, "a b C"), (None, "a b c d")], "doc_id long, text string")
     kept = {(r["doc_id"], r["text"]) for r in lines.drop_repeats(null_last, 3).collect()}
     assert kept == {(None, ""), (5, ""), (-7, "a b C"), (None, "a b c d")}
+
+
+def brute_passages(docs, least):
+    """As ``brute``, for runs of lines: the shortest from each line on and up to each line, and whole paragraphs."""
+    seen, out = {}, {}
+    for order, (doc_id, text) in enumerate(sorted(docs)):
+        parts = text.split("\n")
+        words = [p.encode().lower().split() for p in parts]
+        full = [i for i, w in enumerate(words) if w]
+
+        def content(i, j, words=words):
+            return tuple(w for line in words[i : j + 1] for w in line)
+
+        found = set()
+        for i in full:
+            found |= {(i, j) for j in full if j >= i and len(content(i, j)) >= least and len(content(i, j - 1)) < least}
+            found |= {(h, i) for h in full if h <= i and len(content(h, i)) >= least and len(content(h + 1, i)) < least}
+            if i == 0 or not words[i - 1]:
+                j = next((j for j in range(i, len(words)) if not words[j]), len(words)) - 1
+                found |= {(i, j)} if len(content(i, j)) >= least else set()
+        gone = set()
+        for i, j in sorted(found):
+            first, end = seen.setdefault(content(i, j), (order, j))
+            if first < order or i > end:
+                gone |= set(range(i, j + 1))
+        out[doc_id] = "\n".join(p for i, p in enumerate(parts) if i not in gone), len(gone)
+    return out
+
+
+def test_wrapped_passages_go(spark):
+    words = [f"word{i}" for i in range(60)]
+
+    def wrapped(n):
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
+
+    chant = "\n".join(["one short line again"] * 12)
+    docs = [
+        (1, f"start\n{wrapped(6)}\n\nend"), (2, wrapped(6)), (3, f"other start here\n{wrapped(6)}\nother end"),
+        (4, f"head\n\n{wrapped(10)}\n\ntail"), (5, wrapped(10).upper()), (6, wrapped(60)), (7, chant),
+        (8, f"{words[0]}\n{words[1]}"), (9, f"lead\n\n{wrapped(5)}\n\n{wrapped(4)}"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.drop_repeats(df).collect()}
+    assert got == brute_passages(docs, lines.LEAST_WORDS)
+    # Equal wrapping goes wherever it starts, other wrapping as a whole paragraph; what comes first and short lines stay.
+    assert got[1] == (docs[0][1], 0) and got[2] == ("", 10) and got[3] == ("other start here\nother end", 10)
+    assert got[5] == ("", 6) and got[6] == ("", 1) and got[8] == (docs[7][1], 0)
+    assert got[7] == ("\n".join(["one short line again"] * 5), 7) and got[9][0].split() == ["lead"]
+
+
+def test_query_against_brute_force_of_passages(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()]
+    rows = REGISTRY["op9_repeated_lines"](spark, MEDIUM).collect()
+    expected = brute_passages([d for d in docs if d[1].count("\n") < 200], lines.LEAST_WORDS)
+    assert len(expected) == len(docs)
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows} == expected
+    assert next(r for r in rows if r["doc_id"] == 942)["n_removed"] > brute(docs, lines.LEAST_WORDS)[942][1]
