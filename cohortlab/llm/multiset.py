@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cohortlab.llm.tables import BLANK, SPACES, field, keep, ranked
 
 EQUAL_LANES, EQUAL_BITS = 16, 32
-SIGN_LANES, SIGN_BITS = 96, 16
+SIGN_LANES, SIGN_BITS = 128, 16
 SHINGLE = 3
 
 
@@ -122,6 +122,19 @@ def _some(equal: str) -> Column:
     return F.slice(equal, 1, 4)
 
 
+def _narrow(signs: str) -> Column:
+    """Sign lanes in bytes if all of them fit, for shuffles and files."""
+    small = F.array_max(F.transform(signs, lambda x: F.abs(x.cast("long")))) < 1 << 7
+    return F.struct(
+        F.when(small, F.transform(signs, lambda x: x.cast("tinyint"))).alias("bytes"), F.when(~small, F.col(signs)).alias("wide")
+    ).alias(signs)
+
+
+def _widened(signs: str) -> Column:
+    lanes = F.transform(F.col(f"{signs}.bytes"), lambda x: x.cast("smallint"))
+    return F.coalesce(lanes, F.col(f"{signs}.wide"))
+
+
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint)`` for each document of ``docs(doc_id, text)``; cases as in ``compare_with_next``."""
     keys = ["k1", "k2", "k3"]
@@ -187,11 +200,13 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         equal_lanes(F.col("text")).alias("equal"), equal_lanes(F.col("edited")).alias("edited_equal"),
     )
     # Kept because each document is looked up by the one before it. A few lanes tell whether two are equal.
-    own = keep(info.join(signs, keys), "fingerprints")
+    both = info.join(signs, keys)
+    own = keep(both.withColumns({c: _narrow(c) for c in ("signs", "edited_signs")}), "fingerprints")
     after = own.select(*(F.col(k).alias(f"n{k}") for k in keys), _some("equal").alias("next_equal"),
                        F.col("signs").alias("next_signs"))
     mine = (F.col("equal"), F.col("signs"))
-    return own.join(after, following).select(
+    pairs = own.join(after, following)
+    return pairs.withColumns({c: _widened(c) for c in ("signs", "edited_signs", "next_signs")}).select(
         _id().alias("doc_id"), "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), as_text(*mine).alias("fingerprint"),
         as_text(F.col("edited_equal"), F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(*mine, F.col("edited_equal"), F.col("edited_signs")).alias("near_edited"),

@@ -1,5 +1,7 @@
 import hashlib
+import math
 
+import pytest
 from cases import edge_documents, empty_documents
 from conftest import MEDIUM
 from pyspark.sql import functions as F
@@ -76,3 +78,21 @@ def test_edges(spark):
     assert alone["near_next"] == 1 and alone["edited_sha256"] == hashlib.sha256(b"just onjust o").hexdigest()
     plan = multiset.fingerprint_table(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_lanes_count(spark):
+    """Likeness is the cosine over 128 lanes, however they are stored."""
+
+    def signed(fingerprint):
+        return [x - (x >> 15 << 16) for x in lanes(fingerprint)[1]]
+
+    rows = REGISTRY["op10_multiset_fingerprints"](spark, MEDIUM).collect()
+    widths = set()
+    for r in rows:
+        a, b = signed(r["fingerprint"]), signed(r["edited_fingerprint"])
+        assert len(a) == len(b) == 128
+        norm = math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+        near = sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else 0
+        assert r["near_edited"] == pytest.approx(1 if r["fingerprint"] == r["edited_fingerprint"] else max(near, 0))
+        widths.add(max(map(abs, a)) < 128)
+    assert widths == {True, False}
