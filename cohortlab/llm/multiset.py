@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from cohortlab.llm.tables import BLANK, SPACES, field, keep, ranked
 
 EQUAL_LANES, EQUAL_BITS = 16, 32
-SIGN_LANES, SIGN_BITS = 128, 16
+SIGN_LANES, SIGN_BITS = 128, 32
+# Of a sign lane, what the text of a fingerprint shows.
+TEXT_BITS = 16
 SHINGLE = 3
 
 
@@ -77,13 +79,13 @@ def _sign_sums() -> list[Column]:
 
 
 def _sign_lanes(n: Column) -> Column:
-    """Sums of +1 and -1 modulo 2^16, as signed numbers."""
-    half = 1 << SIGN_BITS - 1
+    """Sums of +1 and -1 modulo 2^32, as signed numbers."""
+    half = F.lit(1 << SIGN_BITS - 1)
     lanes = []
     for i in range(SIGN_LANES // 2):
         s = F.coalesce(F.col(f"s{i}"), F.lit(0))
         for count in (s.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(s, 32)):
-            lanes.append((F.pmod(2 * count - n + half, F.lit(2 * half)) - half).cast("smallint"))
+            lanes.append((F.pmod(2 * count - n + half, 2 * half) - half).cast("int"))
     return F.array(*lanes)
 
 
@@ -97,13 +99,13 @@ def sign_lanes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def as_text(equal: Column, signs: Column) -> Column:
-    """A fingerprint in hexadecimal digits."""
+    """A fingerprint in hexadecimal digits; of the sign lanes the lower 16 bits, which still add and subtract lane by lane."""
 
     def digits(lanes: Column, bits: int) -> Column:
         low = F.lit((1 << bits) - 1)
         return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(low)), bits // 4, "0")), "")
 
-    return F.lower(F.concat(digits(equal, EQUAL_BITS), digits(signs, SIGN_BITS)))
+    return F.lower(F.concat(digits(equal, EQUAL_BITS), digits(signs, TEXT_BITS)))
 
 
 def likeness(equal_a: Column, signs_a: Column, equal_b: Column, signs_b: Column) -> Column:
@@ -123,16 +125,22 @@ def _some(equal: str) -> Column:
 
 
 def _narrow(signs: str) -> Column:
-    """Sign lanes in bytes if all of them fit, for shuffles and files."""
-    small = F.array_max(F.transform(signs, lambda x: F.abs(x.cast("long")))) < 1 << 7
+    """Sign lanes in the narrowest type that all of them fit, for shuffles and files."""
+    widest = F.array_max(F.transform(signs, lambda x: F.abs(x.cast("long"))))
+
+    def lanes(kind: str) -> Column:
+        return F.transform(signs, lambda x: x.cast(kind))
+
     return F.struct(
-        F.when(small, F.transform(signs, lambda x: x.cast("tinyint"))).alias("bytes"), F.when(~small, F.col(signs)).alias("wide")
+        F.when(widest < 1 << 7, lanes("tinyint")).alias("bytes"),
+        F.when((widest >= 1 << 7) & (widest < 1 << 15), lanes("smallint")).alias("shorts"),
+        F.when(widest >= 1 << 15, F.col(signs)).alias("ints"),
     ).alias(signs)
 
 
 def _widened(signs: str) -> Column:
-    lanes = F.transform(F.col(f"{signs}.bytes"), lambda x: x.cast("smallint"))
-    return F.coalesce(lanes, F.col(f"{signs}.wide"))
+    bytes_, shorts = (F.transform(F.col(f"{signs}.{c}"), lambda x: x.cast("int")) for c in ("bytes", "shorts"))
+    return F.coalesce(bytes_, shorts, F.col(f"{signs}.ints"))
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:

@@ -96,3 +96,12 @@ def test_all_lanes_count(spark):
         assert r["near_edited"] == pytest.approx(1 if r["fingerprint"] == r["edited_fingerprint"] else max(near, 0))
         widths.add(max(map(abs, a)) < 128)
     assert widths == {True, False}
+
+
+def test_one_line_very_often(spark):
+    """40,000 shingles of one kind, and 20,000 after the edit: the angle does not change."""
+    docs = spark.createDataFrame([(2, "one two three\n" * 40_000), (1, "short")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in multiset.compare_with_next(docs).collect()}
+    assert rows[2]["near_edited"] > 0.999
+    signs = multiset.sign_lanes(docs, ["doc_id"], "text").where("doc_id = 2").first()["signs"]
+    assert len(signs) == 128 and {abs(x) for x in signs} == {40_000}
