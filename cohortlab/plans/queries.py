@@ -36,8 +36,6 @@ IMPORTANCE = [
     ("segment_FURNITURE", 0.01), ("segment_BUILDING", 0.01), ("flag_open", 0.005),
     ("flag_recent", 0.005),
 ]
-FEW_TREES = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2}
-SMALL_GRID = {"maxIter": [3, 5], "maxDepth": [3]}
 KEYS = ["segment", "tier", "region", "last_priority"]
 REPLY_PREFIXES = (*clean.FAILED_REPLY, "Th")
 
@@ -87,7 +85,7 @@ def saved_model(spark: SparkSession, folder: str) -> str:
     key = written(spark, folder)
     if key not in _SAVED:
         path = new_folder(spark, "model")
-        bundles.save(spark, train(customers.cohort(spark, folder), SPEC, tune=False, **FEW_TREES), SPEC, path)
+        bundles.save(spark, train(customers.cohort(spark, folder), SPEC, tune=False, **learn.UNTUNED), SPEC, path)
         _SAVED[key] = path
     return _SAVED[key]
 
@@ -358,9 +356,9 @@ def importance_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean error of each combination of a small grid; the full grid is the default of ``train``."""
+    """Mean error of each combination of the grid."""
     df = customers.cohort(spark, folder)
-    return learn.grid_table(df, train(df, SPEC, tune=True, grid=SMALL_GRID, folds=2).grid)
+    return learn.grid_table(df, train(df, SPEC, tune=True, grid=learn.GRID, folds=learn.FOLDS).grid)
 
 
 # Streams
