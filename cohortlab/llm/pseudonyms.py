@@ -33,8 +33,8 @@ PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
 ANY = "|".join((SECRET, ACCESS, EMAIL, IP, CARD, PHONE, SSN, DATE))
-# No format goes without one of these.
-HINT = r"[0-9@=]"
+# No format goes without one of these: the other formats need digits.
+HINT = r"[0-9@=]|password:|AKIA"
 _DATE_FORMATS = (
     (r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), (r"^[0-9]{2}/", "MM/dd/yyyy"),
 )
