@@ -22,7 +22,9 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 # What the formats look like.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"(?<=password[=:])[^\s\"']{4,128}|(?<=token = \")[A-Za-z0-9_-]{16,128}|(?<=token=)[A-Za-z0-9_-]{16,128}"
+# A token ends before a full stop, so that it has one pseudonym at the end of a sentence too.
+_TOKEN = r"[A-Za-z0-9._~+/=-]{15,}[A-Za-z0-9_~+/=-]"
+SECRET = rf"(?<=password[=:])[^\s\"']{{4,}}|(?<=token = \"){_TOKEN}|(?<=token=){_TOKEN}"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 CARD = (

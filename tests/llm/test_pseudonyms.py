@@ -105,3 +105,14 @@ def test_values_in_texts_without_digits(spark):
     got = {r["doc_id"]: (r["text"], r["n_values"]) for r in ps.pseudonymise(rows).collect()}
     assert re.fullmatch("my password:[a-z]{12} is out", got[0][0]) and "correcthorse" not in got[0][0] and got[0][1] == 1
     assert re.fullmatch("the key AKIA[0-9A-Z]{16} was here", got[1][0]) and "ABCDEFGHIJKLMNOP" not in got[1][0] and got[1][1] == 1
+
+
+def test_secrets_to_their_end(spark):
+    word, parts = "correct" * 40, ("headerHEADER0123456", "payload+PAYLOAD/0123=", "signature~SIGNATURE_-x")
+    token, long_token = ".".join(parts), "abcDEF123" * 30
+    new = replaced(spark, f"password={word} end", f"token={token}. End", f'token = "{long_token}"', f"token={long_token} end")
+    assert re.fullmatch("password=[a-z]{280} end", new[0]) and "correct" not in new[0]
+    made = re.fullmatch(r"token=([A-Za-z0-9]{19}\.[A-Za-z0-9+/]{20}=\.[A-Za-z0-9]{9}~[A-Za-z0-9]{9}_-[a-z])\. End", new[1])[1]
+    assert all(a != b for a, b in zip(parts, made.split("."), strict=True))
+    assert re.fullmatch('token = "[A-Za-z0-9]{270}"', new[2]) and long_token[128:] not in new[2]
+    assert new[2][9:-1] == new[3][6:-4]
