@@ -125,3 +125,12 @@ def test_edges(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "1", "2", "3", "4", "5", "7", "None", "None"]
     assert hmh.near_duplicates(empty_documents(spark)).count() == 0
     assert hmh.one_of_each(empty_documents(spark)).count() == 0
+
+
+def test_estimate_keeps_borderline_pairs():
+    """78 of 128 registers equal is five standard errors below 0.8: the full sets decide."""
+    a = np.arange(hmh.REGISTERS, dtype=np.uint16)[None, :]
+    b = a.copy()
+    b[0, 78:] += 1000
+    n = np.array([1000])
+    assert hmh._likely(a, b, n, n, 80).all()
