@@ -130,3 +130,87 @@ SELECT page_id, host, path, rule,
   CASE WHEN ruled IS NOT NULL THEN 'rule' WHEN blocked IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
 FROM classed LEFT JOIN said USING (class)
 """
+
+# Checksums of bytes: the table of the reflected polynomial, and the steps over the bytes of a text.
+_TABLE = """(SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc32(text: str, table: str) -> str:
+    byte = f"('0x' || substr(hex(encode({text})), (2 * i + 1)::int, 2))::bigint"
+    places = f"range(octet_length(encode({text})))"
+    step = f"xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce([4294967295::bigint] || [{byte} FOR i IN {places}], lambda c, b: {step}), 4294967295)"
+
+
+SQL["op11_prefix_trie"] = f"""
+WITH crc AS (SELECT {_TABLE} AS t), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source, {_crc32('conv_id::varchar', 't')} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS side, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.source AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.i, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h
+), placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, i) AS pos, text, md5(len(role) || ':' || role || text) AS k
+  FROM rebuilt
+), prefixes AS (
+  SELECT conv_id, pos, octet_length(encode(text)) AS bytes, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos) AS p
+  FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), ends AS (
+  SELECT p, sha256(string_agg(conv_id::varchar, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(p, pos) AS p FROM prefixes GROUP BY conv_id) GROUP BY p
+), nodes AS (
+  SELECT p, any_value(pos) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes
+  FROM prefixes GROUP BY p
+), children AS (
+  SELECT left(p, -32) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (p)
+), below AS (
+  SELECT a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+  FROM prefixes a JOIN counted b ON a.conv_id = b.conv_id AND b.depth >= a.pos GROUP BY a.p
+)
+SELECT n.conv_id, n.depth::bigint AS depth, parent.conv_id AS parent_conv_id, n.n_convs::bigint AS n_convs,
+  n.n_children::bigint AS n_children, n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM counted n JOIN below USING (p) LEFT JOIN ends USING (p)
+LEFT JOIN nodes parent ON n.depth > 0 AND parent.p = left(n.p, -32)
+"""
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL["op12_target_resampling"] = f"""
+WITH crc AS (SELECT {_TABLE} AS t), listed AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents
+), raw AS (
+  SELECT row, unnest(words) AS word FROM listed
+), aim AS (
+  SELECT unnest({_WORDS}) AS word FROM benchmark
+), buckets AS (
+  SELECT word, {_crc32('word', 't')} % 10000 AS bucket FROM (SELECT word FROM raw UNION SELECT word FROM aim), crc
+), counted AS (
+  SELECT bucket, sum(s)::bigint AS s, sum(t)::bigint AS t FROM (
+    SELECT word, count(*) AS s, 0 AS t FROM raw GROUP BY word UNION ALL SELECT word, 0, count(*) FROM aim GROUP BY word
+  ) JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::double * (sum(s) OVER () + 10000)::double)
+    / ((s + 1)::double * (sum(t) OVER () + 10000)::double)))::bigint AS gain FROM counted
+), weighed AS (
+  SELECT row, sum(gain)::bigint AS weight FROM raw JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT doc_id, len(words)::bigint AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score
+  FROM listed LEFT JOIN weighed USING (row)
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM placed
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20
+"""

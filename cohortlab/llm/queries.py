@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import brown, chat, hyperminhash, lines, mixing, multiset, pieces, pseudonyms, rules, urls
+from cohortlab.llm import (
+    brown, chat, hyperminhash, lines, mixing, multiset, nbsvm, pieces, prefixes, pseudonyms, resampling, rules, urls,
+)
 from cohortlab.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +72,18 @@ def op9_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return multiset.compare_with_next(read(spark, folder, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.shared_openings_trie(read(spark, folder, "conversations"))
+
+
+@query
+def op12_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query
+def op13_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    return nbsvm.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))

@@ -90,11 +90,14 @@ def numbered(df: DataFrame, label: str, name: str = "node") -> DataFrame:
     return keep(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
-def ranked(df: DataFrame, order: Sequence[Column], label: str, name: str = "rank") -> DataFrame:
+def ranked(
+    df: DataFrame, order: Sequence[Column], label: str, name: str = "rank", kept: Sequence[str] | None = None
+) -> DataFrame:
     """0-based ranks of the whole table without gathering it in one task: rows are dealt by range,
-    and only the number of rows in each range (one per partition) passes through the driver."""
+    and only the number of rows in each range (one per partition) passes through the driver. ``kept``: columns that are
+    still wanted once the rows are in order."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*map(field, kept or df.columns))
     placed = numbered(dealt, label, "_at")
     sizes = {r[0]: r[1] for r in placed.groupBy(F.shiftright("_at", 33)).count().collect()}
     starts, before = [], 0
