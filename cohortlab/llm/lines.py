@@ -1,15 +1,17 @@
-"""Repeated passages, by hashing lines and runs of lines.
+"""Repeated passages, by hashing lines, sentences and runs of them.
 
 A passage is a line that has enough words, or a run of lines that have enough words together: from each line on, and up
 to each line, the shortest such run, and each whole paragraph between blank lines. So passages wrapped into short lines
-are found wherever they start, and copies cut alike. Passages are normalised (words, A-Z lower-cased, one blank between
-them) and their digests grouped over the whole corpus. The occurrence that comes first, by document and place, stays;
-the lines of the others are cut out. What is left of a text keeps the places of its parts in the original.
-What is repeated only inside lines that otherwise differ stays.
+are found wherever they start, and copies cut alike. The same is done with the sentences of the lines, so that passages
+are also found between other sentences of a line; of these, only what lies together and has more words goes.
+Passages are normalised (words, A-Z lower-cased, one blank between them) and their digests grouped over the whole
+corpus. The occurrence that comes first, by document and place, stays; the others are cut out. What is left of a text
+keeps the places of its parts in the original. What is repeated only inside sentences that otherwise differ stays.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,11 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from cohortlab.llm.bits import marks, with_marked
 from cohortlab.llm.shingles import binary, text_key, word_list
 from cohortlab.llm.tables import field, in_arrow, keep, packed, unpacked
 
-# Words that a line or a run of lines must have to be looked for elsewhere.
-LEAST_WORDS = 20
+# Words that a line, a sentence or a run of them must have to be looked for elsewhere, and words that repeated
+# sentences that follow each other must have to go.
+LEAST_WORDS, LEAST_TOGETHER = 20, 40
+# Where a sentence ends and another one follows in its line.
+_ENDS = re.compile(rb"(?<=[.!?])[ \t]+")
 
 
 def passages(lines: list[list[bytes]], least: int) -> list[tuple[int, int]]:
@@ -55,25 +61,43 @@ def passages(lines: list[list[bytes]], least: int) -> list[tuple[int, int]]:
     return sorted((full[a], full[b]) for a, b in found)
 
 
+def sentences(text: bytes) -> list[list[tuple[int, int]]]:
+    """Where the sentences of each line begin and end; a line's blanks at its ends belong to them."""
+    out, at = [], 0
+    for line in text.split(b"\n"):
+        cuts = [m.span() for m in _ENDS.finditer(line) if m.end() < len(line)]
+        starts, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(line)]
+        out.append([(at + a, at + b) for a, b in zip(starts, ends, strict=True)])
+        at += len(line) + 1
+    return out
+
+
 def _hasher(least: int) -> Callable:
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """First and last line and digest of the passages of each text."""
+        """First and last sentence and digest of the passages of each text: of lines, then of sentences."""
         for batch in batches:
-            rows, places, ends, high, low = [], [], [], [], []
+            rows, columns = [], [[] for _ in range(5)]
             for i, text in enumerate(binary(batch.column("text"))):
-                lines = [word_list(line) for line in (text or b"").split(b"\n")]
-                for place, end in passages(lines, least):
-                    first, second = text_key([w for line in lines[place : end + 1] for w in line])
+                text = text or b""
+                lines = [[word_list(text[a:b]) for a, b in line] for line in sentences(text)]
+                first = [0]
+                for line in lines:
+                    first.append(first[-1] + len(line))
+                whole = [[w for part in line for w in part] for line in lines]
+                parts = [part for line in lines for part in line]
+                found = [(False, first[a], first[b + 1] - 1) for a, b in passages(whole, least)]
+                found += [(True, a, b) for a, b in passages(parts, least)]
+                for inside, place, end in found:
                     rows.append(i)
-                    places.append(place)
-                    ends.append(end)
-                    high.append(first)
-                    low.append(second)
+                    digest = text_key([w for part in parts[place : end + 1] for w in part])
+                    for column, value in zip(columns, (inside, place, end, *digest), strict=True):
+                        column.append(value)
             taken = pa.array(rows, pa.int64())
+            kinds = [pa.bool_(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(taken) for c in ("k1", "k2", "k3")),
-                 *(pa.array(x, pa.int64()) for x in (places, ends, high, low))],
-                names=["k1", "k2", "k3", "place", "end", "h1", "h2"],
+                 *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))],
+                names=["k1", "k2", "k3", "inside", "place", "end", "h1", "h2"],
             )
 
     return units
@@ -89,64 +113,110 @@ def _rank() -> Column:
     return (doc * F.lit(1 << 60).cast("decimal(19,0)") + bits).cast(wide)
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stays of each text: its lines, and from where to where runs of them stand in the original."""
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        texts, spans, counts = [], [], []
-        for text, cut in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist(), strict=True):
-            if text is None:
-                texts.append(None)
-                spans.append([])
-                counts.append(0)
-                continue
-            out, kept, at = [], [], 0
-            gone = {place for c in cut or () for place in range(c["place"], c["end"] + 1)}
-            for place, line in enumerate(text.split("\n")):
-                if place not in gone:
-                    if kept and kept[-1]["end"] == at - 1:
-                        kept[-1]["end"] = at + len(line)
+def _together(places: set[int], sizes: list[int], least: int) -> set[int]:
+    """Of some sentences, those that follow each other with enough words."""
+    out, run, words = set(), [], 0
+    for place in [*sorted(places), -1]:
+        if run and place != run[-1] + 1:
+            out |= set(run) if words >= least else set()
+            run, words = [], 0
+        run.append(place)
+        words += sizes[place]
+    return out
+
+
+def _cutter(least_together: int) -> Callable:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What stays of each text, from where to where its parts stand in the original, and how many lines lost
+        something."""
+        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            texts, spans, counts = [], [], []
+            for text, cut in zip(binary(batch.column("text")), batch.column("cut").to_pylist(), strict=True):
+                lines = sentences(text)
+                places = [place for line in lines for place in line]
+                sizes = [len(text[a:b].split()) for a, b in places]
+                gone, inside = set(), set()
+                for c in cut or ():
+                    (inside if c["inside"] else gone).update(range(c["place"], c["end"] + 1))
+                gone |= _together(inside, sizes, least_together)
+                kept, last = [], -2
+                for i, (start, end) in enumerate(places):
+                    if i in gone:
+                        continue
+                    if i == last + 1:
+                        kept[-1][1] = end
                     else:
-                        kept.append({"start": at, "end": at + len(line)})
-                    out.append(line)
-                at += len(line) + 1
-            texts.append("\n".join(out))
-            spans.append(kept)
-            counts.append(len(gone))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, spans_type)],
-            names=["doc", "text", "n_removed", "spans"],
-        )
-
-
-def drop_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The columns of ``docs`` with ``text`` without its repeated lines, ``n_removed`` (lines) and ``spans`` (start and
-    end, in characters of the original text, of each run of lines that stays; joined by line ends they are the text).
-
-    Lines and runs of lines with fewer than ``least_words`` words are left alone. Blank lines inside a repeated run go
-    with it. Documents rank by id, null last; within a text the upper passage comes first, and passages that overlap
-    it stay. Rows that repeat an id and a text are one document and get the same result; several texts
-    with one id rank by their hashes. Null text: null, no spans. Very long texts are read whole. An empty table
+                        kept.append([start, end])
+                    last = i
+                texts.append(b"\n".join(text[a:b] for a, b in kept).decode())
+                # From bytes to characters.
+                at = chars = 0
+                for span in kept:
+                    for k in (0, 1):
+                        chars += len(text[at : span[k]].decode())
+                        at, span[k] = span[k], chars
+                spans.append([{"start": a, "end": b} for a, b in kept])
+                n, i = 0, 0
+                for line in lines:
+                    n += any(k in gone for k in range(i, i + len(line)))
+                    i += len(line)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, spans_type)],
+                names=["doc", "text", "n_removed", "spans"],
+            )
+
+    return cut_out
+
+
+def drop_repeats(
+    docs: DataFrame, least_words: int = LEAST_WORDS, least_together: int = LEAST_TOGETHER
+) -> DataFrame:
+    """The columns of ``docs`` with ``text`` without its repeated passages, ``n_removed`` (lines that lost something)
+    and ``spans`` (start and end, in characters of the original text, of each run of sentences that stays; joined by
+    line ends they are the text).
+
+    Lines and runs with fewer than ``least_words`` words are left alone, and so are repeated sentences that have fewer
+    than ``least_together`` words where they follow each other, unless their whole lines are repeated. Blank lines
+    inside a repeated run go with it. Documents rank by id, null last; within a text the upper passage comes first, and
+    passages that overlap it stay. Rows that repeat an id and a text are one document and get the same result; several
+    texts with one id rank by their hashes. Null text: null, no spans. Very long texts are read whole. An empty table
     gives no rows. Extra columns are kept, but for those with the names of the new ones.
     """
     doc_id, text = field("doc_id").cast("long"), field("text").cast("string")
     keys = [F.coalesce(doc_id, F.lit(0)).alias("k1"), doc_id.isNull().alias("k2"), F.xxhash64(text).alias("k3")]
     units = in_arrow(
         docs.select(*keys, text.alias("text")), _hasher(least_words),
-        "k1 long, k2 boolean, k3 long, place long, end long, h1 long, h2 long",
+        "k1 long, k2 boolean, k3 long, inside boolean, place long, end long, h1 long, h2 long",
     )
-    units = keep(units.withColumn("rank", _rank()), "units")
-    first = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1")
-    repeats = units.join(first, ["h1", "h2"])
-    # Passages with one content that start at different lines end in the same order.
-    upper = F.min("end").over(Window.partitionBy("h1", "h2", "rank"))
+    units = keep(units, "units")
+    content = ["inside", "h1", "h2"]
+    first = units.groupBy(*content).agg(F.count("*").alias("n"), F.min(_rank()).alias("first")).where("n > 1")
+    first = keep(first.drop("n"), "first")
+    # Only what has a digest that may be repeated moves to the others that have it.
+    often = with_marked(units, marks(first, F.xxhash64(*content)), F.xxhash64(*content), "often").where("often")
+    repeats = often.drop("often").withColumn("rank", _rank()).join(first, content)
+    # Passages with one content that start at different places end in the same order.
+    upper = F.min("end").over(Window.partitionBy(*content, "rank"))
     repeats = repeats.withColumn("upper", upper).where((F.col("rank") > F.col("first")) | (F.col("place") > F.col("upper")))
-    cut = repeats.groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("place", "end")).alias("cut"))
-    rows = packed(docs, *keys, text.alias("text")).join(cut, ["k1", "k2", "k3"], "left").select("doc", "text", "cut")
+    cut = repeats.groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("inside", "place", "end")).alias("cut"))
+    cut = keep(cut, "cuts")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    rows = with_marked(
+        packed(docs, *keys, text.alias("text")), marks(cut, F.xxhash64("k1", "k2", "k3")), F.xxhash64("k1", "k2", "k3"), "touched"
+    )
+    # Texts that lose nothing stay where they are.
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end")))
+    none = F.array().cast(ArrayType(span))
+    same = rows.where(~F.col("touched") | F.col("text").isNull()).select(
+        "doc", "text", F.lit(0).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), none).otherwise(whole.cast(ArrayType(span))).alias("spans"),
+    )
+    touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ["k1", "k2", "k3"], "left")
     schema = StructType([
         rows.schema["doc"], StructField("text", StringType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(span)),
     ])
-    done = in_arrow(rows, _cutter, schema)
-    return unpacked(done, docs.columns, F.col("text"), F.col("n_removed"), F.col("spans"))
+    done = in_arrow(touched.select("doc", "text", "cut"), _cutter(least_together), schema)
+    return unpacked(same.unionAll(done), docs.columns, F.col("text"), F.col("n_removed"), F.col("spans"))

@@ -25,9 +25,10 @@ from cohortlab.llm.tables import field, in_arrow
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 # Bytes of text that are encoded together, but for one longer text, and bytes given to the library in one call.
-SLICE, CALL = 12_000_000, 32_768
-# Units that are looked up again in later slices, before they are forgotten.
-REMEMBERED = 300_000
+SLICE, CALL = 2_000_000, 32_768
+# Bytes of units and ids, with what Python adds to each, that are looked up again in later slices before they are
+# forgotten; a unit longer than LONG is not looked up again.
+REMEMBERED, ADDED, LONG = 24_000_000, 250, 256
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -124,6 +125,7 @@ class Pieces:
         # Bytes of a piece in the text, where a blank is one byte.
         self.plain = self.sizes - np.array([2 * t.count(BLANK) for t in texts])
         self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.held = 0
         self.digits = [str(i) for i in range(len(texts))]
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -157,7 +159,11 @@ class Pieces:
         front = np.full(3 * bool(out), places[0] if out else 0)
         return BLANK * bool(out) + text, np.concatenate((front, places, [len(data)]))
 
-    def _learn(self, group: list[bytes]) -> None:
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
+    def _learn(self, group: list[bytes], found: dict[bytes, tuple[bytes, str]]) -> None:
         """Encode new units in one call; the ends of the pieces tell which belong to which unit."""
         text = b"".join(group)[1:].decode()
         ids = np.array(self.library.encode(text) if text else [self.blank], dtype=np.int32)
@@ -168,7 +174,7 @@ class Pieces:
         data = ids.tobytes()
         first = 0
         for unit, last in zip(group, ends.tolist(), strict=True):
-            self.known[unit] = data[4 * first : 4 * last], ",".join(names[first:last])
+            found[unit] = data[4 * first : 4 * last], ",".join(names[first:last])
             first = last
 
     def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -176,25 +182,30 @@ class Pieces:
 
         A unit of blanks only would run into the next one, so it goes by itself.
         """
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        found = {u: self.known[u] for u in units if u in self.known}
         group, size = [], 0
         for unit in units:
-            if unit in self.known:
+            if unit in found:
                 continue
             if unit.strip(b" "):
                 group.append(unit)
                 size += len(unit)
             else:
-                self._learn([unit])
+                self._learn([unit], found)
             if size > CALL:
-                self._learn(group)
+                self._learn(group, found)
                 group, size = [], 0
         if group:
-            self._learn(group)
-        found = [self.known[u] for u in units]
-        counts = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join([ids for ids, _ in found]), np.int32), counts, [text for _, text in found]
+            self._learn(group, found)
+        for unit, (ids, text) in found.items():
+            if len(unit) <= LONG and unit not in self.known:
+                if self.held > REMEMBERED:
+                    self.forget()
+                self.known[unit] = ids, text
+                self.held += len(unit) + len(ids) + len(text) + ADDED
+        pairs = [found[u] for u in units]
+        counts = np.fromiter((len(ids) for ids, _ in pairs), np.int64, len(pairs)) // 4
+        return np.frombuffer(b"".join([ids for ids, _ in pairs]), np.int32), counts, [text for _, text in pairs]
 
     def encode(self, texts: list[bytes]) -> Encoded:
         parts, places = [], {}
@@ -268,26 +279,33 @@ def _encoder(model: str | None, columns: list[str]) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
-            texts = [t or b"" for t in binary(batch.column("text"))]
-            for part in _slices([len(t) for t in texts]):
-                e = p.encode(texts[part])
-                sizes = np.diff(e.bounds)
-                offsets = pa.array(e.bounds.astype(np.int32))
-                out = {
-                    "doc_id": batch.column("doc_id")[part], "n_tokens": pa.array(sizes),
-                    "ids": pa.ListArray.from_arrays(offsets, pa.array(e.ids)),
-                    "ends": pa.ListArray.from_arrays(offsets, pa.array(e.ends.astype(np.int32))),
-                    "n_bytes": pa.array(np.where(sizes > 0, np.append(e.ends, 0)[e.bounds[1:] - 1], 0)),
-                }
-                if "ids_sha256" in columns:
-                    decoded = [p.decode(e.ids[a:b].tolist()) for a, b in zip(e.bounds, e.bounds[1:], strict=False)]
-                    for name, strings in (("ids_sha256", e.joined), ("decoded_sha256", decoded)):
-                        out[name] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in strings])
-                yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for part in _slices(sizes):
+                yield _encoded(p, batch.slice(part.start, part.stop - part.start), columns)
+        # Workers live on after a task; what it needed must not stay with them.
+        p.forget()
+        pa.default_memory_pool().release_unused()
 
     return encode
 
 
+def _encoded(p: Pieces, batch: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
+    e = p.encode([t or b"" for t in binary(batch.column("text"))])
+    sizes = np.diff(e.bounds)
+    offsets = pa.array(e.bounds.astype(np.int32))
+    out = {
+        "doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes),
+        "ids": pa.ListArray.from_arrays(offsets, pa.array(e.ids)),
+        "ends": pa.ListArray.from_arrays(offsets, pa.array(e.ends.astype(np.int32))),
+        "n_bytes": pa.array(np.where(sizes > 0, np.append(e.ends, 0)[e.bounds[1:] - 1], 0)),
+    }
+    if "ids_sha256" in columns:
+        decoded = (p.decode(e.ids[a:b].tolist()) for a, b in zip(e.bounds, e.bounds[1:], strict=False))
+        for name, strings in (("ids_sha256", e.joined), ("decoded_sha256", decoded)):
+            out[name] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in strings])
+    return pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
+
+
 def encode_texts(docs: DataFrame, model: str | None = None, digests: bool = False, ids: bool = True) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: ``doc_id``, ``n_tokens``, ``ids`` and ``ends`` (the byte of the original
     text at which each piece ends; it begins where the one before ends), ``n_bytes`` (the last end); with

@@ -233,12 +233,14 @@ def judged(stats: DataFrame, rules: Sequence[Conjunction]) -> DataFrame:
 
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the base rules and the learned rules keep, with their columns."""
-    texts = documents.select(field("doc_id").alias("doc_id"), field("text").cast("string").alias("text"))
-    marked = labels.select(field("doc_id").alias("doc_id")).distinct()
-    # Statistics of all texts, so that no text has to move to its label; kept narrow.
-    stats = keep(statistics(texts, "text").drop("text"), "statistics")
-    rules = learn(keep(labelled_rows(stats.join(marked, "doc_id", "left_semi"), labels), "labelled"))
-    rows = packed(documents, field("text").cast("string").alias("text"))
-    kept = judged(statistics(rows, "text"), rules).where("kept")
-    return unpacked(kept, documents.columns)
+    """The rows of ``documents`` that the base rules and the learned rules keep, with their columns.
+
+    Null, empty and blank texts go, as the base rules reject them. A null id is judged, never labelled; repeated rows
+    stay or go together. Very long texts are read whole. No labels: the base rules only. An empty table gives no rows;
+    extra columns, whatever their names, are passed on.
+    """
+    # Every text is split once; rules are learned from and applied to the numbers written beside the rows.
+    rows = packed(documents, field("doc_id").alias("doc_id"), field("text").cast("string").alias("text"))
+    stats = keep(statistics(rows, "text").drop("text"), "statistics")
+    rules = learn(keep(labelled_rows(stats.drop("doc"), labels), "labelled"))
+    return unpacked(judged(stats, rules).where("kept"), documents.columns)

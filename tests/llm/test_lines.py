@@ -1,3 +1,5 @@
+import re
+
 from cases import edge_documents, empty_documents
 from conftest import MEDIUM
 
@@ -5,31 +7,20 @@ from cohortlab.llm import lines
 from cohortlab.llm.queries import REGISTRY
 
 
-def brute(docs, least):
-    """Text and number of removed lines of each document, in the order of the ids."""
-    seen, out = set(), {}
-    for doc_id, text in sorted(docs):
-        kept = []
-        for line in text.split("\n"):
-            words = tuple(line.encode().lower().split())
-            if len(words) < least or words not in seen:
-                kept.append(line)
-            if len(words) >= least:
-                seen.add(words)
-        out[doc_id] = "\n".join(kept), text.count("\n") + 1 - len(kept)
+def parts_of(text):
+    """Sentences of each line with their places."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        places, start = [], 0
+        for m in re.finditer(r"[.!?]([ \t]+)(?=[^ \t]|$)", line):
+            if m.end() < len(line):
+                places.append((at + start, at + m.start(1)))
+                start = m.end()
+        out.append([*places, (at + start, at + len(line))])
+        at += len(line) + 1
     return out
 
 
-def test_query_against_brute_force(spark):
-    docs = [tuple(r) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()]
-    text_of = dict(docs)
-    rows = REGISTRY["op9_repeated_lines"](spark, MEDIUM).collect()
-    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows} == brute(docs, lines.LEAST_WORDS)
-    for r in rows:
-        # The offsets lead back to the parts of the original.
-        assert r["text"] == "\n".join(text_of[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"])
-
-
 def test_first_occurrence_stays(spark):
     passage = " ".join(f"Word{i}" for i in range(55))
     docs = [(9, f"nine\n{passage}\nend"), (3, f"three\n  {passage.upper()} \n{passage}"), (4, passage), (5, "five"), (6, "five")]
@@ -54,30 +45,56 @@ def test_edges(spark):
     assert kept == {(None, ""), (5, ""), (-7, "a b C"), (None, "a b c d")}
 
 
-def brute_passages(docs, least):
-    """As ``brute``, for runs of lines: the shortest from each line on and up to each line, and whole paragraphs."""
+def runs(words, least):
+    """The shortest runs with enough words from each unit on and up to each unit, and whole paragraphs."""
+    full, n = [i for i, w in enumerate(words) if w], len(words)
+    found = set()
+    for i in full:
+        size, j = 0, i
+        while j < n and size < least:
+            size, j = size + len(words[j]), j + 1
+        found |= {(i, j - 1)} if size >= least else set()
+        size, j = 0, i
+        while j >= 0 and size < least:
+            size, j = size + len(words[j]), j - 1
+        found |= {(j + 1, i)} if size >= least else set()
+        if i == 0 or not words[i - 1]:
+            j = next((j for j in range(i, n) if not words[j]), n) - 1
+            found |= {(i, j)} if sum(map(len, words[i : j + 1])) >= least else set()
+    return sorted(found)
+
+
+def brute(docs, least=lines.LEAST_WORDS, together=lines.LEAST_TOGETHER):
+    """Text and number of lines that lost something of each document, in the order of the ids."""
     seen, out = {}, {}
     for order, (doc_id, text) in enumerate(sorted(docs)):
-        parts = text.split("\n")
-        words = [p.encode().lower().split() for p in parts]
-        full = [i for i, w in enumerate(words) if w]
-
-        def content(i, j, words=words):
-            return tuple(w for line in words[i : j + 1] for w in line)
-
-        found = set()
-        for i in full:
-            found |= {(i, j) for j in full if j >= i and len(content(i, j)) >= least and len(content(i, j - 1)) < least}
-            found |= {(h, i) for h in full if h <= i and len(content(h, i)) >= least and len(content(h + 1, i)) < least}
-            if i == 0 or not words[i - 1]:
-                j = next((j for j in range(i, len(words)) if not words[j]), len(words)) - 1
-                found |= {(i, j)} if len(content(i, j)) >= least else set()
-        gone = set()
-        for i, j in sorted(found):
-            first, end = seen.setdefault(content(i, j), (order, j))
-            if first < order or i > end:
-                gone |= set(range(i, j + 1))
-        out[doc_id] = "\n".join(p for i, p in enumerate(parts) if i not in gone), len(gone)
+        by_line = parts_of(text)
+        places = [p for line in by_line for p in line]
+        words = [text[a:b].encode().lower().split() for a, b in places]
+        line_of = [k for k, line in enumerate(by_line) for _ in line]
+        first = [line_of.index(k) for k in range(len(by_line))]
+        last = [*(f - 1 for f in first[1:]), len(places) - 1]
+        whole = [[w for x in words[a : b + 1] for w in x] for a, b in zip(first, last, strict=True)]
+        found = [(0, first[a], last[b]) for a, b in runs(whole, least)] + [(1, a, b) for a, b in runs(words, least)]
+        gone = [set(), set()]
+        for kind, i, j in found:
+            before, end = seen.setdefault((kind, tuple(w for x in words[i : j + 1] for w in x)), (order, j))
+            if before < order or i > end:
+                gone[kind] |= set(range(i, j + 1))
+        for i in range(len(places)):
+            j = i
+            while j in gone[1]:
+                j += 1
+            if i - 1 not in gone[1] and sum(map(len, words[i:j])) >= together:
+                gone[0] |= set(range(i, j))
+        kept = []
+        for i, (a, b) in enumerate(places):
+            if i not in gone[0]:
+                if kept and i - 1 not in gone[0]:
+                    kept[-1] = kept[-1][0], b
+                else:
+                    kept.append((a, b))
+        out[doc_id] = "\n".join(text[a:b] for a, b in kept), len({line_of[i] for i in gone[0]}), kept
     return out
 
 
@@ -95,17 +112,60 @@ def test_wrapped_passages_go(spark):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.drop_repeats(df).collect()}
-    assert got == brute_passages(docs, lines.LEAST_WORDS)
+    assert got == {i: r[:2] for i, r in brute(docs).items()}
     # Equal wrapping goes wherever it starts, other wrapping as a whole paragraph; what comes first and short lines stay.
     assert got[1] == (docs[0][1], 0) and got[2] == ("", 10) and got[3] == ("other start here\nother end", 10)
     assert got[5] == ("", 6) and got[6] == ("", 1) and got[8] == (docs[7][1], 0)
     assert got[7] == ("\n".join(["one short line again"] * 5), 7) and got[9][0].split() == ["lead"]
 
 
-def test_query_against_brute_force_of_passages(spark):
+def long_repeats(docs, n=51):
+    """Documents that have ``n`` words in a row of an earlier one."""
+    seen, out = {}, set()
+    for doc_id, text in sorted(docs):
+        words = text.encode().lower().split()
+        for i in range(len(words) - n + 1):
+            if seen.setdefault(tuple(words[i : i + n]), doc_id) != doc_id:
+                out.add(doc_id)
+    return out
+
+
+def test_query_against_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text").collect()]
+    text_of = dict(docs)
     rows = REGISTRY["op9_repeated_lines"](spark, MEDIUM).collect()
-    expected = brute_passages([d for d in docs if d[1].count("\n") < 200], lines.LEAST_WORDS)
-    assert len(expected) == len(docs)
-    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows} == expected
-    assert next(r for r in rows if r["doc_id"] == 942)["n_removed"] > brute(docs, lines.LEAST_WORDS)[942][1]
+    got = {r["doc_id"]: (r["text"], r["n_removed"], [tuple(s) for s in r["spans"]]) for r in rows}
+    assert got == brute(docs)
+    for i, (text, n, spans) in got.items():
+        # The offsets lead back to the parts of the original.
+        assert text == "\n".join(text_of[i][a:b] for a, b in spans) and (n > 0) == (text != text_of[i])
+    repeated = long_repeats(docs)
+    assert all(got[i][1] > 0 for i in repeated)
+    assert sum(got[i][1] > 0 for i in got if i not in repeated) < 0.07 * (len(docs) - len(repeated))
+
+
+def test_passages_inside_lines_go(spark):
+    """A passage between other sentences of a line, cut anywhere: inside a sentence, it goes but for that sentence."""
+    passage = " ".join(" ".join(f"word{i}{j}" for j in range(10)) + "." for i in range(6))
+    short = " ".join(f"few{i}" for i in range(25)) + "."
+    docs = [
+        (1, f"Début here. {passage} The end of one."), (2, f"Another start! {passage.upper()} And another end?"),
+        (3, f"a line\nOf three. {passage}\nlast line"), (4, f"Half of a sentence {passage} with another half."),
+        (5, f"One. {short} Two."), (6, f"Three. {short} Four."), (7, f"{passage}\n{passage}"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"], [tuple(s) for s in r["spans"]]) for r in lines.drop_repeats(df).collect()}
+    assert got == brute(docs)
+    assert got[1][:2] == (docs[0][1], 0) and got[2][:2] == ("Another start!\nAnd another end?", 1)
+    assert got[3][:2] == ("a line\nOf three.\nlast line", 1)
+    assert got[4][1] == 1 and "word30" not in got[4][0] and "word00" in got[4][0]
+    # Fewer words than must lie together, inside lines that differ.
+    assert got[6][:2] == (docs[5][1], 0) and got[7] == ("", 2, [])
+
+
+def test_texts_without_repeats_stay(spark):
+    docs = [(i, f"Sentence {i} has words. " * 6 + f"\nanother line of {i}") for i in range(300)]
+    docs += [(1000 + i, " ".join(f"same{j}" for j in range(50))) for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = lines.drop_repeats(df)
+    assert out.where("n_removed > 0").count() == 1 and out.count() == 302

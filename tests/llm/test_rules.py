@@ -85,3 +85,14 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
     assert rules.judge(empty_documents(spark), labels).count() == 0
     assert rules.judge(docs, labels.limit(0)).where("rule is not null").count() == 0
+
+
+def test_texts_are_split_once(spark):
+    """Words and lines are split once to be counted; what rules decide on afterwards are stored numbers."""
+    docs, labels = read(spark, MEDIUM, "documents"), read(spark, MEDIUM, "labels")
+
+    def splits(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+    assert splits(rules.statistics(docs, "text")) == 2
+    assert splits(rules.good_documents(docs, labels)) == 0
