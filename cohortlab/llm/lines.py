@@ -196,11 +196,13 @@ def drop_repeats(
     first = keep(first.drop("n"), "first")
     # Only what has a digest that may be repeated moves to the others that have it.
     often = with_marked(units, marks(first, F.xxhash64(*content)), F.xxhash64(*content), "often").where("often")
-    repeats = often.drop("often").withColumn("rank", _rank()).join(first, content)
-    # Passages with one content that start at different places end in the same order.
-    upper = F.min("end").over(Window.partitionBy(*content, "rank"))
-    repeats = repeats.withColumn("upper", upper).where((F.col("rank") > F.col("first")) | (F.col("place") > F.col("upper")))
-    cut = repeats.groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("inside", "place", "end")).alias("cut"))
+    met = often.drop("often").withColumn("rank", _rank()).join(first, content)
+    places = ["k1", "k2", "k3", "inside", "place", "end"]
+    later = met.where(F.col("rank") > F.col("first")).select(*places)
+    # In the first document itself; passages with one content that start at different places end in the same order.
+    upper = F.min("end").over(Window.partitionBy(*content))
+    again = met.where(F.col("rank") == F.col("first")).withColumn("upper", upper).where("place > upper").select(*places)
+    cut = later.unionAll(again).groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("inside", "place", "end")).alias("cut"))
     cut = keep(cut, "cuts")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     rows = with_marked(
