@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import product
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import round_even
 from cohortlab.operators.features import SEED, Encoding, double, quoted
-from cohortlab.session import shared_folder
+from cohortlab.session import scratch, shared_folder
 from cohortlab.spec import CohortSpec
 
 # The untuned parameters, the grid and the number of folds.
@@ -25,6 +26,10 @@ GRID = {"maxIter": [100, 200], "maxDepth": [4, 5], "stepSize": [0.05, 0.1], "sub
 FOLDS = 5
 # Split candidates per feature, unless a fit is given others.
 MAX_BINS = 64
+# Trees between two checkpoints, which cut the lineage of the residuals.
+CHECKPOINTS = 50
+# Rows of a learning table that are worth a task of their own: every level of every tree is a job over all tasks.
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -87,7 +92,7 @@ def regressor(**params: Any) -> GBTRegressor:
     ``params`` are those of Spark's learner. ``maxBins`` (``MAX_BINS`` by default) bounds the split candidates of a
     feature: its values are cut into that many ranges with about as many rows each.
     """
-    settings = {"lossType": "squared", "seed": SEED, "maxBins": MAX_BINS, "checkpointInterval": 10}
+    settings = {"lossType": "squared", "seed": SEED, "maxBins": MAX_BINS, "checkpointInterval": CHECKPOINTS}
     return GBTRegressor(featuresCol="features", labelCol="label", **(settings | params))
 
 
@@ -96,38 +101,61 @@ def fit_trees(rows: DataFrame, **params: Any) -> GBTRegressionModel:
     return regressor(**(UNTUNED | params)).fit(rows)
 
 
+def in_few_tasks(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows in no more partitions than they are worth."""
+    return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+
+
+def staged_errors(rows: DataFrame, fold: int, **params: Any) -> list[float]:
+    """Mean absolute error on a fold after 1, 2, 3 and so on of the trees fitted to the other folds.
+
+    A boost of 100 trees is the first half of one of 200, so one fit tells the errors of all smaller numbers of trees.
+    """
+    model = regressor(**params).fit(rows.where(F.col("fold") != fold).select("features", "label"))
+    return list(model.evaluateEachIteration(rows.where(F.col("fold") == fold).select("features", "label"), "absolute"))
+
+
 def tune_trees(
     rows: DataFrame,
     grid: Mapping[str, Sequence[Any]] | None = None,
     k: int = FOLDS,
-    parallelism: int = 2,
+    parallelism: int | None = None,
 ) -> tuple[GBTRegressionModel, list[dict[str, Any]]]:
     """Cross-validated grid on the log scale: best model refitted on all rows, and every mean error.
 
-    ``rows`` has a ``fold`` column in ``[0, k)``, see ``features.folds``.
+    ``rows`` has a ``fold`` column in ``[0, k)``, see ``features.folds``. The numbers of trees of the grid share one fit
+    per fold and other parameters. ``parallelism`` fits run at once; by default as many as leave each of them a core
+    for every partition of the rows. Equal errors: the first combination is the best.
     """
     shared_folder(rows.sparkSession)
-    learner = regressor()
-    builder = ParamGridBuilder()
-    for name, values in (grid or GRID).items():
-        builder = builder.addGrid(learner.getParam(name), values)
-    points = builder.build()
-    search = CrossValidator(
-        estimator=learner,
-        estimatorParamMaps=points,
-        evaluator=RegressionEvaluator(metricName="mae", labelCol="label"),
-        numFolds=k,
-        foldCol="fold",
-        seed=SEED,
-        parallelism=parallelism,
-    )
-    fitted = search.fit(rows)
-    best = min(fitted.avgMetrics)
-    table = [
-        {p.name: v for p, v in point.items()} | {"mae_log": error, "is_best": error == best}
-        for point, error in zip(points, fitted.avgMetrics, strict=True)
-    ]
-    return fitted.bestModel, table
+    grid = {name: list(values) for name, values in (grid or GRID).items()}
+    points = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    default = regressor().getMaxIter()
+    fits: dict[tuple, int] = {}
+    for point in points:
+        others = tuple((n, v) for n, v in point.items() if n != "maxIter")
+        fits[others] = max(fits.get(others, 0), point.get("maxIter", default))
+    jobs = [(others, fold) for others in fits for fold in range(k)]
+    if parallelism is None:
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        parallelism = max(1, min(len(jobs), cores // rows.rdd.getNumPartitions()))
+
+    def errors(job: tuple) -> list[float]:
+        others, fold = job
+        return staged_errors(rows, fold, **dict(others), maxIter=fits[others])
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        by_job = dict(zip(jobs, pool.map(inheritable_thread_target(rows.sparkSession)(errors), jobs), strict=True))
+    table = []
+    for point in points:
+        others = tuple((n, v) for n, v in point.items() if n != "maxIter")
+        trees = point.get("maxIter", default)
+        table.append(point | {"mae_log": sum(by_job[others, fold][trees - 1] for fold in range(k)) / k})
+    best = min(t["mae_log"] for t in table)
+    for t in table:
+        t["is_best"] = t["mae_log"] == best
+    chosen = points[next(i for i, t in enumerate(table) if t["is_best"])]
+    return regressor(**chosen).fit(rows.select("features", "label")), table
 
 
 def grid_table(df: DataFrame, table: Sequence[Mapping[str, Any]]) -> DataFrame:
@@ -139,9 +167,29 @@ def grid_table(df: DataFrame, table: Sequence[Mapping[str, Any]]) -> DataFrame:
     return out.withColumn("mae_log", round_even(F.col("mae_log"), 4))
 
 
-def importances(learned: GBTRegressionModel, names: Sequence[str]) -> list[tuple[str, float]]:
-    """Feature and importance, highest first, ties in feature order."""
-    pairs = zip(names, (float(x) for x in learned.featureImportances.toArray()), strict=True)
+def removed_loss(nodes: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """``(feature_index, removed)``: the squared error that the splits on each feature take away, over all trees.
+
+    ``nodes`` is the node table of a saved model, ``weights`` the step of each tree. A node's gain times its rows is what
+    it takes away if its tree is added in full. The first tree is; the others are fitted to doubled residuals and added
+    with a step ``v``, which takes away ``v * (1 - v)`` of that. So late trees, which fit what is left, count for little.
+    """
+    shares = [(i, 1.0 if i == 0 else float(v) * (1.0 - float(v))) for i, v in enumerate(weights)]
+    # One row per tree.
+    steps = F.broadcast(nodes.sparkSession.createDataFrame(shares, "treeID int, share double"))
+    splits = nodes.where("nodeData.split.featureIndex >= 0").join(steps, "treeID")
+    gain = F.col("nodeData.gain") * F.col("nodeData.impurityStats")[0] * F.col("share")
+    return splits.groupBy(F.col("nodeData.split.featureIndex").alias("feature_index")).agg(F.sum(gain).alias("removed"))
+
+
+def importances(learned: GBTRegressionModel, names: Sequence[str], spark: SparkSession) -> list[tuple[str, float]]:
+    """Feature and share of the removed squared error, highest first, ties in feature order."""
+    with scratch(spark, "trees") as path:
+        learned.save(path)
+        removed = removed_loss(spark.read.parquet(f"{path}/data"), learned.treeWeights).collect()
+    by_index = {r["feature_index"]: r["removed"] for r in removed}
+    total = sum(by_index.values()) or 1.0
+    pairs = [(n, by_index.get(i, 0.0) / total) for i, n in enumerate(names)]
     return [(n, round(x, 6)) for n, x in sorted(pairs, key=lambda p: -p[1])]
 
 

@@ -282,3 +282,71 @@ SQL: dict[str, str] = {
     "stream_scores": f"{SCORE} select profile_id, {r('predicted_log', 4)} as predicted_log, predicted_value from scored",
     "stream_chat_context": CHAT,
 }
+
+
+# Boosting with one split per tree. What goes left, in feature order; ties of the gain go to the first.
+SPLITS = [
+    *((f"segment_{c}", f"segment <> '{c}'") for c in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")),
+    ("tier", "tier <= 1"), ("tier", "tier <= 2"),
+    *((c, f"{c} = 0") for c in ("flag_urgent", "flag_low", "flag_recent", "flag_open")),
+]
+STUMP_STEP = 0.25
+LEFT = "case o " + " ".join(f"when {i} then {left}" for i, (_, left) in enumerate(SPLITS)) + " end"
+
+
+def boosted(name: str, rows: str, rounds: int) -> str:
+    """The split of each round, as tables ``<name>_0``, ``<name>_1`` and so on with the values of both sides."""
+    parts, values = [], "0.0::double"
+    for m in range(rounds):
+        residual = "y" if m == 0 else f"2 * (y - ({values}))"
+        before = "".join(f", {name}_{i}" for i in range(m))
+        sums = " union all ".join(
+            f"select {i} as o, '{f}' as feature, count(*) filter (where {left}) as n, sum(r) filter (where {left}) as s, "
+            f"count(*) as tn, sum(r) as ts from {name}_r{m}" for i, (f, left) in enumerate(SPLITS)
+        )
+        parts.append(f"""{name}_r{m} as (select {rows}.*, {residual} as r from {rows}{before}), {name}_{m} as (
+          select o as o{m}, feature as feature{m}, s / n as left{m}, (ts - s) / (tn - n) as right{m},
+            s * s / n + (ts - s) * (ts - s) / (tn - n) - ts * ts / tn as gain{m}
+          from ({sums}) where n > 0 and n < tn order by gain{m} desc, o limit 1)""")
+        values += f" + {predicted(m)}"
+    return ", ".join(parts)
+
+
+def predicted(m: int) -> str:
+    step = 1.0 if m == 0 else STUMP_STEP
+    return f"{step}::double * case when {LEFT.replace('case o ', f'case o{m} ')} then left{m} else right{m} end"
+
+
+def total(rounds: int) -> str:
+    return " + ".join(predicted(m) for m in range(rounds))
+
+
+PARTS = f"parts as (select *, ln(1 + target) as y, {TRAIN} as in_train from cohort where converted = 1)"
+STUMPED = f"{BASE}, {PARTS}, learning as (select * from parts where in_train), {boosted('t', 'learning', 3)}"
+SQL["stump_scores"] = f"""{STUMPED} select profile_id, {r(total(3), 6)} as predicted_log,
+    {r(f"exp({total(3)}) - 1", 2)} as predicted_value from cohort, t_0, t_1, t_2"""
+SQL["stump_importance"] = f"""{STUMPED}, removed as (
+    select feature0 as feature, gain0 as x from t_0
+    union all select feature1, gain1 * {STUMP_STEP * (1 - STUMP_STEP)}::double from t_1
+    union all select feature2, gain2 * {STUMP_STEP * (1 - STUMP_STEP)}::double from t_2),
+  listed(feature, ord) as (values {", ".join(f"('{c}', {i})" for i, c in enumerate(dict(SPLITS)))}),
+  shares as (
+    select feature, ord, coalesce(sum(x), 0) / (select sum(x) from removed) as x
+    from listed left join removed using (feature) group by feature, ord)
+  select cast(row_number() over (order by round(x, 6) desc, ord) as integer) as rank, feature, round(x, 6) as importance from shares"""
+SQL["stump_metrics"] = f"""{STUMPED}, pairs as (
+    select target as y, exp({total(3)}) - 1 as p from (select * exclude (y), y as a from parts), t_0, t_1, t_2 where not in_train)
+  select {r("1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))", 4)} as r2, {r("avg(abs(y - p))", 2)} as mae,
+    {r("sqrt(avg((y - p) * (y - p)))", 2)} as rmse, {r("100 * avg(abs((y - p) / (y + 1e-8)))", 2)} as mape,
+    {r("avg(y)", 2)} as mean_actual, {r("avg(p)", 2)} as mean_predicted, count(*) as n from pairs"""
+FOLD = "cast('0x' || substr(md5('43:' || profile_id), 1, 8) as bigint) % 2"
+SQL["stump_grid"] = f"""{BASE}, {PARTS},
+  zero as (select * from parts where in_train and {FOLD} <> 0), one as (select * from parts where in_train and {FOLD} <> 1),
+  {boosted("a", "zero", 3)}, {boosted("b", "one", 3)}, errors as (
+    select avg(abs(y - ({total(1)}))) as e1, avg(abs(y - ({total(3)}))) as e3
+    from parts, a_0, a_1, a_2 where in_train and {FOLD} = 0
+    union all select avg(abs(y - ({total(1)}))), avg(abs(y - ({total(3)})))
+    from parts, b_0, b_1, b_2 where in_train and {FOLD} = 1),
+  means as (select avg(e1) as e1, avg(e3) as e3 from errors), points as (
+    select 1.0::double as "maxIter", e1 as e, e1 <= e3 as is_best from means union all select 3.0::double, e3, e3 <= e1 from means)
+  select "maxIter", 1.0::double as "maxDepth", {STUMP_STEP}::double as "stepSize", {r("e", 4)} as mae_log, is_best from points"""

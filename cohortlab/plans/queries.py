@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -361,6 +362,52 @@ def grid_search(spark: SparkSession, folder: str) -> DataFrame:
     return learn.grid_table(df, train(df, SPEC, tune=True, grid=learn.GRID, folds=learn.FOLDS).grid)
 
 
+# Boosted trees of one split each over the yes/no features, tier and segment: a learner that SQL can follow
+
+STUMPS = replace(SPEC, numeric=())
+STUMP_FIT = {"maxIter": 3, "maxDepth": 1, "stepSize": 0.25}
+STUMP_GRID = {"maxIter": [1, 3], "maxDepth": [1], "stepSize": [0.25]}
+
+
+_STUMPS: dict[tuple, learn.Bundle] = {}
+
+
+def stumps(spark: SparkSession, folder: str) -> learn.Bundle:
+    """The model of three splits of these files, fitted once per application and state of the files."""
+    key = written(spark, folder)
+    if key not in _STUMPS:
+        _STUMPS[key] = train(customers.cohort(spark, folder), STUMPS, tune=False, **STUMP_FIT)
+    return _STUMPS[key]
+
+
+@query
+def stump_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score.predict(customers.cohort(spark, folder), stumps(spark, folder).model, STUMPS)
+    return rounded(scored.select("profile_id", "predicted_log", "predicted_value"), 6, "predicted_log")
+
+
+@query
+def stump_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the squared error that the splits on each feature take away."""
+    pairs = [(i, n, x) for i, (n, x) in enumerate(stumps(spark, folder).importance, 1)]
+    return spark.createDataFrame(pairs, "rank int, feature string, importance double")
+
+
+@query
+def stump_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Hold-out errors on the original scale."""
+    measures = stumps(spark, folder).metrics
+    kinds = ", ".join(f"{m} {'long' if m == 'n' else 'double'}" for m in bundles.MEASURES)
+    return spark.createDataFrame([tuple(measures[m] for m in bundles.MEASURES)], kinds)
+
+
+@query
+def stump_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean error over two folds after one and after three trees."""
+    df = customers.cohort(spark, folder)
+    return learn.grid_table(df, train(df, STUMPS, tune=True, grid=STUMP_GRID, folds=2).grid)
+
+
 # Streams
 
 

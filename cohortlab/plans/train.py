@@ -28,9 +28,10 @@ def train(
     grid: Mapping[str, Sequence[Any]] | None = None,
     folds: int = learn.FOLDS,
     fit_scope: str = "train",
+    parallelism: int | None = None,
     **params: Any,
 ) -> learn.Bundle:
-    """Fit and evaluate on a hash split of the converted rows.
+    """Fit and evaluate on a hash split of the converted rows. ``parallelism``: see ``learn.tune_trees``.
 
     ``fit_scope="all"`` fits categories and scaling on both parts; the default keeps the test part
     out of them. ``params`` replace the fixed parameters of an untuned fit.
@@ -46,9 +47,10 @@ def train(
         in_scope = rows if fit_scope == "all" else rows.where(train_part)
         encoding = features.fit_encoding(in_scope, spec)
         folded = features.folds(rows.where(train_part), spec, folds)
-        with cached(learn.learning_rows(folded, encoding, "fold")) as learning:
+        few = learn.in_few_tasks(learn.learning_rows(folded, encoding, "fold"), rows.where(train_part).count())
+        with cached(few) as learning:
             if tune:
-                trees, table = learn.tune_trees(learning, grid, folds)
+                trees, table = learn.tune_trees(learning, grid, folds, parallelism)
             else:
                 trees = learn.fit_trees(learning.select("features", "label"), **params)
         model = learn.scoring_model(encoding, trees)
@@ -60,7 +62,7 @@ def train(
         model,
         encoding.names,
         list(encoding.categories),
-        learn.importances(trees, encoding.names),
+        learn.importances(trees, encoding.names, df.sparkSession),
         metrics,
         table,
     )

@@ -92,9 +92,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """Like ``stage`` for a job that ends in its ``with`` block: the copy is removed afterwards."""
     spark = df.sparkSession
+    with scratch(spark, label) as path:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A new folder that is removed when the block ends."""
     path = new_folder(spark, label)
-    df.write.parquet(path)
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield path
     finally:
         _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)

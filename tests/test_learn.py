@@ -4,12 +4,15 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from cohortlab import GRADUATES as G
 from cohortlab.operators import features, learn, score
 from cohortlab.plans.score import scores
 from cohortlab.plans.train import train
+from cohortlab.session import scratch
 from cohortlab.sources import bundle as bundles
 from cohortlab.sources import tables
 
@@ -136,3 +139,68 @@ def test_one_profile_given_by_hand(spark, fitted):
     assert rows[0]["predicted_value"] < rows[1]["predicted_value"]
     assert rows[1]["predicted_log"] == round(rows[1]["predicted_log"], 4)
     assert rows[0]["top_factors"][0]["feature"] == "skill_score"
+
+
+def learning_table(spark, n=300):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 3)).round(2)
+    y = 2 * x[:, 0] + np.where(x[:, 1] > 0.3, 1.0, 0.0) + rng.normal(size=n) * 0.2
+    rows = [(Vectors.dense(*map(float, a)), float(b), i % 2) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    schema = StructType([StructField("features", VectorUDT()), StructField("label", DoubleType()), StructField("fold", IntegerType())])
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def test_removed_loss_is_the_fall_of_the_training_error(spark):
+    """Without sampling, what all splits take away is the squared error about the mean less the last one."""
+    rows = learning_table(spark).select("features", "label")
+    trees = learn.fit_trees(rows, maxIter=12, maxDepth=3, stepSize=0.3)
+    with scratch(spark, "trees") as path:
+        trees.save(path)
+        removed = {r[0]: r[1] for r in learn.removed_loss(spark.read.parquet(f"{path}/data"), trees.treeWeights).collect()}
+    first, last = rows.agg(F.var_pop("label") * F.count("*")).first()[0], trees.evaluateEachIteration(rows, "squared")[-1]
+    assert sum(removed.values()) == pytest.approx(first - last * rows.count(), rel=1e-9)
+    shares = learn.importances(trees, ["a", "b", "c"], spark)
+    assert [n for n, _ in shares] == ["a", "b", "c"] and sum(x for _, x in shares) == pytest.approx(1, abs=1e-5)
+    assert dict(shares)["a"] == pytest.approx(removed[0] / sum(removed.values()), abs=1e-6)
+
+
+def test_importance_ties_in_feature_order(spark):
+    """A constant target has no split, and nothing is divided by zero."""
+    flat = learning_table(spark, 20).select("features", F.lit(1.0).alias("label"))
+    assert learn.importances(learn.fit_trees(flat, maxIter=2), ["q", "p", "r"], spark) == [("q", 0.0), ("p", 0.0), ("r", 0.0)]
+
+
+def test_prefix_errors_are_those_of_smaller_fits(spark):
+    """With sampling too, the first trees of a longer boost are those of a shorter one."""
+    rows = learning_table(spark)
+    given = {"maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.9}
+    long = learn.staged_errors(rows, 0, maxIter=9, **given)
+    for n in (1, 4):
+        short = learn.regressor(maxIter=n, **given).fit(rows.where("fold != 0").select("features", "label"))
+        mae = short.transform(rows.where("fold = 0")).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+        assert long[n - 1] == pytest.approx(mae, rel=1e-12)
+
+
+def test_grid_shares_fits(spark, monkeypatch):
+    asked = []
+    errors = learn.staged_errors
+
+    def counted(rows, fold, **params):
+        asked.append((fold, tuple(sorted(params.items()))))
+        return errors(rows, fold, **params)
+
+    monkeypatch.setattr(learn, "staged_errors", counted)
+    model, table = learn.tune_trees(learning_table(spark), {"maxIter": [2, 6], "maxDepth": [1, 2]}, k=2, parallelism=2)
+    assert len(asked) == 4 and all(dict(p)["maxIter"] == 6 for _, p in asked)
+    assert [(t["maxIter"], t["maxDepth"]) for t in table] == [(2, 1), (2, 2), (6, 1), (6, 2)]
+    best = next(t for t in table if t["is_best"])
+    assert best["mae_log"] == min(t["mae_log"] for t in table) and len(model.trees) == best["maxIter"]
+    without, one = learn.tune_trees(learning_table(spark), {"maxDepth": [1], "maxIter": [3]}, k=2)
+    assert len(one) == 1 and one[0]["is_best"] and len(without.trees) == 3
+
+
+def test_few_rows_in_few_tasks(spark):
+    rows = spark.range(1000).repartition(8)
+    assert learn.in_few_tasks(rows, 1000).rdd.getNumPartitions() == 1
+    assert learn.in_few_tasks(rows, 3 * learn.ROWS_PER_TASK).rdd.getNumPartitions() == 3
+    assert learn.in_few_tasks(rows, 10**9).rdd.getNumPartitions() == 8

@@ -51,7 +51,7 @@ def test_learned_importance(spark):
     assert values == sorted(values, reverse=True) and abs(sum(values) - 1) < 1e-4
     assert rows[0]["feature"] == "n_orders" and rows[0]["label"] == "Orders"
     text = QUERIES["importance_text"](spark, MEDIUM).first()["user_text"]
-    assert text.split("\n")[1].startswith("1. n_orders: ") and "\n10. " in text and "\n11. " not in text
+    assert "place 1 = n_orders, share " in text and "place 10 = " in text and "place 11 = " not in text
 
 
 def test_learned_model_beats_segment_means(spark):
@@ -62,7 +62,9 @@ def test_learned_model_beats_segment_means(spark):
 
 
 def test_grid(spark):
+    """The whole grid: eight combinations, and the best one has the least error."""
     rows = QUERIES["grid_search"](spark, SMALL).collect()
-    assert len(rows) == 2
+    assert len(rows) == 8
+    assert len({(r["maxIter"], r["maxDepth"], r["stepSize"], r["subsamplingRate"]) for r in rows}) == 8
     best = [r for r in rows if r["is_best"]]
     assert len(best) == 1 and best[0]["mae_log"] == min(r["mae_log"] for r in rows)

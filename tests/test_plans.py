@@ -8,7 +8,8 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from cohortlab import CUSTOMERS, GRADUATES
-from cohortlab.operators import cohorts
+from cohortlab.operators import cohorts, learn
+from cohortlab.plans import queries
 from cohortlab.plans import score as score_job
 from cohortlab.plans import train as train_job
 from cohortlab.plans.queries import REGISTRY
@@ -30,8 +31,17 @@ def no_broadcast(spark):
     spark.conf.set(key, before)
 
 
+@pytest.fixture
+def short_fits(monkeypatch):
+    """The plans around a fit do not depend on the number of trees; the whole fits run in test_oracles."""
+    monkeypatch.setattr(learn, "UNTUNED", {"maxIter": 2, "maxDepth": 2, "stepSize": 0.05})
+    monkeypatch.setattr(learn, "GRID", {"maxIter": [1, 2], "maxDepth": [2]})
+    monkeypatch.setattr(learn, "FOLDS", 2)
+    monkeypatch.setattr(queries, "_SAVED", {})
+
+
 @pytest.mark.parametrize("name", sorted(REGISTRY))
-def test_no_slow_operator(spark, no_broadcast, name):
+def test_no_slow_operator(spark, no_broadcast, short_fits, name):
     plan = physical(REGISTRY[name](spark, SMALL))
     for slow in ("CartesianProduct", "NestedLoop", "EvalPython", "InPandas", "SortAggregate"):
         assert slow not in plan, slow
@@ -94,8 +104,6 @@ def test_staged_copy_is_removed(spark):
 
 
 def test_files_written_again_are_fitted_again(spark, tmp_path):
-    from cohortlab.plans import queries
-
     for table in ("customer", "orders"):
         customers.read(spark, SMALL, table).write.parquet(f"{tmp_path}/{table}.parquet")
     before = queries.fitted(spark, str(tmp_path))
