@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import percent, round_even
-from cohortlab.operators.medians import approx_median, exact_median
+from cohortlab.operators.medians import approx_median, exact_median, medians_together
 from cohortlab.spec import CohortSpec
 
 
@@ -167,6 +167,54 @@ def flag_premium(df: DataFrame, spec: CohortSpec) -> DataFrame:
     return wide.select(F.inline(F.array(*per_flag)))
 
 
+def all_comparisons(rows: DataFrame, spec: CohortSpec) -> DataFrame:
+    """Overview, segment, tier and flag reports in one long table: ``report, item, measure, value`` (double).
+
+    ``rows`` is read once for all counts and means, once for the flags, and as often as one exact median needs for all
+    of them; best a written projection, see ``plans.compare``. Listed segments and tiers without rows are kept.
+    """
+    target = _target(spec)
+    keys = [spec.segment, spec.tier]
+    stats = rows.groupingSets([[], [F.col(spec.segment)], [F.col(spec.tier)]], *keys).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(_hit(spec)).alias("hits"), F.avg(target).alias("mean"),
+        F.min(target).alias("low"), F.max(target).alias("high"), F.stddev_samp(target).alias("std"),
+        *(F.grouping(k).alias(f"_off_{i}") for i, k in enumerate(keys)),
+    )
+    by = F.when(F.col("_off_0") == 0, "segment").when(F.col("_off_1") == 0, "tier").otherwise("overview")
+    item = F.when(by == "segment", F.col(spec.segment)).when(by == "tier", F.col(spec.tier).cast("string")).otherwise("")
+    stats = stats.withColumns({"report": by, "item": item}).drop(*keys)
+    named = {"all": "overview", spec.segment: "segment", spec.tier: "tier"}
+    medians = medians_together(rows.where(_hit(spec)), keys, spec.target)
+    name = F.coalesce(*(F.when(F.col("_key") == k, F.lit(n)) for k, n in named.items()))
+    medians = medians.select(name.alias("report"), F.col("_item").alias("item"), "median")
+    listed = [("overview", ""), *(("segment", s) for s in spec.segments), *(("tier", str(t)) for t in spec.tiers)]
+    groups = df_of(rows, listed, "report string, item string").join(stats, ["report", "item"], "left").join(
+        medians, ["report", "item"], "left"
+    )
+    total, hits = F.coalesce("total", F.lit(0)), F.coalesce("hits", F.lit(0))
+    every, segment, tier = F.col("report") == "overview", F.col("report") == "segment", F.col("report") == "tier"
+    share = F.when(every, percent(hits, total)).otherwise(percent(hits, F.greatest(total, F.lit(1))))
+    measures = [
+        ("total", ~tier, total), ("converted_count", ~tier, hits), ("rate", ~tier, share),
+        ("avg_target", F.lit(True), round_even(F.col("mean"), 2)),
+        ("median_target", F.lit(True), round_even(F.col("median"), 2)),
+        ("min_target", every, round_even(F.col("low"), 2)), ("max_target", ~tier, round_even(F.col("high"), 2)),
+        ("std_target", every, round_even(F.col("std"), 2)), ("count", tier, hits),
+    ]
+    cells = F.array(*(
+        F.struct(F.lit(m).alias("measure"), shown.alias("shown"), v.cast("double").alias("value")) for m, shown, v in measures
+    ))
+    long = groups.select("report", "item", F.inline(cells)).where("shown").drop("shown")
+    flags = flag_premium(rows, spec)
+    names = [c for c in flags.columns if c != "flag"]
+    parts = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in names))
+    return long.unionByName(flags.select(F.lit("flag").alias("report"), F.col("flag").alias("item"), F.inline(parts)))
+
+
+def df_of(like: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
 def mark_best(report: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mark every cell that reaches the maximum of its column.
 

@@ -80,3 +80,72 @@ def exact_median(rows: DataFrame, key: str, value: str, listed: Sequence) -> Dat
 def approx_median(value: Column) -> Column:
     """One-pass alternative for reports where the rank may be off by one part in ten thousand."""
     return F.percentile_approx(value, 0.5)
+
+
+# Several groupings at once
+
+
+def _inside(value: Column, low: Column, high: Column) -> Column:
+    """The bin of a value in a range."""
+    width = high / 2 - low / 2
+    place = F.floor((value / 2 - low / 2) / width * BINS)
+    return F.when(width > 0, F.greatest(F.least(place, F.lit(BINS - 1)), F.lit(0))).otherwise(0)
+
+
+def _by_grouping(counts: DataFrame, keys: Sequence[str], path: Sequence[str]) -> DataFrame:
+    """Counts of the last bin or value of a path for all rows together and by each key: ``_key, _item``, the path."""
+    sets = [[F.col(p) for p in path], *([F.col(k), *(F.col(p) for p in path)] for k in keys)]
+    out = counts.groupingSets(sets, *keys, *path).agg(
+        F.sum("_c").alias("_c"), F.min("_least").alias("_least"), F.max("_most").alias("_most"),
+        *(F.grouping(k).alias(f"_off_{k}") for k in keys),
+    )
+    name, item = F.lit("all"), F.lit("")
+    for k in keys:
+        on = F.col(f"_off_{k}") == 0
+        name, item = F.when(on, F.lit(k)).otherwise(name), F.when(on, F.col(k).cast("string")).otherwise(item)
+    return out.withColumn("_key", name).withColumn("_item", item).where("_item is not null").select(
+        "_key", "_item", *path, "_c", "_least", "_most"
+    )
+
+
+def medians_together(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``(_key, _item, median)`` of ``value`` over all rows (``all``, an empty item) and by each of ``keys``, whose
+    values as text are the items; nulls do not count.
+
+    For keys with few values each. All groupings are narrowed together: bins are counted once per combination of keys,
+    and only these counts are added up by grouping. Bins and values that hold a middle rank of some group, at most two
+    for each, are what the next pass over ``rows`` looks at.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.where(v.isNotNull()).select(*keys, (v + 0.0).alias("_v"))
+    span = rows.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+    inside = rows.withColumn("_p0", _inside(F.col("_v"), span["low"], span["high"]))
+    path, chosen = ["_p0"], None
+    for level in range(ROUNDS + 1):
+        last = path[-1]
+        counts = inside.groupBy(*keys, *path).agg(
+            F.count("*").alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+        )
+        found = _by_grouping(counts, keys, path)
+        before = path[:-1]
+        if chosen is None:
+            n = F.sum("_c").over(Window.partitionBy("_key", "_item"))
+            found = found.withColumn("_n", n).withColumns(
+                {"_below": F.lit(0).cast("long"), "_r1": F.floor((F.col("_n") - 1) / 2), "_r2": F.floor(F.col("_n") / 2)}
+            )
+        else:
+            found = found.join(F.broadcast(chosen.select("_key", "_item", *before, "_below", "_r1", "_r2")), ["_key", "_item", *before])
+        upto = Window.partitionBy("_key", "_item", *before).orderBy(last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = found.withColumn("_upto", F.col("_below") + F.sum("_c").over(upto)).where(_holds("_r1") | _holds("_r2"))
+        if level == ROUNDS:
+            middle = [F.max(F.when(_holds(r), F.col(last))) for r in ("_r1", "_r2")]
+            return found.groupBy("_key", "_item").agg(((middle[0] + middle[1]) / 2).alias("median"))
+        chosen = found.select("_key", "_item", *path, (F.col("_upto") - F.col("_c")).alias("_below"), "_r1", "_r2", "_least", "_most")
+        cells = chosen.groupBy(*path).agg(F.min("_least").alias("_low"), F.max("_most").alias("_high"))
+        # At most two cells for each group.
+        inside = inside.join(F.broadcast(cells), path)
+        following = f"_p{level + 1}"
+        values = F.col("_v") if level == ROUNDS - 1 else _inside(F.col("_v"), F.col("_low"), F.col("_high"))
+        inside = inside.withColumn(following, values).drop("_low", "_high")
+        path = [*path, following]
+    raise AssertionError("ROUNDS must not be negative")

@@ -1,4 +1,4 @@
-"""All comparisons of one cohort from one cached projection."""
+"""All comparisons of one cohort from one projection, cached or written."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from cohortlab.operators import cohorts
+from cohortlab.session import stage
 from cohortlab.spec import CohortSpec
 
 
@@ -32,3 +33,10 @@ def comparisons(df: DataFrame, spec: CohortSpec, exact: bool = True) -> Iterator
             "flags": cohorts.flag_premium(rows, spec),
             "tiers": cohorts.tier_comparison(rows, spec, exact),
         }
+
+
+def all_comparisons(df: DataFrame, spec: CohortSpec) -> DataFrame:
+    """Every report in one long table. Whatever joins ``df`` takes run once: its narrow projection is written, and all
+    passes read that."""
+    rows = stage(df.select(spec.segment, spec.tier, spec.outcome, spec.target, *spec.binary), "compared")
+    return cohorts.all_comparisons(rows, spec)

@@ -350,3 +350,21 @@ SQL["stump_grid"] = f"""{BASE}, {PARTS},
   means as (select avg(e1) as e1, avg(e3) as e3 from errors), points as (
     select 1.0::double as "maxIter", e1 as e, e1 <= e3 as is_best from means union all select 3.0::double, e3, e3 <= e1 from means)
   select "maxIter", 1.0::double as "maxDepth", {STUMP_STEP}::double as "stepSize", {r("e", 4)} as mae_log, is_best from points"""
+
+
+def unpivoted(report: str, item: str, source: str, columns: tuple[str, ...]) -> str:
+    return " union all ".join(
+        f"select '{report}' as report, {item} as item, '{c}' as measure, {c}::double as value from ({source})" for c in columns
+    )
+
+
+_SPREAD = ("avg_target", "median_target", "min_target", "max_target", "std_target")
+SQL["all_comparisons"] = f"""{SEGMENTS}, whole as ({SQL["overview"].removeprefix(BASE)}),
+  tiers as (
+    select t.tier, {r("avg(target)", 2)} as avg_target, {r("median(target)", 2)} as median_target, count(profile_id) as count
+    from (values (1), (2), (3)) t(tier) left join (select * from cohort where converted = 1) c on c.tier = t.tier group by t.tier),
+  flags as ({SQL["flag_premium"].removeprefix(BASE)})
+  {unpivoted("overview", "''", "from whole", ("total", "converted_count", "rate", *_SPREAD))}
+  union all {unpivoted("segment", "segment", "from report", ("total", "converted_count", "rate", "avg_target", "median_target", "max_target"))}
+  union all {unpivoted("tier", "tier::varchar", "from tiers", ("avg_target", "median_target", "count"))}
+  union all {unpivoted("flag", "flag", "from flags", ("with_avg", "without_avg", "premium", "with_count", "without_count"))}"""

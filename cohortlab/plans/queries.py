@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.names import label_features as with_labels
 from cohortlab.functions.scalars import round_even
 from cohortlab.operators import clean, cohorts, features, learn, score, text, whatif
+from cohortlab.plans import compare
 from cohortlab.plans.train import train
 from cohortlab.session import file_states, new_folder, stage
 from cohortlab.sources import bundle as bundles
@@ -195,6 +196,12 @@ def mark_best(spark: SparkSession, folder: str) -> DataFrame:
     return cohorts.mark_best(report, [c for c in report.columns if c != "segment"])
 
 
+@query
+def all_comparisons(spark: SparkSession, folder: str) -> DataFrame:
+    """Overview, segments, tiers and flags from one set of passes."""
+    return compare.all_comparisons(customers.cohort(spark, folder), SPEC)
+
+
 # Features
 
 

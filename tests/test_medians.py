@@ -1,5 +1,6 @@
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,3 +67,29 @@ def test_one_plan_for_all_sizes(spark):
     for line in plan.split("\n"):
         if "Window" in line:
             assert "_bin" in line or "_v" in line
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_groupings_together(spark, seed):
+    """Uneven groups, ties, values far apart, and keys without rows, against a sort of each group."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(3000):
+        a, b = rng.choice(["x", "y", "y", "y", None]), int(rng.integers(1, 4))
+        v = [float(rng.normal()), float(rng.integers(0, 3)), 1e300 * float(rng.random()), None][int(rng.integers(0, 4))]
+        rows.append((None if a is None else str(a), b, v))
+    rows += [("one", 9, 5.0), ("two", 9, -5.0), ("null", 9, None)]
+    df = spark.createDataFrame(rows, "a string, b int, v double").repartition(4)
+    found = {(r["_key"], r["_item"]): r["median"] for r in m.medians_together(df, ["a", "b"], "v").collect()}
+    groups: dict = {}
+    for a, b, v in rows:
+        if v is not None:
+            for key in (("all", ""), ("a", a), ("b", str(b))):
+                if key[1] is not None:
+                    groups.setdefault(key, []).append(v)
+    expected = {}
+    for key, values in groups.items():
+        s, n = sorted(values), len(values)
+        expected[key] = (s[(n - 1) // 2] + s[n // 2]) / 2
+    assert found == expected
+    assert m.medians_together(df.where("false"), ["a", "b"], "v").collect() == []
