@@ -11,8 +11,11 @@ from pyspark.sql import types as T
 from cohortlab.functions.scalars import band, known_category, starts_with_any
 from cohortlab.spec import CohortSpec
 
-# The openings of the texts that stand for a failed reply.
+# The openings of the texts that stand for a failed reply, the characters that are kept of one, and the
+# blanks that are cut off at the ends of any reply.
 FAILED_REPLY = ("[AI", "[API")
+LONGEST_ERROR = 100
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def converted_only(df: DataFrame, spec: CohortSpec) -> DataFrame:
@@ -89,8 +92,11 @@ def value_bands(df: DataFrame, spec: CohortSpec, value: str) -> DataFrame:
 
 
 def reply_status(turns: DataFrame, prefixes: Iterable[str] = FAILED_REPLY) -> DataFrame:
-    """Assistant turns with ``status`` ``failed`` when the text opens like an error message."""
-    failed = starts_with_any(F.col("text"), prefixes)
-    return turns.where(F.col("role") == "assistant").withColumn(
-        "status", F.when(failed, "failed").otherwise("ok")
-    )
+    """Assistant turns with ``status`` ``failed`` when the text opens like an error message, and ``reply``: the text
+    without blanks at its ends, of a failed one the first ``LONGEST_ERROR`` characters. A null text is an ok null."""
+    trimmed = F.btrim(F.col("text"), F.lit(BLANKS))
+    failed = starts_with_any(trimmed, prefixes)
+    return turns.where(F.col("role") == "assistant").withColumns({
+        "status": F.when(failed, "failed").otherwise("ok"),
+        "reply": F.when(failed, F.substring(trimmed, 1, LONGEST_ERROR)).otherwise(trimmed),
+    })

@@ -68,6 +68,20 @@ def overview(df: DataFrame, spec: CohortSpec, exact: bool = True) -> DataFrame:
     )
 
 
+def running_overview(df: DataFrame, spec: CohortSpec) -> DataFrame:
+    """The overview without its median, whose states are a few numbers: also for rows that go on arriving."""
+    target = _target(spec)
+    report = df.select(spec.outcome, spec.target).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(_hit(spec)).alias("converted_count"), F.avg(target).alias("mean"),
+        F.min(target).alias("low"), F.max(target).alias("high"), F.stddev_samp(target).alias("std"),
+    )
+    names = {"mean": "avg", "low": "min", "high": "max", "std": "std"}
+    return report.select(
+        "total", "converted_count", percent(F.col("converted_count"), F.col("total")).alias("rate"),
+        *(round_even(F.col(c), 2).alias(f"{n}_target") for c, n in names.items()),
+    )
+
+
 def group_means(df: DataFrame, keys: Sequence[str], spec: CohortSpec) -> DataFrame:
     """Mean target of the converted rows by each key on its own: ``(key, value, avg_target)``.
 

@@ -126,7 +126,11 @@ def pair_text(compared: DataFrame, spec: CohortSpec, feature: str) -> DataFrame:
 
 def overview_sentence(df: DataFrame, spec: CohortSpec) -> DataFrame:
     """One row with the figures that are added to a user's message."""
-    report = overview(df, spec, exact=False)
+    return report_sentence(overview(df, spec, exact=False), spec)
+
+
+def report_sentence(report: DataFrame, spec: CohortSpec) -> DataFrame:
+    """The figures of an overview that was made before, as ``overview_sentence`` words them."""
 
     def amount(column: str) -> Column:
         return F.concat(fixed(F.col(column), 2), F.lit(f" {spec.unit}"))

@@ -170,6 +170,8 @@ from conversations, context where role = 'user'"""
 FEATURES = ", ".join(SPEC.features)
 LABELS = "case " + " ".join(f"when feature = '{f}' then '{v}'" for f, v in LABEL.items()) + " else feature end"
 
+_TRIMMED = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
 SQL: dict[str, str] = {
     "scan_profiles": f"{BASE} select profile_id, {FEATURES} from cohort",
     "converted_only": f"{BASE} select * from cohort where converted = 1",
@@ -199,8 +201,9 @@ SQL: dict[str, str] = {
         cast((n_orders is null)::integer + (n_urgent is null)::integer + (n_low is null)::integer
           + (n_open is null)::integer + (n_recent is null)::integer as integer) as n_filled from raw""",
     "reply_status": "select conv_id, turn, case when "
-    + " or ".join(f"starts_with(text, '{p}')" for p in REPLY_PREFIXES)
-    + " then 'failed' else 'ok' end as status from conversations where role = 'assistant'",
+    + " or ".join(f"starts_with({_TRIMMED}, '{p}')" for p in REPLY_PREFIXES)
+    + f" then 'failed' else 'ok' end as status, case when status = 'failed' then left({_TRIMMED}, 100) else {_TRIMMED} end as reply "
+    + "from conversations where role = 'assistant'",
     "overview": f"""{BASE} select count(*) as total, count(*) filter (where converted = 1) as converted_count,
         {r("100.0::double * sum(converted) / count(*)", 1)} as rate, {means()} from cohort""",
     "group_means": f"{BASE} "
@@ -368,3 +371,22 @@ SQL["all_comparisons"] = f"""{SEGMENTS}, whole as ({SQL["overview"].removeprefix
   union all {unpivoted("segment", "segment", "from report", ("total", "converted_count", "rate", "avg_target", "median_target", "max_target"))}
   union all {unpivoted("tier", "tier::varchar", "from tiers", ("avg_target", "median_target", "count"))}
   union all {unpivoted("flag", "flag", "from flags", ("with_avg", "without_avg", "premium", "with_count", "without_count"))}"""
+
+SQL["csv_round_trip"] = f"""{BASE} select * replace ('a "' || region || '",' || chr(10) || ' of it' as region) from cohort"""
+SQL["csv_bad_records"] = """select case when c_custkey % 7 = 0 then 'wrong length' when c_custkey % 11 = 0 then 'tier is not a number'
+  else 'good' end as reason, count(*) as n from customer group by 1"""
+_LISTS = {
+    "features": ENCODED, "categories": FITTED, "reference": FITTED[:1], "binary": ("flag_urgent", "flag_low", "flag_recent", "flag_open"),
+    "numeric": ("acctbal", "n_orders", "n_urgent", "n_low", "n_open", "n_recent"), "ordinal": ("tier",),
+}
+SQL["metadata_document"] = f"{FIT}, names(part, position, name) as (values " + ", ".join(
+    f"('{part}', {i}::bigint, '{name}')" for part, names in _LISTS.items() for i, name in enumerate(names)
+) + ") select *, null::double as mean, null::double as deviation from names union all " + " union all ".join(
+    f"select 'scaler', null, '{c}', {r(f'm_{c}', 6)}, {r(f'd_{c}', 6)} from stats" for c in ENCODED
+)
+SQL["append_once"] = "select conv_id, turn, role, text from conversations"
+SQL["stream_overview"] = f"select * exclude (median_target) from ({SQL['overview']})"
+SQL["stream_moving_context"] = f"""{BASE}, {CONTEXT}, half as ({CONTEXT.removeprefix("context as (").removesuffix(")")} where profile_id % 2 = 0)
+select conv_id, turn, {lit(text.CHAT_SYSTEM)} as system_text,
+  text || case when conv_id % 2 = 0 then half.sentence else context.sentence end as user_text
+from conversations, context, half where role = 'user'"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.names import label_features as with_labels
@@ -16,7 +16,7 @@ from cohortlab.plans import compare
 from cohortlab.plans.train import train
 from cohortlab.session import file_states, new_folder, stage
 from cohortlab.sources import bundle as bundles
-from cohortlab.sources import customers, tables
+from cohortlab.sources import customers, metadata, tables
 from cohortlab.spec import CUSTOMERS as SPEC
 from cohortlab.streaming import streams
 
@@ -100,6 +100,46 @@ def scan_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return tables.profiles(tables.nan_to_null(customers.cohort(spark, folder)), SPEC)
 
 
+@query
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The cohort written as CSV and read back, with quotes, commas and line ends in its texts."""
+    df = customers.cohort(spark, folder, post_outcome=True)
+    path = new_folder(spark, "csv")
+    tables.write_csv(df.withColumn("region", F.concat(F.lit('a "'), "region", F.lit('",\n of it'))), path)
+    return tables.read_csv(spark, path, SPEC, multi_line=True)
+
+
+@query
+def csv_bad_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Good and bad records of a CSV copy in which some texts have a comma without quotes, and some tiers are words."""
+    df = customers.cohort(spark, folder, post_outcome=True)
+    path = new_folder(spark, "csv")
+    key = F.col("profile_id")
+    spoiled = df.withColumns({
+        "region": F.when(key % 7 == 0, F.concat("region", F.lit(", and more"))).otherwise(F.col("region")),
+        "tier": F.when(key % 11 == 0, F.lit("first")).otherwise(F.col("tier").cast("string")),
+    })
+    # No text is quoted.
+    spoiled.write.option("header", True).option("quote", "\0").csv(path)
+    good, bad = tables.read_csv_checked(spark, path, SPEC)
+    return good.select(F.lit("good").alias("reason")).unionAll(bad.select("reason")).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query
+def metadata_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories, roles and scaler figures, written as a JSON document and read back."""
+    path = new_folder(spark, "document")
+    metadata.write_document(metadata.document(spark, fitted(spark, folder)), path)
+    docs = metadata.read_documents(spark, path, SPEC)
+    none = F.lit(None).cast("double")
+    names = metadata.roles(docs, SPEC).select("part", F.col("position").cast("long"), "name", none.alias("mean"), none.alias("deviation"))
+    figures = rounded(metadata.scaler(docs, SPEC), 6, "mean", "deviation")
+    figures = figures.select(F.lit("scaler").alias("part"), F.lit(None).cast("long").alias("position"), F.col("feature").alias("name"), "mean", "deviation")
+    return names.unionByName(figures)
+
+
 @query
 def converted_only(spark: SparkSession, folder: str) -> DataFrame:
     return clean.converted_only(customers.cohort(spark, folder, post_outcome=True), SPEC)
@@ -159,7 +199,7 @@ def default_fill(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def reply_status(spark: SparkSession, folder: str) -> DataFrame:
     turns = customers.read(spark, folder, "conversations")
-    return clean.reply_status(turns, REPLY_PREFIXES).select("conv_id", "turn", "status")
+    return clean.reply_status(turns, REPLY_PREFIXES).select("conv_id", "turn", "status", "reply")
 
 
 # Reports
@@ -313,6 +353,16 @@ def chat_context(spark: SparkSession, folder: str) -> DataFrame:
     return text.chat_context(customers.read(spark, folder, "conversations"), sentence.scalar())
 
 
+@query
+def append_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns appended in three batches, one of them written again."""
+    turns = customers.read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    path = new_folder(spark, "turns")
+    for batch in (0, 1, 2, 1):
+        streams.append_batch(turns.where(F.pmod("conv_id", F.lit(3)) == batch), path, batch)
+    return streams.appended(spark, path, turns.schema)
+
+
 @query
 def chat_replay(spark: SparkSession, folder: str) -> DataFrame:
     """Replies appended to the other turns, then everything in reading order."""
@@ -438,6 +488,46 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scored.drop("n_filled"), 4, "predicted_log")
 
 
+class _Arriving:
+    """A table that arrives in parts: each call writes the next one and returns a stream of the folder."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.df, self.path = df, new_folder(df.sparkSession, label)
+
+    def __call__(self, rows: Column) -> DataFrame:
+        self.df.where(rows).write.mode("append").parquet(self.path)
+        return streams.file_stream(self.df.sparkSession, self.path, "*.parquet", self.df.schema)
+
+
+def _arriving_profiles(spark: SparkSession, folder: str) -> Callable[[Column], DataFrame]:
+    facts = stage(customers.order_facts(customers.read(spark, folder, "orders")), "facts")
+    arriving = _Arriving(customers.read(spark, folder, "customer"), "arriving")
+    return lambda rows: customers.finish(customers.raw_profiles(arriving(rows), facts))
+
+
+@query
+def stream_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """The overview after two parts of the customers have arrived, with a restart between them."""
+    profiles, state = _arriving_profiles(spark, folder), new_folder(spark, "overview-progress")
+    for part in (0, 1):
+        report = streams.overview_so_far(profiles(F.pmod("c_custkey", F.lit(2)) == part), SPEC, state)
+    return report
+
+
+@query
+def stream_moving_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as they arrive, each with the overview of the customers that have arrived before it."""
+    profiles, state = _arriving_profiles(spark, folder), new_folder(spark, "overview-progress")
+    turns = _Arriving(customers.read(spark, folder, "conversations"), "turns")
+    out, progress = new_folder(spark, "chat"), new_folder(spark, "chat-progress")
+    for part in (0, 1):
+        report = streams.overview_so_far(profiles(F.pmod("c_custkey", F.lit(2)) == part), SPEC, state)
+        sentence = stage(text.report_sentence(report, SPEC), "sentence")
+        stream = streams.context_stream(turns(F.pmod("conv_id", F.lit(2)) == part), sentence.scalar())
+        streams.start(stream, out, progress).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @query
 def stream_chat_context(spark: SparkSession, folder: str) -> DataFrame:
     """Chat turns as they arrive, each user turn with the overview of the cohort."""

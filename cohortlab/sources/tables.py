@@ -27,16 +27,25 @@ MISSING = (
 )
 
 
-def _parsed(column: T.StructField) -> Column:
-    """The text of a CSV column as its type. Whole numbers may be written as 3.0; any other text
-    that does not fit stops the job, whether or not the session casts strictly."""
+def _text_and_value(column: T.StructField) -> tuple[Column, Column]:
+    """The text of a CSV column, null if missing, and what it says as a value of its type, null if it does not fit.
+    Whole numbers may be written as 3.0."""
     text = F.when(~F.col(column.name).isin(*MISSING), F.col(column.name))
     if isinstance(column.dataType, T.StringType):
-        return text.alias(column.name)
+        return text, text
     value = text.try_cast(column.dataType)
     if isinstance(column.dataType, T.IntegralType):
         number = text.try_cast("double")
         value = F.coalesce(value, F.when(number == F.rint(number), number.try_cast(column.dataType)))
+    return text, value
+
+
+def _parsed(column: T.StructField) -> Column:
+    """The text of a CSV column as its type. Any text that does not fit stops the job, whether or not the session casts
+    strictly."""
+    text, value = _text_and_value(column)
+    if isinstance(column.dataType, T.StringType):
+        return text.alias(column.name)
     unfit = F.raise_error(F.concat(F.lit(f"{column.name} is not a number: "), text))
     return (
         F.when(text.isNull() | value.isNotNull(), value)
@@ -66,6 +75,48 @@ def read_csv(spark: SparkSession, path: str, spec: CohortSpec, multi_line: bool
     return raw.select(*(_parsed(f) for f in columns))
 
 
+RECORD = "_record"
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, spec: CohortSpec, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """As ``read_csv``, for files that may hold bad records: the good rows, and ``(reason, record)`` of all others.
+
+    A record is bad if it has too many or too few fields, or a text that does not fit in a number column. Its reason
+    names the first such column, its record is the text as read, or the column's text. Each record is in one of the two
+    tables, so their counts add up to the records of the files.
+    """
+    options = {"header": True, "enforceSchema": False, "escape": '"', "multiLine": multi_line, "columnPruning": False}
+    names = require(spark.read.options(**options).csv(path), spec).columns
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RECORD]])
+    raw = (
+        spark.read.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD)
+        .schema(texts).csv(path)
+    )
+    columns = [f for f in spec.schema if f.name in names]
+    reason, record = F.when(F.col(RECORD).isNotNull(), F.lit("wrong length")), F.col(RECORD)
+    values = []
+    for f in columns:
+        text, value = _text_and_value(f)
+        unfit = text.isNotNull() & value.isNull()
+        reason = reason.when(unfit, F.lit(f"{f.name} is not a number"))
+        record = F.coalesce(record, F.when(unfit, text))
+        values.append(value.alias(f.name))
+    judged = raw.select(reason.alias("reason"), record.alias("record"), F.struct(*values).alias("row"))
+    good = judged.where("reason is null").select("row.*")
+    return good, judged.where("reason is not null").select("reason", "record")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header line that ``read_csv`` reads back, texts with quotes, commas and line ends included (these need
+    ``multi_line``). Nulls and empty texts are both written as nothing, so empty texts come back as nulls, as do the
+    other texts of ``MISSING``."""
+    df.write.option("header", True).option("escape", '"').option("emptyValue", "").option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def read_parquet(spark: SparkSession, path: str, spec: CohortSpec) -> DataFrame:
     return nan_to_null(require(spark.read.parquet(path), spec))
 

@@ -167,6 +167,18 @@ def test_reply_status(spark):
     assert [r["status"] for r in rows] == ["failed", "failed", "ok", "ok"]
 
 
+def test_reply_texts(spark):
+    """Blanks go at both ends; an error keeps its first hundred characters, any other text all of them."""
+    long = "é" * 300
+    turns = spark.createDataFrame(
+        [(1, "assistant", f" \n[AI {long}"), (2, "assistant", f"\t {long} x \r\n"), (3, "assistant", " \n "),
+         (4, "assistant", None), (5, "assistant", "[API]")], "turn int, role string, text string",
+    )
+    rows = clean.reply_status(turns).orderBy("turn").collect()
+    assert [r["reply"] for r in rows] == [f"[AI {long}"[:100], f"{long} x", "", None, "[API]"]
+    assert [r["status"] for r in rows] == ["failed", "ok", "ok", "ok", "failed"]
+
+
 def test_outcome_mask_and_projection(make):
     df = make({}, {"placed": 0}, {"placed": None})
     assert [r["is_converted"] for r in clean.outcome_mask(df, G).orderBy("student_id").collect()] == [True, False, False]

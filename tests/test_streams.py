@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from cohortlab import GRADUATES as G
-from cohortlab.operators import score, text
+from cohortlab.operators import cohorts, score, text
 from cohortlab.plans.train import train
 from cohortlab.streaming import streams
 
@@ -48,3 +48,32 @@ def test_context_stream_equals_batch(spark, graduates, tmp_path):
     streams.start(streams.context_stream(arriving, sentence), out, state).awaitTermination()
     got = spark.read.parquet(out).orderBy("conv_id", "turn").collect()
     assert got == text.chat_context(turns, sentence).orderBy("conv_id", "turn").collect() and len(got) == 20
+
+
+def test_overview_goes_on_after_a_restart(spark, graduates, tmp_path):
+    """Three runs of one query: each adds its new files to what the runs before have counted, once."""
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for part in range(3):
+        rows = graduates.where(F.pmod(F.xxhash64("student_id"), F.lit(3)) == part)
+        rows.repartition(2).write.mode("append").parquet(folder)
+        arriving = streams.file_stream(spark, folder, "*.parquet", G.schema, files=1)
+        report = streams.overview_so_far(arriving, G, state).collect()
+        so_far = graduates.where(F.pmod(F.xxhash64("student_id"), F.lit(3)) <= part)
+        assert report == cohorts.overview(so_far, G).drop("median_target").collect()
+    again = streams.overview_so_far(streams.file_stream(spark, folder, "*.parquet", G.schema), G, state)
+    assert [r["total"] for r in again.collect()] in ([], [800])
+
+
+def test_append_twice_is_append_once(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string"
+    path = str(tmp_path / "turns")
+    first = [(1, 0, "user", "a"), (1, 1, None, None), (1, 1, None, None)]
+    second = [(1, 2, "assistant", None), (2, 0, None, "")]
+    frames = {0: spark.createDataFrame(first, schema), 7: spark.createDataFrame(second, schema)}
+    for batch in (0, 7, 7, 0):
+        streams.append_batch(frames[batch], path, batch)
+    got = streams.appended(spark, path, frames[0].schema)
+    assert got.columns == ["conv_id", "turn", "role", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(first + second, key=str)
+    replay = text.chat_replay(got).collect()
+    assert [(r["conv_id"], r["turn"]) for r in replay] == [(1, 0), (1, 1), (1, 1), (1, 2), (2, 0)]

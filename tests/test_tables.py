@@ -104,3 +104,35 @@ def test_filters_and_columns_reach_the_scan(spark, graduates, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(placed,1)" in plan
     assert "ReadSchema: struct<branch:string,placed:int,salary_lpa:double>" in plan
+
+
+def test_bad_records_are_set_aside(spark, tmp_path):
+    """Every record is in one of the two tables, whatever is wrong with it."""
+    rows = [one_row() | {"student_id": f"S{i}"} for i in range(6)]
+    rows[1] |= {"cgpa": "high", "projects": "2.5"}
+    rows[2] |= {"projects": "3.0", "backlogs": "NA"}
+    rows[3] |= {"branch": "IT,ECE"}
+    path = write_csv(tmp_path / "some.csv", *rows)
+    with open(path, "a") as file:
+        file.write("S6,7.5\n")
+    good, bad = tables.read_csv_checked(spark, path, G)
+    assert good.schema == tables.read_csv(spark, path, G).schema
+    found = {r["student_id"]: r for r in good.collect()}
+    assert set(found) == {"S0", "S2", "S4", "S5"} and (found["S2"]["projects"], found["S2"]["backlogs"]) == (3, None)
+    reasons = {(r["reason"], r["record"]) for r in bad.collect()}
+    assert ("cgpa is not a number", "high") in reasons and ("wrong length", "S6,7.5") in reasons
+    assert len(reasons) == 3 and any(a == "wrong length" and b.startswith("S3,") for a, b in reasons)
+    with pytest.raises(Exception, match="MALFORMED|not a number"):
+        tables.read_csv(spark, path, G).collect()
+
+
+def test_written_texts_come_back(spark, graduates, tmp_path):
+    texts = ['a "quoted" one', "commas, too", "two\nlines", ' "', " blanks ", '""', "\\", "NA", None, ""]
+    columns = [c for c in G.schema.names if c not in ("student_id", "job_role")]
+    first = graduates.limit(1).select(*columns).first()
+    rows = [tuple({"student_id": f"T{i}", "job_role": t, **first.asDict()}[c] for c in G.schema.names) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, G.schema)
+    tables.write_csv(df, str(tmp_path / "out"))
+    for read in (tables.read_csv(spark, str(tmp_path / "out"), G, True), tables.read_csv_checked(spark, str(tmp_path / "out"), G, True)[0]):
+        got = {r["student_id"]: r["job_role"] for r in read.collect()}
+        assert got == {f"T{i}": None if t in ("NA", "") else t for i, t in enumerate(texts)}
