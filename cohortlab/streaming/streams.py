@@ -52,7 +52,8 @@ def overview_so_far(profiles: DataFrame, spec: CohortSpec, checkpoint: str) -> D
     """One row: the overview of everything that has arrived so far, this run's rows included.
 
     The sums are the state of the query and live in ``checkpoint``; a run that starts again goes on from them and reads
-    new files only, so no row counts twice. Only the one row of results is held by the driver.
+    new files only, so no row counts twice. Only the one row of results is held by the driver. No row if nothing has
+    arrived since the last run, whose report still holds.
     """
     name = f"overview_{uuid.uuid4().hex}"
     report = running_overview(profiles, spec)

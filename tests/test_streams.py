@@ -60,8 +60,8 @@ def test_overview_goes_on_after_a_restart(spark, graduates, tmp_path):
         report = streams.overview_so_far(arriving, G, state).collect()
         so_far = graduates.where(F.pmod(F.xxhash64("student_id"), F.lit(3)) <= part)
         assert report == cohorts.overview(so_far, G).drop("median_target").collect()
-    again = streams.overview_so_far(streams.file_stream(spark, folder, "*.parquet", G.schema), G, state)
-    assert [r["total"] for r in again.collect()] in ([], [800])
+    # Nothing new has arrived.
+    assert streams.overview_so_far(streams.file_stream(spark, folder, "*.parquet", G.schema), G, state).count() == 0
 
 
 def test_append_twice_is_append_once(spark, tmp_path):
