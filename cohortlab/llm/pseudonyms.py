@@ -24,7 +24,14 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 # A token ends before a full stop, so that it has one pseudonym at the end of a sentence too.
 _TOKEN = r"[A-Za-z0-9._~+/=-]{15,}[A-Za-z0-9_~+/=-]"
-SECRET = rf"(?<=password[=:])[^\s\"']{{4,}}|(?<=token = \"){_TOKEN}|(?<=token=){_TOKEN}"
+_SET = r"[ \t]{0,2}[=:][ \t]{0,2}[\"']{0,1}"
+SECRET = (
+    rf"(?<=password[=:])[^\s\"']{{4,}}|(?<=token = \"){_TOKEN}|(?<=token=){_TOKEN}"
+    # Any letter case, blanks and quotes around the sign, and the usual names of keys.
+    rf"|(?i:(?<=(?:password|passwd|pwd|passphrase){_SET}))[^\s\"']{{4,}}"
+    rf"|(?i:(?<=(?:token|secret|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key){_SET})){_TOKEN}"
+    rf"|(?i:(?<=bearer[ \t]{{1,2}})){_TOKEN}"
+)
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 CARD = (
@@ -32,11 +39,15 @@ CARD = (
     r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
 )
 PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
+# A country's number, then groups of digits; one bank account, its country and check digits; an address of eight groups.
+ABROAD = r"(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-][0-9]{2,5}){2,4}(?![0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IP6 = r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
-ANY = "|".join((SECRET, ACCESS, EMAIL, IP, CARD, PHONE, SSN, DATE))
+ANY = "|".join((SECRET, ACCESS, EMAIL, IP, IP6, IBAN, CARD, ABROAD, PHONE, SSN, DATE))
 # No format goes without one of these: the other formats need digits.
-HINT = r"[0-9@=]|password:|AKIA"
+HINT = r"[0-9@=]|AKIA|(?i:pass(?:word|wd|phrase)|pwd|token|secret|key|bearer)"
 _DATE_FORMATS = (
     (r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), (r"^[0-9]{2}/", "MM/dd/yyyy"),
 )
@@ -150,6 +161,45 @@ def phone(text: Column, key: str) -> Column:
     return _refilled(text, F.concat(front, F.lpad(y.cast("string"), F.lit(10), F.lit("0"))))
 
 
+def abroad(text: Column, key: str) -> Column:
+    """The country's number stays; the digits after it are one number."""
+    code = _digits(F.regexp_extract(text, "^.[0-9]+", 0))
+    own = F.substring(_digits(text), F.length(code) + 1, F.length(text))
+    n = F.length(own)
+    right = F.floor(n / 2).cast("int")
+    # 18 digits at most go into a whole number; the format has no more than 20, and the last of more stay.
+    n18, right = F.least(n, F.lit(18)), F.least(right, F.lit(9))
+    y = permute(F.substring(own, F.lit(1), n18).cast("long"), _power(n18 - right), _power(right), "abroad", key)
+    return _refilled(text, F.concat(code, F.lpad(y.cast("string"), n18, F.lit("0")), F.substring(own, n18 + 1, n)))
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder of the number that a text of digits and capital letters spells, A being 10."""
+
+    def step(rest: Column, c: Column) -> Column:
+        letter = F.instr(F.lit(UPPER), c)
+        return F.when(letter > 0, rest * 100 + letter + 9).otherwise(rest * 10 + c.try_cast("int")) % 97
+
+    return F.aggregate(_chars(text), F.lit(0), step)
+
+
+def account(text: Column, key: str) -> Column:
+    """Country and length stay, the check digits are those of the new account."""
+    plain = F.regexp_replace(text, " ", "")
+    country, own = F.substring(plain, F.lit(1), F.lit(2)), F.substring(plain, F.lit(5), F.length(plain))
+    moved = permute_text(own, (DIGITS, UPPER), "account", key)
+    check = (98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string")
+    new = F.concat(country, F.lpad(check, F.lit(2), F.lit("0")), moved)
+    spaced = F.when(F.contains(text, F.lit(" ")), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
+    valid = _mod97(F.concat(own, country, F.substring(plain, F.lit(3), F.lit(2)))) == 1
+    return F.when(valid, spaced).otherwise(text)
+
+
+def address6(text: Column, key: str) -> Column:
+    """Written in small letters, so that its letter case makes no other value."""
+    return permute_text(F.lower(text), (HEX,), "ip6", key)
+
+
 def address(text: Column, key: str) -> Column:
     octet = [F.split_part(text, F.lit("."), F.lit(i)).cast("long") for i in range(1, 5)]
     x = ((octet[0] * 256 + octet[1]) * 256 + octet[2]) * 256 + octet[3]
@@ -206,6 +256,9 @@ def pseudonym(match: Column, key: str) -> Column:
         F.when(match.rlike(rf"^(?:{ACCESS})$"), access(match, key))
         .when(match.rlike(rf"^(?:{EMAIL})$"), email(match, key))
         .when(match.rlike(rf"^(?:{IP})$"), address(match, key))
+        .when(match.rlike(rf"^(?:{IP6})$"), address6(match, key))
+        .when(match.rlike(rf"^(?:{IBAN})$"), account(match, key))
+        .when(match.rlike(rf"^(?:{ABROAD})$"), abroad(match, key))
         .when(match.rlike(rf"^(?:{SSN})$"), ssn(match, key))
         .when(match.rlike(rf"^(?:{DATE})$"), date(match, key))
         .when(match.rlike(rf"^(?:{PHONE})$"), phone(match, key))
@@ -217,8 +270,8 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = "pseudonyms", text: str = "text") -> DataFrame:
     """The columns of ``docs`` with the values in ``text`` replaced, and ``n_values``, the number of values replaced.
 
-    Numbers that look like cards but have a wrong check digit, impossible dates and impossible social security
-    numbers stay. A short value may by chance stand for itself. Null text: null, 0 values. Null ids and repeated rows
+    Numbers that look like cards or bank accounts but have wrong check digits, impossible dates and impossible social
+    security numbers stay. A short value may by chance stand for itself. Null text: null, 0 values. Null ids and repeated rows
     are passed on. Very long texts are read whole. An empty table gives no rows. Extra columns are kept; one that
     is called ``n_values`` is replaced. Values with equal beginnings: the first format of the list that fits at the
     earliest place, as in the pattern.
