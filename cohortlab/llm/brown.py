@@ -2,12 +2,14 @@
 
 The probability of a word after another one is that of its class after the class of the other, times that of the
 word in its class. Classes come from exchange clustering: the most frequent words are moved one at a time to the class
-that raises the likelihood most, and then every other word of the corpus is moved to its best class, given what
-stands beside it in all training texts.
+that raises the likelihood most; every other word then gets its best class, given what stands beside it in all training
+texts; and in further rounds all words, the most frequent ones included, are exchanged at once, each against the classes
+that the round before gave to its neighbours, until few of them move or the likelihood no longer rises.
 
 Texts are cut into chunks, each with its own numbering of words, so that counts, classes and scores are exchanged
-once per word of a chunk and never once per token. Everything counted from the corpus is counted over all of it
-and merged in hash partitions; the driver sees only the bounded statistics of the first step and of the classes.
+once per word of a chunk and never once per token. The words of a chunk are dealt by hash into parts, one message to
+a part, and its answer comes back in the order of the words. Everything counted from the corpus is counted over all of
+it; the driver sees only the bounded statistics of the first step and of the classes.
 """
 
 from __future__ import annotations
@@ -25,12 +27,19 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm.shingles import binary, word_hashes, word_list
 from cohortlab.llm.tables import field, in_arrow, keep, ship
+from cohortlab.session import staged
 
 # Classes; words that are exchanged one at a time; tokens in a chunk, but for a longer last text.
 CLASSES = 64
 SEEDS = 2048
 CHUNK_TOKENS = 4_000_000
 PASSES = 3
+# Rounds over the whole vocabulary at most; share of the words that may still move after the last one.
+ROUNDS = 4
+SETTLED = 0.01
+# Chunks whose words make a part, at most; words that are compared with all classes at once.
+CHUNKS_PER_PART = 8
+BLOCK = 4096
 FOLDS, HELD_OUT = 5, 1
 # Weight of the class frequencies in the transition probabilities, and of the uniform guess in the exchange.
 PRIOR, EPS = 5.0, 0.1
@@ -63,7 +72,7 @@ def _chunker(limit: int) -> Callable:
                 pa.array([word_hashes(list(numbers)).astype(np.int64)], pa.list_(pa.int64())),
                 pa.array([counts], pa.list_(pa.int64())), pa.array([int((~held).sum())]),
             ]
-            return pa.RecordBatch.from_arrays(values, names=[n.split()[0] for n in _CHUNK.split(", ")])
+            return pa.RecordBatch.from_arrays(values, names=_names(_CHUNK))
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), strict=True):
@@ -195,85 +204,171 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarra
     return cls[:m]
 
 
-def context_weights(pairs: np.ndarray, cls: np.ndarray, classes: int) -> np.ndarray:
-    """Log probability of a neighbour code (following classes, then preceding ones) given the class of a word."""
+def class_table(pairs: np.ndarray, cls: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of class after class, of a pair count matrix whose last two symbols are other words and the end."""
     full = np.concatenate((cls, [classes, classes + 1]))
     member = np.zeros((len(full), classes + 2))
     member[np.arange(len(full)), full] = 1
-    table = member.T @ pairs @ member
-    share = table.sum(axis=0) / max(table.sum(), 1)
-    size = table.sum(axis=1)[:classes, None] + EPS
-    following = np.log((table[:classes] + EPS * share) / size + 1e-12)
-    preceding = np.log((table[:, :classes].T + EPS * share) / size + 1e-12)
-    return np.concatenate((following, preceding), axis=1).T
+    return member.T @ pairs @ member
 
 
-def _neighbour_counter(seeds: np.ndarray, cls: np.ndarray, classes: int) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each word of a chunk that is no seed: the classes beside it in training texts, as (code, n) pairs."""
-        codes = 2 * (classes + 2)
-        for batch in batches:
-            for row in _rows(batch, "sizes", "held", "tokens", "vocabulary"):
-                words = row["vocabulary"]
-                class_of = np.append(_matched(words, seeds, cls, classes), classes + 1)
-                is_seed = np.append(_matched(words, seeds, np.ones(len(seeds), np.int64), 0), 1)
-                text = _training(row, np.arange(len(words)), len(words))
-                at = np.flatnonzero(is_seed[text] == 0)
-                if not len(at):
-                    continue
-                keys = np.concatenate((text[at] * codes + class_of[text[at + 1]],
-                                       text[at] * codes + classes + 2 + class_of[text[at - 1]]))
-                keys, n = np.unique(keys, return_counts=True)
-                word, code = np.divmod(keys, codes)
-                entries = np.stack((code, n), axis=1).astype("<u4")
-                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                offsets = np.append(first, len(word)).astype(np.int32) * 8
-                blobs = pa.Array.from_buffers(
-                    pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(words[word[first]]), blobs], names=["hash", "entries"])
+def likelihood(table: np.ndarray) -> float:
+    """Logarithm of the class bigram likelihood, but for what the words themselves add whatever their classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
-    return count
 
+def class_scores(beside: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How well each class suits words, from the counts of classes after and before them (a row for each word).
 
-def _assigner(weights: np.ndarray) -> Callable:
-    codes, classes = weights.shape
-
-    def best(hashes: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-        entries = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
-        per_row = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
-        new = np.append(True, hashes[1:] != hashes[:-1])
-        word = np.repeat(np.cumsum(new) - 1, per_row)
-        table = np.bincount(word * codes + entries[:, 0], weights=entries[:, 1], minlength=int(new.sum()) * codes)
-        table = table.reshape(-1, codes)
-        n = table[:, : codes // 2].sum(axis=1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hashes[new]), pa.array(n.astype(np.int64)), pa.array((table @ weights).argmax(axis=1).astype(np.int32))],
-            names=["hash", "c", "class"],
-        )
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Best class and count of each word; its rows follow each other, possibly across batches."""
-        hashes, blobs = np.empty(0, dtype=np.int64), []
+    It is the change of the likelihood when a few occurrences join a class. From the class that a word has (``own``,
+    the number of classes for none) its own occurrences are taken out first.
+    """
+    size = len(table)
+    classes = size - 2
+    guess = EPS * table.sum(axis=0) / max(table.sum(), 1)
+    around = np.concatenate((table[:classes], table[:, :classes].T), axis=1)
+    total = table.sum(axis=1)[:classes]
+    guesses = np.concatenate((guess, guess))
+    out = beside @ np.log((around + guesses) / (total[:, None] + EPS) + 1e-12).T
+    has = np.flatnonzero(own < classes)
+    a, b = own[has], beside[has]
+    left = np.maximum(total[a] - b[:, :size].sum(axis=1), 0)
+    out[has, a] = (b * np.log((np.maximum(around[a] - b, 0) + guesses) / (left[:, None] + EPS) + 1e-12)).sum(axis=1)
+    return out
+
+
+def _dealt(vocabulary: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of a chunk by part, and where each part begins."""
+    part = (vocabulary.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
+
+
+_MESSAGE = ("part int, chunk long, words binary, own binary, entries binary, codes binary, counts binary, "
+            "table array<long>")
+_ANSWER = ("part int, chunk long, classes binary, counts binary, sizes array<long>, types array<long>, moved long")
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _messages(row: dict, beside: np.ndarray, own: np.ndarray, classes: int, parts: int) -> pa.Table:
+    """To each part: its words of a chunk, their present classes, and the classes (``beside``) of their neighbours in
+    training texts. A row of part -1 has the counts of class after class."""
+    words, size = row["vocabulary"], classes + 2
+    codes = 2 * size
+    class_of = np.append(beside, classes + 1)
+    text = _training(row, np.arange(len(words)), len(words))
+    order, starts = _dealt(words, parts)
+    place = np.empty(len(words) + 1, dtype=np.int64)
+    place[order], place[-1] = np.arange(len(words)), len(words)
+    at = np.flatnonzero(text < len(words))
+    keys = np.concatenate((place[text[at]] * codes + class_of[text[at + 1]],
+                           place[text[at]] * codes + size + class_of[text[at - 1]]))
+    keys, n = np.unique(keys, return_counts=True)
+    word, code = np.divmod(keys, codes)
+    entries = np.bincount(word, minlength=len(words)).astype("<u4")
+    first = np.searchsorted(word, starts)
+    now = class_of[text]
+    table = np.bincount(now[:-1] * size + now[1:], minlength=size * size)
+    columns = (words[order].astype("<i8"), own[order].astype("u1"), entries)
+    rows = [(-1, row["chunk"], *[None] * 5, table.tolist())]
+    for p in np.flatnonzero(np.diff(starts)):
+        a, b, c, d = starts[p], starts[p + 1], first[p], first[p + 1]
+        rows.append((int(p), row["chunk"], *(x[a:b].tobytes() for x in columns), code[c:d].astype("u1").tobytes(),
+                     n[c:d].astype("<u4").tobytes(), None))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64())]
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(_MESSAGE))
+
+
+def _first_messages(seeds: np.ndarray, cls: np.ndarray, classes: int, parts: int) -> Callable:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Messages when only the seeds have classes."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes = np.concatenate((hashes, batch.column("hash").to_numpy()))
-            blobs += batch.column("entries").to_pylist()
-            whole = int(np.searchsorted(hashes, hashes[-1]))
-            if whole:
-                yield best(hashes[:whole], blobs[:whole])
-            hashes, blobs = hashes[whole:], blobs[whole:]
-        if len(hashes):
-            yield best(hashes, blobs)
+            for row in _rows(batch, "chunk", "sizes", "held", "tokens", "vocabulary"):
+                known = _matched(row["vocabulary"], seeds, cls, classes)
+                yield from _messages(row, known, known, classes, parts).to_batches()
+
+    return send
+
+
+def _answered(row: dict, answers: pa.Table, classes: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each word of a chunk."""
+    order, starts = _dealt(row["vocabulary"], parts)
+    c, cls = np.zeros(len(order), dtype=np.int64), np.full(len(order), classes)
+    expand = zstandard.ZstdDecompressor()
+    for p, ks, ns in zip(*(answers.column(x).to_pylist() for x in ("part", "classes", "counts")), strict=True):
+        at = order[starts[p]:starts[p + 1]]
+        cls[at] = np.frombuffer(ks, np.uint8)
+        c[at] = np.frombuffer(expand.decompress(ns), np.int64)
+    return c, cls
+
+
+def _next_messages(classes: int, parts: int) -> Callable:
+    def send(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        """Messages when every word of the training texts has a class."""
+        row = next(_rows(chunk.combine_chunks().to_batches()[0], "chunk", "sizes", "held", "tokens", "vocabulary"))
+        _, cls = _answered(row, answers, classes, parts)
+        return _messages(row, cls, cls, classes, parts)
+
+    return send
+
+
+def _assigner(table: np.ndarray, fixed: bool) -> Callable:
+    """Best class of each word of a part. ``fixed``: words that have a class keep it."""
+    size = len(table)
+    classes, codes = size - 2, 2 * size
+
+    def joined(messages: pa.Table, column: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(messages.column(column).to_pylist()), kind)
+
+    def assign(messages: pa.Table) -> pa.Table:
+        words, at = np.unique(joined(messages, "words", "<i8"), return_inverse=True)
+        own = np.empty(len(words), dtype=np.int64)
+        own[at] = joined(messages, "own", "u1")
+        key = np.repeat(at, joined(messages, "entries", "<u4")) * codes + joined(messages, "codes", "u1")
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], joined(messages, "counts", "<u4")[order]
+        c, cls = np.zeros(len(words), dtype=np.int64), own.copy()
+        for first in range(0, len(words), BLOCK):
+            b = min(BLOCK, len(words) - first)
+            i, j = np.searchsorted(key, (first * codes, (first + b) * codes))
+            beside = np.bincount(key[i:j] - first * codes, weights=n[i:j], minlength=b * codes).reshape(b, codes)
+            c[first:first + b] = beside[:, :size].sum(axis=1)
+            score = class_scores(beside, own[first:first + b], table)
+            best = score.argmax(axis=1)
+            held = np.minimum(own[first:first + b], classes - 1)
+            rows = np.arange(b)
+            stays = (own[first:first + b] < classes) & (fixed | (score[rows, held] >= score[rows, best] - 1e-9))
+            cls[first:first + b] = np.where(stays, held, best)
+        cls[c == 0] = classes
+        squeeze = zstandard.ZstdCompressor(level=1)
+        ends = np.cumsum([len(x) // 8 for x in messages.column("words").to_pylist()])
+        # A row of chunk -1 has the sums of the part.
+        sizes = np.bincount(cls, weights=c, minlength=classes + 1)[:classes].astype(np.int64)
+        types = np.bincount(cls, minlength=classes + 1)[:classes]
+        part = messages.column("part")[0].as_py()
+        out = [(part, -1, None, None, sizes.tolist(), types.tolist(), int((cls != own).sum()))]
+        for chunk, i in zip(messages.column("chunk").to_pylist(), np.split(at, ends[:-1]), strict=True):
+            out.append((part, chunk, cls[i].astype("u1").tobytes(), squeeze.compress(c[i].tobytes()), None, None, None))
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 2, pa.int64()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_ANSWER))
 
     return assign
 
 
+def _summed(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """The arrays of a column added up."""
+    out = np.zeros(size)
+    for r in rows.select(F.posexplode(column).alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out
+
+
 _DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, path binary"
 
 
-def _encoder(n: int, v: int, discount: float, class_sizes: np.ndarray, has_end: int) -> Callable:
+def _encoder(n: int, v: int, discount: float, class_sizes: np.ndarray, has_end: int, parts: int) -> Callable:
     classes = len(class_sizes)
 
     def encode(chunk: pa.Table, answers: pa.Table) -> pa.Table:
@@ -281,11 +376,8 @@ def _encoder(n: int, v: int, discount: float, class_sizes: np.ndarray, has_end:
         out = []
         for row in _rows(chunk.combine_chunks().to_batches()[0], "doc_ids", "sizes", "held", "tokens", "vocabulary"):
             tokens, sizes, held = _unpack(row)
-            c = np.zeros(len(row["vocabulary"]) + 1, dtype=np.int64)
-            cls = np.full(len(c), classes)
-            at = answers.column("pos").to_numpy()
-            c[at], cls[at] = answers.column("c").to_numpy(), answers.column("class").to_numpy()
-            c[-1], cls[-1] = has_end, classes + 1
+            c, cls = _answered(row, answers, classes, parts)
+            c, cls = np.append(c, has_end), np.append(cls, classes + 1)
             scale = n + 0.5 * (v + 1)
             base = np.log10((c + 0.5) / scale)
             sizes_of = np.append(class_sizes, [1, 1])[cls]
@@ -370,8 +462,47 @@ def _scorer(logs: np.ndarray) -> Callable:
     return score
 
 
+def _classes(chunks: DataFrame, top: list, classes: int, parts: int, rounds: int, settled: float) -> DataFrame:
+    """Counts and classes of the words of every part, as answers to the chunks."""
+    known = np.array([r["hash"] for r in top], dtype=np.int64)
+    by_hash = np.argsort(known)
+    spans = chunks.select("chunk", "sizes", "held", "tokens", "vocabulary")
+    counted = in_arrow(spans, _pair_counter(known[by_hash]), "code long, n long")
+    counted = counted.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    size = len(top) + 2
+    pairs = np.zeros(size * size)
+    pairs[counted.column("code").to_numpy()] = counted.column("n").to_numpy()
+    pairs = pairs.reshape(size, size)
+    order = np.append(np.argsort(by_hash), [size - 2, size - 1])
+    pairs = pairs[np.ix_(order, order)]
+    cls = exchange(pairs, classes)
+
+    def answers(messages: DataFrame, table: np.ndarray, fixed: bool) -> DataFrame:
+        own = messages.where("part >= 0").drop("table")
+        return keep(own.groupBy("part").applyInArrow(_assigner(table, fixed), _ANSWER), "classes")
+
+    first = in_arrow(spans, _first_messages(known[by_hash], cls[by_hash], classes, parts), _MESSAGE)
+    now = answers(first, class_table(pairs, cls, classes), True)
+    before, last = now, -np.inf
+    for _ in range(rounds):
+        asked = spans.groupBy("chunk").cogroup(now.where("chunk >= 0").groupBy("chunk"))
+        with staged(asked.applyInArrow(_next_messages(classes, parts), _MESSAGE), "messages") as messages:
+            table = _summed(messages.where("part = -1"), "table", (classes + 2) ** 2).reshape(classes + 2, -1)
+            reached = likelihood(table)
+            if reached <= last:
+                return before
+            before, last = now, reached
+            now = answers(messages, table, False)
+        sums = now.where("chunk = -1").agg(F.sum("moved"), F.sum(F.aggregate("types", F.lit(0).cast("long"), lambda t, x: t + x)))
+        moved, words = sums.first()
+        if moved < settled * words:
+            break
+    return now
+
+
 def score_texts(
-    docs: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, chunk_tokens: int = CHUNK_TOKENS
+    docs: DataFrame, classes: int = CLASSES, seeds: int = SEEDS, chunk_tokens: int = CHUNK_TOKENS,
+    rounds: int = ROUNDS, settled: float = SETTLED,
 ) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of
     ``docs(doc_id, text)``; the model is learned from the rows that are not held out.
@@ -385,6 +516,9 @@ def score_texts(
     scored each time. Very long texts are read whole. Equal counts are ordered by the hash of the word. Without
     training texts every token is the unseen one, and scores are 0. An empty table gives no rows. Words are told
     apart by 64-bit hashes. Other columns are not used.
+
+    All words are exchanged in up to ``rounds`` rounds, until fewer than the share ``settled`` of them move in one; the
+    result of a round that lowers the likelihood of the training texts is not used.
     """
     if not 2 <= classes <= ONCE - 2:
         raise ValueError(f"classes must be between 2 and {ONCE - 2}")
@@ -402,46 +536,20 @@ def score_texts(
     n, v = n_words + n_end, types + (n_end > 0)
     discount = (once + 1) / (once + 2 * twice + 2)
 
-    # Classes of the most frequent words, from their neighbours.
+    conf = docs.sparkSession.conf
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_PER_PART))
     top = vocabulary.orderBy(F.desc("c"), "hash").limit(seeds).collect()
-    known = np.array([r["hash"] for r in top], dtype=np.int64)
-    by_hash = np.argsort(known)
-    sizes = np.array([r["c"] for r in top], dtype=np.int64)
-    spans = chunks.select("sizes", "held", "tokens", "vocabulary")
-    cls = np.zeros(len(top), dtype=np.int64)
-    lexicon = vocabulary.limit(0).withColumn("class", F.lit(0))
-    if len(top):
-        counted = in_arrow(spans, _pair_counter(known[by_hash]), "code long, n long")
-        counted = counted.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        size = len(top) + 2
-        pairs = np.zeros(size * size)
-        pairs[counted.column("code").to_numpy()] = counted.column("n").to_numpy()
-        pairs = pairs.reshape(size, size)
-        order = np.append(np.argsort(by_hash), [size - 2, size - 1])
-        pairs = pairs[np.ix_(order, order)]
-        cls = exchange(pairs, classes)
-        weights = context_weights(pairs, cls, classes)
-
-        # Every other word, from all that stands beside it.
-        beside = in_arrow(spans, _neighbour_counter(known[by_hash], cls[by_hash], classes), "hash long, entries binary")
-        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        beside = beside.repartition(parts, "hash").sortWithinPartitions("hash")
-        lexicon = in_arrow(beside, _assigner(weights), "hash long, c long, class int")
-        first = docs.sparkSession.createDataFrame(
-            [(int(h), int(c), int(k)) for h, c, k in zip(known, sizes, cls, strict=True)], lexicon.schema
-        )
-        lexicon = keep(lexicon.unionByName(first), "lexicon")
-
-    totals = lexicon.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
-    class_sizes, class_types = np.zeros(classes), np.zeros(classes)
-    for r in totals:
-        class_sizes[r["class"]], class_types[r["class"]] = r["c"], r["types"]
-    asked = chunks.select(F.col("chunk").alias("of"), F.posexplode("vocabulary").alias("pos", "hash"))
-    answers = asked.join(lexicon, "hash").select("of", "pos", "c", "class")
     ship(docs.sparkSession)
-    encode = _encoder(n, v, discount, class_sizes, n_end)
+    class_sizes, class_types = np.zeros(classes), np.zeros(classes)
+    answers = docs.sparkSession.createDataFrame([], _ANSWER)
+    if top:
+        answers = _classes(chunks, top, classes, parts, rounds, settled)
+        sums = answers.where("chunk = -1")
+        class_sizes, class_types = _summed(sums, "sizes", classes), _summed(sums, "types", classes)
+    encode = _encoder(n, v, discount, class_sizes, n_end, parts)
     whole = chunks.select("chunk", "doc_ids", "sizes", "held", "tokens", "vocabulary")
-    paths = keep(whole.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(encode, _DOC), "paths")
+    answers = answers.where("chunk >= 0").select("part", "chunk", "classes", "counts")
+    paths = keep(whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(encode, _DOC), "paths")
 
     counted = in_arrow(paths.where("not held_out").select("path"), _transition_counter(classes), "code long, n long")
     counts = np.zeros((classes + 2) ** 2)

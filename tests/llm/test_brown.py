@@ -9,6 +9,7 @@ from conftest import MEDIUM
 
 from cohortlab.llm import brown
 from cohortlab.llm.queries import REGISTRY
+from cohortlab.llm.shingles import word_hashes
 
 
 def tokens(text):
@@ -80,6 +81,102 @@ def test_probabilities_sum_to_one(spark):
     assert seen.sum(axis=1) + p[:, 2] + p[:, 3] == pytest.approx(np.ones(4))
 
 
+def brute_scores(docs, classes, seeds, rounds):
+    """Classes and scores word by word, from the definitions."""
+    texts = [[*(t or "").lower().split()] for i, t in docs if not brown.is_held_out(i)]
+    counts = Counter(w for t in texts for w in t)
+    hashes = dict(zip(counts, word_hashes([w.encode() for w in counts]).astype(np.int64), strict=True))
+    top = sorted(counts, key=lambda w: (-counts[w], hashes[w]))[:seeds]
+    number = {w: i for i, w in enumerate(top)}
+    follows = Counter(p for t in texts for p in zip([None, *t], [*t, None], strict=True))
+    pairs = np.zeros((len(top) + 2, len(top) + 2))
+    for (a, b), n in follows.items():
+        pairs[tuple(len(top) + 1 if w is None else number.get(w, len(top)) for w in (a, b))] += n
+    cls = {w: int(k) for w, k in zip(top, brown.exchange(pairs, classes), strict=True)}
+
+    def table():
+        out = np.zeros((classes + 2, classes + 2))
+        for (a, b), n in follows.items():
+            out[tuple(classes + 1 if w is None else cls.get(w, classes) for w in (a, b))] += n
+        return out
+
+    def best(w):
+        own, n = cls.get(w, classes), table()
+        share = brown.EPS * n.sum(axis=0) / n.sum()
+        score = []
+        for k in range(classes):
+            mine = counts[w] if k == own else 0
+            size, total = n[k].sum() - mine + brown.EPS, 0.0
+            after, before = np.zeros(classes + 2), np.zeros(classes + 2)
+            for (a, b), m in follows.items():
+                if a == w:
+                    after[classes + 1 if b is None else cls.get(b, classes)] += m
+                if b == w:
+                    before[classes + 1 if a is None else cls.get(a, classes)] += m
+            for c in range(classes + 2):
+                less = (after[c], before[c]) if k == own else (0, 0)
+                total += after[c] * math.log((max(n[k, c] - less[0], 0) + share[c]) / size + 1e-12)
+                total += before[c] * math.log((max(n[c, k] - less[1], 0) + share[c]) / size + 1e-12)
+            score.append(total)
+        k = int(np.argmax(score))
+        return own if own < classes and score[own] >= score[k] - 1e-9 else k
+
+    cls |= {w: best(w) for w in counts if w not in cls}
+    last, previous = -math.inf, dict(cls)
+    for _ in range(rounds):
+        if brown.likelihood(table()) <= last:
+            cls = previous
+            break
+        last, previous = brown.likelihood(table()), dict(cls)
+        cls = {w: best(w) for w in counts}
+    n, v = sum(counts.values()) + len(texts), len(counts) + 1
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = (once + 1) / (once + 2 * twice + 2)
+    size = [sum(c for w, c in counts.items() if cls[w] == k) for k in range(classes)]
+    kept = np.array([d * sum(cls[w] == k for w in counts) / size[k] if size[k] else 0 for k in range(classes)])
+    seen = table()
+    for (a, b), m in follows.items():
+        if counts[a] == 1:
+            seen[classes, classes + 1 if b is None else cls[b]] += m
+    logs = brown.transitions(seen, kept, 0.5 / (n + 0.5 * (v + 1)))
+    out = {}
+    for i, t in docs:
+        last, total = classes + 1, 0.0
+        for w in [*(t or "").lower().split(), None]:
+            now = classes + 1 if w is None else cls.get(w, classes)
+            total += logs[last, now] + (math.log10((counts[w] - d) / size[now]) if now < classes else 0)
+            last = now
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize(("seeds", "rounds"), [(200, 0), (6, 0), (6, 1), (6, 3)])
+def test_scores_against_brute_force(spark, seeds, rounds):
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{i}" for i in range(40)])
+    docs = [(i, " ".join(words[np.minimum(rng.geometric(0.08, rng.integers(0, 30)) + i % 3, 39)])) for i in range(60)]
+    want = brute_scores(docs, 4, seeds, rounds)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = brown.score_texts(df, classes=4, seeds=seeds, chunk_tokens=150, rounds=rounds, settled=0).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+
+
+def test_rounds_raise_the_likelihood(spark, monkeypatch):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    reached, held = [], []
+    likelihood = brown.likelihood
+    monkeypatch.setattr(brown, "likelihood", lambda table: reached.append(likelihood(table)) or reached[-1])
+    for rounds in (0, 1, 3):
+        reached.clear()
+        rows = brown.score_texts(docs, rounds=rounds, settled=0).collect()
+        held.append(sum(r["score"] for r in rows if r["held_out"]))
+    assert len(reached) == 3 and reached == sorted(reached)
+    # Words that were placed once are exchanged again, which is worth at least 0.5 %.
+    assert held[1] > 0.995 * held[0] and held[2] >= held[1]
+
+
 def test_chunks_do_not_matter(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").limit(300)
     small = {r["doc_id"]: r for r in brown.score_texts(docs.repartition(3), chunk_tokens=5000).collect()}
