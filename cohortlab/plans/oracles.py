@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from cohortlab.operators import text
-from cohortlab.plans.queries import IMPORTANCE, INTERCEPT, KEYS, REPLY_PREFIXES, WEIGHTS
 from cohortlab.spec import CUSTOMERS as SPEC
 
+# What the queries are to use, stated here again, so that a change there shows.
+INTERCEPT = 7.8
+WEIGHTS = {
+    "segment_BUILDING": -0.01, "segment_FURNITURE": 0.005, "segment_HOUSEHOLD": 0.02,
+    "segment_MACHINERY": 0.015, "acctbal": 0.01, "n_orders": 0.28, "n_urgent": 0.02,
+    "n_low": 0.015, "n_open": 0.01, "n_recent": 0.012, "tier": -0.02, "flag_urgent": 0.03,
+    "flag_low": 0.02, "flag_recent": 0.04, "flag_open": 0.025,
+}
+IMPORTANCE = [
+    ("n_orders", 0.41), ("n_open", 0.14), ("acctbal", 0.11), ("n_recent", 0.09), ("n_low", 0.07),
+    ("n_urgent", 0.06), ("segment_HOUSEHOLD", 0.04), ("segment_MACHINERY", 0.03), ("tier", 0.02),
+    ("segment_FURNITURE", 0.01), ("segment_BUILDING", 0.01), ("flag_open", 0.005),
+    ("flag_recent", 0.005),
+]
+KEYS = ["segment", "tier", "region", "last_priority"]
+REPLY_PREFIXES = ["[AI", "[API", "Th"]
+EXPLAIN_SYSTEM = "Each line is a figure of one profile. Put them into plain words for that person."
+ADVICE_SYSTEM = "Each option is one change to a profile and what it adds to the score."
+PAIR_SYSTEM = "Two profiles and their scores, a figure on each line."
+CHAT_SYSTEM = "Figures of the whole cohort stand below the question. Use them where they help."
+
 COHORT = """
 facts as (
   select o_custkey,
@@ -165,7 +184,7 @@ CONTEXT = f"""context as (
     || {money("avg(target) filter (where converted = 1)")} || ' K' || chr(10) || 'highest = '
     || {money("max(target) filter (where converted = 1)")} || ' K' as sentence from cohort)"""
 CHAT = f"""{BASE}, {CONTEXT}
-select conv_id, turn, {lit(text.CHAT_SYSTEM)} as system_text, text || sentence as user_text
+select conv_id, turn, {lit(CHAT_SYSTEM)} as system_text, text || sentence as user_text
 from conversations, context where role = 'user'"""
 FEATURES = ", ".join(SPEC.features)
 LABELS = "case " + " ".join(f"when feature = '{f}' then '{v}'" for f, v in LABEL.items()) + " else feature end"
@@ -256,7 +275,7 @@ SQL: dict[str, str] = {
           select profile_id, string_agg('driver ' || rank || ' = ' || feature || ' at ' || printf('%.3f', {r("z", 3)})
             || ', strength ' || printf('%.4f', {r("score", 4)}), chr(10) order by rank) as factor_lines
           from top3 group by profile_id)
-        select profile_id, {lit(text.EXPLAIN_SYSTEM)} as system_text,
+        select profile_id, {lit(EXPLAIN_SYSTEM)} as system_text,
           'score = ' || {money("predicted_value")} || ' K' || chr(10) || 'in single units = '
           || format('{{:,}}', cast(round_even(predicted_value * 1000, 0) as bigint)) || chr(10) || factor_lines
           || chr(10) || {LINES} || chr(10)
@@ -266,12 +285,12 @@ SQL: dict[str, str] = {
           select profile_id, string_agg('option ' || rank || ' = ' || {LABELS} || ' ' || {money("current_value")} || ' -> '
             || {money("improved_value")} || ' adds ' || {money("gain")}, chr(10) order by rank) as gain_lines
           from ordered where rank <= 8 group by profile_id)
-        select profile_id, {lit(text.ADVICE_SYSTEM)} as system_text,
+        select profile_id, {lit(ADVICE_SYSTEM)} as system_text,
           coalesce(gain_lines, 'option = none') || chr(10) || 'score now = ' || {money("predicted_value")} || ' K'
           || chr(10) || {LINES} || chr(10)
           || 'wanted = the option with the best return, and what stands against it' as user_text
         from scored left join lines using (profile_id)""",
-    "pair_text": f"""{SCORE}, {PAIRS} select a, b, {lit(text.PAIR_SYSTEM)} as system_text,
+    "pair_text": f"""{SCORE}, {PAIRS} select a, b, {lit(PAIR_SYSTEM)} as system_text,
           'distance = ' || coalesce({money("abs_gap")}, 'unknown') || ' K' || chr(10)
           || 'score a = ' || {money("value_a")} || ' K' || chr(10) || 'Market segment a = ' || segment_a || chr(10)
           || 'Account balance a = ' || {money("acctbal_a")} || chr(10)
@@ -387,6 +406,6 @@ SQL["metadata_document"] = f"{FIT}, names(part, position, name) as (values " + "
 SQL["append_once"] = "select conv_id, turn, role, text from conversations"
 SQL["stream_overview"] = f"select * exclude (median_target) from ({SQL['overview']})"
 SQL["stream_moving_context"] = f"""{BASE}, {CONTEXT}, half as ({CONTEXT.removeprefix("context as (").removesuffix(")")} where profile_id % 2 = 0)
-select conv_id, turn, {lit(text.CHAT_SYSTEM)} as system_text,
+select conv_id, turn, {lit(CHAT_SYSTEM)} as system_text,
   text || case when conv_id % 2 = 0 then half.sentence else context.sentence end as user_text
 from conversations, context, half where role = 'user'"""
