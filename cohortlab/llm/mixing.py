@@ -165,7 +165,8 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, **options) -> D
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The words of each document that the mix takes, in training order, documents it leaves out last."""
-    docs = documents.select("doc_id", "source", size_of(F.col("text")).alias("words"))
+    # Kept, as the plan reads its rows twice: texts are read and counted once.
+    docs = keep(documents.select("doc_id", "source", size_of(F.col("text")).alias("words")), "sizes")
     rows = plan(docs, size=F.col("words"))
     first = F.when(F.col("copies") > 0, F.round(position(F.lit(0)), 6))
     return rows.select(
