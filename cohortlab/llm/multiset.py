@@ -6,6 +6,9 @@ modulo a power of two. It does not depend on their order, and a paragraph is add
 or subtracting its vector. Equal first lanes mean equal multisets of paragraphs; the angle between the other lanes
 estimates how much two texts share.
 
+An edited text is not hashed anew: the paragraphs that it shares with the original are summed once, and both fingerprints
+are that sum plus the vectors of the paragraphs that differ.
+
 All of it is DataFrame operations: shingles are summed in hash aggregation, in the task that reads the text.
 """
 
@@ -18,16 +21,16 @@ from cohortlab.llm.tables import BLANK, SPACES, field, keep, ranked
 
 EQUAL_LANES, EQUAL_BITS = 16, 32
 SIGN_LANES, SIGN_BITS = 128, 32
-# Of a sign lane, what the text of a fingerprint shows.
-TEXT_BITS = 16
 SHINGLE = 3
+# Shingles whose bits are counted in bytes, eight to a number; 127 keep the sign free.
+CHUNK = 127
 
 
 def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def equal_lanes(text: Column) -> Column:
+def equal_lanes(paragraphs: Column) -> Column:
     """Lanes of the whole paragraphs, summed modulo 2^32, as signed numbers."""
     lanes = F.array(*(_lit(i) for i in range(EQUAL_LANES)))
     mask = F.lit((1 << EQUAL_BITS) - 1)
@@ -38,14 +41,24 @@ def equal_lanes(text: Column) -> Column:
         ))
         return digests[0]
 
-    zero, half = F.array(*(_lit(0) for _ in range(EQUAL_LANES))), F.lit(1 << EQUAL_BITS - 1)
+    zero = F.array(*(_lit(0) for _ in range(EQUAL_LANES)))
     return F.aggregate(
-        F.transform(paragraphs(text), vector), zero,
+        F.transform(paragraphs, vector), zero,
         lambda total, v: F.zip_with(total, v, lambda a, b: (a + b).bitwiseAND(mask)),
-        lambda total: F.transform(total, lambda x: (F.pmod(x + half, 2 * half) - half).cast("int")),
+        lambda total: F.transform(total, lambda x: _signed(x, EQUAL_BITS)),
     )
 
 
+def added(a: Column, b: Column) -> Column:
+    """The lanes of two multisets taken together."""
+    return F.zip_with(a, b, lambda x, y: _signed(x.cast("long") + y.cast("long"), EQUAL_BITS))
+
+
+def _signed(x: Column, bits: int) -> Column:
+    half = F.lit(1 << bits - 1)
+    return (F.pmod(x + half, 2 * half) - half).cast("int")
+
+
 def _lit(i: int) -> Column:
     return F.lit(i).cast("long")
 
@@ -59,9 +72,11 @@ def shingles(text: Column) -> Column:
 
         def hashed(w: Column) -> Column:
             n = F.size(w) - (SHINGLE - 1)
-            parts = F.arrays_zip(*(F.slice(w, i + 1, n).alias(f"w{i}") for i in range(SHINGLE)))
             few = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
-            return F.when(n > 0, F.transform(parts, lambda p: F.xxhash64(p))).otherwise(few)
+            each = F.transform(
+                F.slice(w, SHINGLE, n), lambda last, i: F.xxhash64(*(w[i + k] for k in range(SHINGLE - 1)), last)
+            )
+            return F.when(n > 0, each).otherwise(few)
 
         # A lambda over a one-element array splits the paragraph once.
         return F.transform(F.array(split), hashed)[0]
@@ -69,43 +84,60 @@ def shingles(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs(text), of))
 
 
+def _byte_counts() -> list[Column]:
+    """Numbers of shingles with each bit set, eight to a sum."""
+    ones = F.lit(int("01" * 8, 16))
+    return [
+        F.sum(F.shiftrightunsigned(F.col(f"h{i // 8}"), i % 8).bitwiseAND(ones)).alias(f"c{i}")
+        for i in range(SIGN_LANES // 8)
+    ]
+
+
 def _sign_sums() -> list[Column]:
-    """Number of shingles with each bit set, two lanes to a sum: the lower one counts up to 2^32."""
-    sums = []
-    for i in range(SIGN_LANES // 2):
-        both = F.shiftrightunsigned(F.col(f"h{i // 32}"), i % 32).bitwiseAND(F.lit(1 << 32 | 1))
-        sums.append(F.sum(both).alias(f"s{i}"))
-    return sums
+    """The same over all chunks, two lanes to a sum: the lower one counts up to 2^32."""
+    low = F.lit(255 << 32 | 255)
+    return [
+        F.sum(F.shiftrightunsigned(F.col(f"c{i // 32 * 8 + i % 8}"), i % 32 // 8 * 8).bitwiseAND(low)).alias(f"s{i}")
+        for i in range(SIGN_LANES // 2)
+    ]
 
 
 def _sign_lanes(n: Column) -> Column:
     """Sums of +1 and -1 modulo 2^32, as signed numbers."""
-    half = F.lit(1 << SIGN_BITS - 1)
     lanes = []
     for i in range(SIGN_LANES // 2):
         s = F.coalesce(F.col(f"s{i}"), F.lit(0))
         for count in (s.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(s, 32)):
-            lanes.append((F.pmod(2 * count - n + half, 2 * half) - half).cast("int"))
+            lanes.append(_signed(2 * count - n, SIGN_BITS))
     return F.array(*lanes)
 
 
-def sign_lanes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+def sign_lanes(rows: DataFrame, keys: list[str], text: str, within: Column | None = None) -> DataFrame:
     """``(*keys, signs)`` of the text of each row. Keys must tell rows apart; if ``rows`` is already partitioned by some
-    of them, nothing is shuffled."""
-    units = rows.select(*keys, F.explode_outer(shingles(F.col(text))).alias("h0"))
+    of them, nothing is shuffled.
+
+    With ``within``, an array of numbers, a row is a part of the texts of these numbers: ``(*keys, version, signs)``. Keys
+    and ``within`` must then tell rows apart.
+    """
+    parts = F.array(F.lit(0)) if within is None else within
+    units = rows.select(*keys, parts.alias("within"), F.posexplode_outer(shingles(F.col(text))).alias("at", "h0"))
     units = units.withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0", F.lit(1))))
-    summed = units.groupBy(*keys).agg(F.count("h0").alias("n"), *_sign_sums())
-    return summed.select(*keys, _sign_lanes(F.col("n")).alias("signs"))
+    chunk = F.floor(F.col("at") / CHUNK).alias("chunk")
+    counted = units.groupBy(*keys, "within", chunk).agg(F.count("h0").alias("n"), *_byte_counts())
+    by = [*keys, "version"]
+    summed = counted.withColumn("version", F.explode("within")).groupBy(*by).agg(F.sum("n").alias("n"), *_sign_sums())
+    signs = summed.select(*by, _sign_lanes(F.col("n")).alias("signs"))
+    return signs.drop("version") if within is None else signs
 
 
 def as_text(equal: Column, signs: Column) -> Column:
-    """A fingerprint in hexadecimal digits; of the sign lanes the lower 16 bits, which still add and subtract lane by lane."""
+    """A fingerprint in hexadecimal digits, all bits of all lanes: what it shows gives the likeness, too."""
 
     def digits(lanes: Column, bits: int) -> Column:
         low = F.lit((1 << bits) - 1)
         return F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(low)), bits // 4, "0")), "")
 
-    return F.lower(F.concat(digits(equal, EQUAL_BITS), digits(signs, TEXT_BITS)))
+    return F.lower(F.concat(digits(equal, EQUAL_BITS), digits(signs, SIGN_BITS)))
 
 
 def likeness(equal_a: Column, signs_a: Column, equal_b: Column, signs_b: Column) -> Column:
@@ -147,7 +179,9 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint)`` for each document of ``docs(doc_id, text)``; cases as in ``compare_with_next``."""
     keys = ["k1", "k2", "k3"]
     rows = _documents(docs)
-    lanes = rows.select(*keys, equal_lanes(F.col("text")).alias("equal")).join(sign_lanes(rows, keys, "text"), keys)
+    lanes = rows.select(*keys, equal_lanes(paragraphs(F.col("text"))).alias("equal")).join(
+        sign_lanes(rows, keys, "text"), keys
+    )
     return lanes.select(_id().alias("doc_id"), as_text(F.col("equal"), F.col("signs")).alias("fingerprint"))
 
 
@@ -193,19 +227,33 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         *(F.col(f"a{k}").alias(k) for k in keys), *(F.col(k).alias(f"n{k}") for k in keys), "half",
         F.substring("text", F.lit(1), F.col("half")).alias("head"),
     )
-    n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - F.col("half")), F.col("head"))
     following = ["nk1", "nk2", "nk3"]
-    whole = rows.join(heads, keys).select(*keys, *following, "text", edited.alias("edited"))
-    versions = F.array(*(F.struct(F.lit(c == "edited").alias("is_edited"), F.col(c).alias("text")) for c in ("text", "edited")))
-    units = whole.select(*keys, F.explode(versions).alias("v")).select(*keys, "v.is_edited", "v.text")
-    signs = sign_lanes(units, [*keys, "is_edited"], "text").groupBy(*keys).agg(
-        F.max(F.when(~F.col("is_edited"), F.col("signs"))).alias("signs"),
-        F.max(F.when(F.col("is_edited"), F.col("signs"))).alias("edited_signs"),
+    # Whole paragraphs before the cut are in both versions; the paragraph that is cut belongs to what differs.
+    n = F.length("text")
+    whole = rows.join(heads, keys).withColumn("left", F.substring("text", F.lit(1), n - F.col("half")))
+    whole = whole.withColumn("cut", F.substring_index("left", "\n", -1))
+    whole = whole.withColumn("same", F.length("left") - F.length("cut"))
+    both_in = F.when(F.col("same") > 0, F.substring("text", F.lit(1), F.col("same") - 1))
+    whole = whole.select(
+        *keys, *following, n.cast("long").alias("n_chars"), F.concat("left", "head").alias("edited"), both_in.alias("both"),
+        F.substring("text", F.col("same") + 1, n).alias("old"), F.concat("cut", "head").alias("new"),
+    )
+    parts = {"both": (0, 1), "old": (0,), "new": (1,)}
+    units = whole.select(*keys, F.explode(F.array(*(
+        F.struct(F.array(*map(F.lit, versions)).alias("within"), F.col(part).alias("text")) for part, versions in parts.items()
+    ))).alias("part")).select(*keys, "part.within", "part.text")
+    signs = sign_lanes(units, keys, "text", F.col("within")).groupBy(*keys).agg(
+        F.max(F.when(F.col("version") == 0, F.col("signs"))).alias("signs"),
+        F.max(F.when(F.col("version") == 1, F.col("signs"))).alias("edited_signs"),
     )
+    none = F.array().cast("array<string>")
+    shared = equal_lanes(F.when(F.col("both").isNull(), none).otherwise(paragraphs(F.col("both"))))
     info = whole.select(
-        *keys, *following, n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("digest"),
-        equal_lanes(F.col("text")).alias("equal"), equal_lanes(F.col("edited")).alias("edited_equal"),
+        *keys, *following, "n_chars", F.unhex(F.sha2("edited", 256)).alias("digest"), shared.alias("shared"),
+        *(equal_lanes(paragraphs(F.col(part))).alias(part) for part in ("old", "new")),
+    ).select(
+        *keys, *following, "n_chars", "digest", added(F.col("shared"), F.col("old")).alias("equal"),
+        added(F.col("shared"), F.col("new")).alias("edited_equal"),
     )
     # Kept because each document is looked up by the one before it. A few lanes tell whether two are equal.
     both = info.join(signs, keys)

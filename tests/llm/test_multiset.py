@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 from cases import edge_documents, empty_documents
@@ -18,7 +19,7 @@ def prints(spark, *texts):
 def lanes(fingerprint):
     cut = multiset.EQUAL_LANES * 8
     equal = [int(fingerprint[i : i + 8], 16) for i in range(0, cut, 8)]
-    return equal, [int(fingerprint[i : i + 4], 16) for i in range(cut, len(fingerprint), 4)]
+    return equal, [int(fingerprint[i : i + 8], 16) for i in range(cut, len(fingerprint), 8)]
 
 
 def test_order_and_arithmetic(spark):
@@ -28,7 +29,7 @@ def test_order_and_arithmetic(spark):
     )
     assert one == two and len({one, first, second, third, other}) == 5
     # A paragraph is added by adding its vector, and taken away again.
-    for x, y, z, bits in zip(lanes(first), lanes(second), lanes(one), (32, 16), strict=True):
+    for x, y, z, bits in zip(lanes(first), lanes(second), lanes(one), (32, 32), strict=True):
         assert [(p + q) % 2**bits for p, q in zip(x, y, strict=True)] == z
         assert [(p - q) % 2**bits for p, q in zip(z, x, strict=True)] == y
 
@@ -84,7 +85,7 @@ def test_all_lanes_count(spark):
     """Likeness is the cosine over 128 lanes, however they are stored."""
 
     def signed(fingerprint):
-        return [x - (x >> 15 << 16) for x in lanes(fingerprint)[1]]
+        return [x - (x >> 31 << 32) for x in lanes(fingerprint)[1]]
 
     rows = REGISTRY["op10_multiset_fingerprints"](spark, MEDIUM).collect()
     widths = set()
@@ -105,3 +106,56 @@ def test_one_line_very_often(spark):
     assert rows[2]["near_edited"] > 0.999
     signs = multiset.sign_lanes(docs, ["doc_id"], "text").where("doc_id = 2").first()["signs"]
     assert len(signs) == 128 and {abs(x) for x in signs} == {40_000}
+
+
+def test_both_fingerprints_are_those_of_the_whole_texts(spark):
+    """Paragraphs in common are summed once; cuts at, before and behind line ends, without any, and in empty texts."""
+    texts = ["a b c d\ne f g h\ni j k l", "a b c d\n", "\n\n\n\n", "one line only without an end", "", "x", "\nxy",
+             "a b c d\ne f\n", "ab\ncd", "ab\nc", "p q r s t u v w\n" * 300, "w" * 1000 + "\n" + "v w x y z " * 400, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = list(range(len(texts)))[::-1]
+    edited = {}
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        text, n = texts[i] or "", len(texts[i] or "")
+        edited[i] = text[: n - n // 2] + (texts[after] or "")[: n // 2]
+    rows = {r["doc_id"]: r for r in multiset.compare_with_next(df).collect()}
+    assert [rows[i]["fingerprint"] for i in range(len(texts))] == prints(spark, *(t or "" for t in texts))
+    assert [rows[i]["edited_fingerprint"] for i in range(len(texts))] == prints(spark, *(edited[i] for i in range(len(texts))))
+
+
+def test_lanes_against_brute_force(spark):
+    """Both kinds of lanes counted one paragraph, shingle and bit at a time."""
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choices("abcdefghij", k=rng.randrange(0, 40))) for _ in range(rng.randrange(1, 30)))
+             for _ in range(8)]
+    texts.append(" ".join(f"w{i}" for i in range(1000)))
+    # Hashes of single values by Spark, all sums here.
+    shingled, whole = [], []
+    for text in texts:
+        for p in text.split("\n"):
+            w = p.split()
+            whole.append((p,))
+            shingled += [(w[i : i + 3],) for i in range(len(w) - 2)] if len(w) > 2 else [(w,)] if w else []
+
+    def hashed(cells):
+        three = spark.createDataFrame(cells, "w array<string>").distinct().withColumn(
+            "h", F.when(F.size("w") == 3, F.xxhash64(*(F.get("w", k) for k in range(3)))).otherwise(F.xxhash64("w"))
+        )
+        return {tuple(r["w"]): (r["h"], r["g"]) for r in three.withColumn("g", F.xxhash64("h", F.lit(1))).collect()}
+
+    words = hashed(shingled)
+    lanes_of = {r["p"]: r["v"] for r in spark.createDataFrame(whole, "p string").distinct().withColumn("d", F.sha2("p", 256))
+                .withColumn("v", F.array(*(F.xxhash64("d", F.lit(i).cast("long")) for i in range(multiset.EQUAL_LANES)))).collect()}
+    for text, fingerprint in zip(texts, prints(spark, *texts), strict=True):
+        equal, signs = lanes(fingerprint)
+        ps = text.split("\n")
+        assert equal == [sum(lanes_of[p][i] for p in ps) % 2**32 for i in range(multiset.EQUAL_LANES)]
+        found = []
+        for p in ps:
+            w = p.split()
+            found += [words[tuple(w[i : i + 3])] for i in range(len(w) - 2)] if len(w) > 2 else [words[tuple(w)]] if w else []
+        expected = [
+            sum(2 * (pair[half] >> bit & 1) - 1 for pair in found) % 2**32
+            for half in (0, 1) for i in range(32) for bit in (i, i + 32)
+        ]
+        assert signs == expected
