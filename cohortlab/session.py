@@ -58,6 +58,7 @@ def file_states(spark: SparkSession, path: str) -> tuple:
 
 
 _ROOTS: set[str] = set()
+_MADE: list[str] = []
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -67,7 +68,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
         _ROOTS.add(root)
         files, path = _files(spark, root), spark._jvm.org.apache.hadoop.fs.Path(root)
         atexit.register(_removed, files, path)
-    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    folder = os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+    _MADE.append(folder)
+    return folder
 
 
 def _removed(files, path) -> None:
@@ -104,4 +107,21 @@ def scratch(spark: SparkSession, label: str) -> Iterator[str]:
     try:
         yield path
     finally:
-        _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+@contextmanager
+def passing_folders(spark: SparkSession) -> Iterator[None]:
+    """For a job that ends in its ``with`` block: the folders that are made in it are removed afterwards."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            remove_folder(spark, path)
