@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from test_pieces import library
 from test_rules import brute as statistics_of
 
 import corpus_pipeline as cp
+from cohortlab import session
 from cohortlab.llm.tables import keep, read
 
 STAGES = dict(cp.STAGES)
@@ -20,6 +22,7 @@ def outputs(spark):
     docs, out = read(spark, SMALL, "documents"), {"input": read(spark, SMALL, "documents")}
     for name, stage in cp.STAGES:
         docs = out[name] = keep(stage(spark, docs, SMALL), name)
+    out["folders"] = set(session._MADE)
     return out
 
 
@@ -81,7 +84,11 @@ def test_encoding(outputs):
 
 
 def test_run(spark, outputs):
-    ran = sorted(map(str, cp.run(spark, SMALL).select("doc_id", "ids_sha256").collect()))
+    made = cp.run(spark, SMALL)
+    ran = sorted(map(str, made.select("doc_id", "ids_sha256").collect()))
+    # Only what the result reads is left of all that the run wrote.
+    left = {p for p in session._MADE if p not in outputs["folders"] and os.path.isdir(p)}
+    assert {os.path.basename(p).split("-")[0] for p in left} == {"mixing"}
     assert ran == sorted(map(str, outputs["sentencepiece"].select("doc_id", "ids_sha256").collect()))
 
 
