@@ -482,7 +482,7 @@ def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     model = fixed_model(spark, folder)
     facts = stage(customers.order_facts(customers.read(spark, folder, "orders")), "facts")
     schema = customers.read(spark, folder, "customer").schema
-    arriving = streams.file_stream(spark, folder, "customer.parquet", schema)
+    arriving = streams.table_stream(spark, folder, "customer", schema)
     profiles = tables.profiles(customers.finish(customers.raw_profiles(arriving, facts)), SPEC)
     scored = _drain(streams.score_stream(profiles, model, SPEC), "scores")
     return rounded(scored.drop("n_filled"), 4, "predicted_log")
@@ -533,5 +533,5 @@ def stream_chat_context(spark: SparkSession, folder: str) -> DataFrame:
     """Chat turns as they arrive, each user turn with the overview of the cohort."""
     sentence = text.overview_sentence(customers.cohort(spark, folder), SPEC).first()["sentence"]
     schema = customers.read(spark, folder, "conversations").schema
-    arriving = streams.file_stream(spark, folder, "conversations.parquet", schema)
+    arriving = streams.table_stream(spark, folder, "conversations", schema)
     return _drain(streams.context_stream(arriving, F.lit(sentence)), "chat")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,17 +30,17 @@ def local_session(cores: str = "*", name: str = "cohortlab") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode, where alone it may be a
-    folder of this machine."""
+    """The folder named by ``spark.checkpoint.dir``, whatever kind of storage it is on: a mounted folder is shared, too.
+
+    Without that setting, the warehouse, which executors write tables to; in local mode a temporary folder.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is not None and not sc.master.startswith("local"):
-        if _files(spark, folder).getScheme() == "file":
-            raise RuntimeError(f"{folder} is on one machine; spark.checkpoint.dir must be shared by all executors")
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cohortlab-")
+        if re.match(r"local($|\[)", sc.master):
+            folder = tempfile.mkdtemp(prefix="cohortlab-")
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -49,6 +50,10 @@ def _files(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory()
+
+
 def file_states(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of a file or of the files of a folder; changes when they are written again."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,6 +12,7 @@ from cohortlab.operators.clean import default_fill
 from cohortlab.operators.cohorts import running_overview
 from cohortlab.operators.score import predict
 from cohortlab.operators.text import chat_context
+from cohortlab.session import is_folder
 from cohortlab.spec import CohortSpec
 
 
@@ -25,6 +26,14 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files: i
     )
 
 
+def table_stream(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
+    """The Parquet files of a table, which is a file of ``folder`` or a folder of part files in it."""
+    path = f"{folder}/{table}.parquet"
+    if is_folder(spark, path):
+        return file_stream(spark, path, "*", schema)
+    return file_stream(spark, folder, f"{table}.parquet", schema)
+
+
 def start(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append to a Parquet folder; with ``once`` everything available is read and the query ends."""
     writer = (

@@ -96,6 +96,31 @@ def test_shared_folder_follows_the_session(spark, tmp_path):
     assert "parquet" in physical(copy).lower()
 
 
+def test_mounted_folder_serves_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    copy = stage(spark.range(10).toDF("id"), "mounted")
+    assert copy.inputFiles()[0].startswith("file:") and copy.count() == 10
+
+
+def test_cluster_without_a_named_folder_shares_the_warehouse(spark):
+    class Context:
+        master, given = "spark://elsewhere:7077", None
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.given
+
+        def setCheckpointDir(self, folder):
+            self.given = folder
+
+    class Session:
+        sparkContext, conf = Context(), spark.conf
+
+    assert shared_folder(Session()) == spark.conf.get("spark.sql.warehouse.dir") == Session.sparkContext.given
+
+
 def test_staged_copy_is_removed(spark):
     with staged(spark.range(10).toDF("id"), "short") as copy:
         path = copy.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")

@@ -77,3 +77,16 @@ def test_append_twice_is_append_once(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(first + second, key=str)
     replay = text.chat_replay(got).collect()
     assert [(r["conv_id"], r["turn"]) for r in replay] == [(1, 0), (1, 1), (1, 1), (1, 2), (2, 0)]
+
+
+def test_table_in_parts_arrives_whole(spark, tmp_path):
+    """A table may be one file or a folder of part files."""
+    turns = spark.createDataFrame([(i, 0, "user", f"t{i}") for i in range(6)], "conv_id int, turn int, role string, text string")
+    turns.repartition(3).write.parquet(f"{tmp_path}/parts/turns.parquet")
+    turns.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "one" / "turns.parquet")
+    for kind in ("parts", "one"):
+        out, state = (str(tmp_path / f"{kind}-{n}") for n in ("out", "state"))
+        arriving = streams.table_stream(spark, str(tmp_path / kind), "turns", turns.schema)
+        streams.start(arriving, out, state).awaitTermination()
+        assert spark.read.parquet(out).orderBy("conv_id").collect() == turns.orderBy("conv_id").collect()
