@@ -6,7 +6,11 @@ are found wherever they start, and copies cut alike. The same is done with the s
 are also found between other sentences of a line; of these, only what lies together and has more words goes.
 Passages are normalised (words, A-Z lower-cased, one blank between them) and their digests grouped over the whole
 corpus. The occurrence that comes first, by document and place, stays; the others are cut out. What is left of a text
-keeps the places of its parts in the original. What is repeated only inside sentences that otherwise differ stays.
+keeps the places of its parts in the original.
+
+Runs of over 50 words of an earlier document of which nothing goes in this way, as they begin and end inside long
+sentences, go word by word. They are found by windows of words, of which a choice is grouped that no such run escapes
+(``windows``); where one is repeated, all runs of 51 words around it are looked up.
 """
 
 from __future__ import annotations
@@ -14,20 +18,27 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cohortlab.llm.bits import marks, with_marked
-from cohortlab.llm.shingles import binary, text_key, word_list
+from cohortlab.llm.shingles import binary, signed_halves, text_key, word_hashes, word_list
 from cohortlab.llm.tables import field, in_arrow, keep, packed, unpacked
+from cohortlab.llm.windows import RUN, WINDOW, chosen, window_hashes
 
 # Words that a line, a sentence or a run of them must have to be looked for elsewhere, and words that repeated
 # sentences that follow each other must have to go.
 LEAST_WORDS, LEAST_TOGETHER = 20, 40
 # Where a sentence ends and another one follows in its line.
 _ENDS = re.compile(rb"(?<=[.!?])[ \t]+")
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+# What a passage is made of. Texts that are hashed at once.
+LINES, SENTENCES, WINDOWS, RUNS = 0, 1, 2, 3
+TEXTS = 500
+UNITS = "k1 long, k2 boolean, k3 long, kind byte, place int, end int, h1 long, h2 long"
 
 
 def passages(lines: list[list[bytes]], least: int) -> list[tuple[int, int]]:
@@ -72,37 +83,101 @@ def sentences(text: bytes) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _units(batch: pa.RecordBatch, rows: np.ndarray, kinds, places, ends, h1, h2) -> pa.RecordBatch:
+    taken = pa.array(rows, pa.int64())
+    columns = zip((kinds, places, ends, h1, h2), (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c).take(taken) for c in ("k1", "k2", "k3")), *(pa.array(x, t) for x, t in columns)],
+        names=["k1", "k2", "k3", "kind", "place", "end", "h1", "h2"],
+    )
+
+
+def _words_units(batch: pa.RecordBatch, kind: int, size: int, rows, places, one, two) -> pa.RecordBatch:
+    kinds = np.full(len(rows), kind, np.int8)
+    return _units(batch, rows, kinds, places, places + size - 1, one.view(np.int64), two.view(np.int64))
+
+
 def _hasher(least: int) -> Callable:
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """First and last sentence and digest of the passages of each text: of lines, then of sentences."""
-        for batch in batches:
-            rows, columns = [], [[] for _ in range(5)]
-            for i, text in enumerate(binary(batch.column("text"))):
-                text = text or b""
-                lines = [[word_list(text[a:b]) for a, b in line] for line in sentences(text)]
-                first = [0]
-                for line in lines:
-                    first.append(first[-1] + len(line))
-                whole = [[w for part in line for w in part] for line in lines]
-                parts = [part for line in lines for part in line]
-                found = [(False, first[a], first[b + 1] - 1) for a, b in passages(whole, least)]
-                found += [(True, a, b) for a, b in passages(parts, least)]
-                for inside, place, end in found:
-                    rows.append(i)
-                    digest = text_key([w for part in parts[place : end + 1] for w in part])
-                    for column, value in zip(columns, (inside, place, end, *digest), strict=True):
-                        column.append(value)
-            taken = pa.array(rows, pa.int64())
-            kinds = [pa.bool_(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(taken) for c in ("k1", "k2", "k3")),
-                 *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))],
-                names=["k1", "k2", "k3", "inside", "place", "end", "h1", "h2"],
-            )
+        """Kind, first and last part and digest of the passages of each text: of lines, of sentences (both counted in
+        sentences), and chosen windows (in words)."""
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, TEXTS):
+                batch = whole_batch.slice(at, TEXTS)
+                rows, found_in, digests, hashes = [], [], [], []
+                for i, text in enumerate(binary(batch.column("text"))):
+                    text = text or b""
+                    lines = [[word_list(text[a:b]) for a, b in line] for line in sentences(text)]
+                    first = [0]
+                    for line in lines:
+                        first.append(first[-1] + len(line))
+                    parts = [part for line in lines for part in line]
+                    words = [w for part in parts for w in part]
+                    hashes.append(word_hashes(words))
+                    # Where the words of each part begin in the text with one blank between all words.
+                    joined, begins = b" ".join(words), [0]
+                    for part in parts:
+                        begins.append(begins[-1] + sum(map(len, part)) + len(part))
+                    whole = [[w for part in line for w in part] for line in lines]
+                    found = [(LINES, first[a], first[b + 1] - 1) for a, b in passages(whole, least)]
+                    found += [(SENTENCES, a, b) for a, b in passages(parts, least)]
+                    rows.extend([i] * len(found))
+                    found_in.extend(found)
+                    digests.extend(signed_halves(joined[begins[a] : begins[b + 1] - 1]) for _, a, b in found)
+                if found_in:
+                    yield _units(batch, rows, *zip(*found_in, strict=True), *zip(*digests, strict=True))
+                sizes = [len(h) for h in hashes]
+                one, two = window_hashes(np.concatenate(hashes))
+                at_words = chosen(sizes, one)
+                start = np.cumsum([0, *sizes])
+                of = np.searchsorted(start, at_words, "right") - 1
+                yield _words_units(batch, WINDOWS, WINDOW, of, at_words - start[of], one[at_words], two[at_words])
 
     return units
 
 
+def _untouched(least_together: int) -> Callable:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The repeated windows that no line or sentence that goes cuts into."""
+        for batch in batches:
+            rows, at_words, ones, twos = [], [], [], []
+            for i, (text, cut) in enumerate(zip(binary(batch.column("text")), batch.column("cut").to_pylist(), strict=True)):
+                found = np.array(sorted(c["place"] for c in cut if c["kind"] == WINDOWS), np.int64)
+                if not len(found):
+                    continue
+                lines = sentences(text)
+                places = [place for line in lines for place in line]
+                counts = [len(text[a:b].split()) for a, b in places]
+                gone = _gone(cut, counts, least_together)
+                lost = np.concatenate([[0], np.cumsum(np.repeat([k in gone for k in range(len(counts))], counts))])
+                found = found[lost[found + WINDOW] == lost[found]]
+                if len(found):
+                    one, two = window_hashes(word_hashes(word_list(text)))
+                    rows.append(np.full(len(found), i))
+                    at_words.append(found)
+                    ones.append(one[found])
+                    twos.append(two[found])
+            if rows:
+                yield _words_units(batch, WINDOWS, WINDOW, *map(np.concatenate, (rows, at_words, ones, twos)))
+
+    return windows
+
+
+def _runs_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of 51 words that hold one of the asked windows."""
+    for batch in batches:
+        rows, at_words, digests = [], [], []
+        for i, (text, asked) in enumerate(zip(binary(batch.column("text")), batch.column("asked").to_pylist(), strict=True)):
+            words = word_list(text)
+            wanted = {s for p in asked for s in range(max(p + WINDOW - RUN, 0), min(p, len(words) - RUN) + 1)}
+            rows.extend([i] * len(wanted))
+            at_words.extend(wanted)
+            digests.extend(text_key(words[s : s + RUN]) for s in wanted)
+        if rows:
+            ends = [s + RUN - 1 for s in at_words]
+            yield _units(batch, rows, [RUNS] * len(rows), at_words, ends, *zip(*digests, strict=True))
+
+
 def _rank() -> Column:
     """Documents in the order of their ids, null last, then of the hash of the text: one number that is merged before
     the shuffle."""
@@ -125,6 +200,37 @@ def _together(places: set[int], sizes: list[int], least: int) -> set[int]:
     return out
 
 
+def _gone(cut: list[dict], sizes: list[int], least_together: int) -> set[int]:
+    """The sentences that go, given by the repeated passages and the numbers of words of the sentences."""
+    gone, inside = set(), set()
+    for c in cut:
+        if c["kind"] in (LINES, SENTENCES):
+            (inside if c["kind"] == SENTENCES else gone).update(range(c["place"], c["end"] + 1))
+    return gone | _together(inside, sizes, least_together)
+
+
+def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What overlapping runs cover together."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _without(span: list[int], cuts: list[tuple[int, int]], text: bytes) -> list[list[int]]:
+    """What stays of a span; blanks beside a cut go with it."""
+    out, (start, end) = [], span
+    for a, b in cuts:
+        if a < end and b > start:
+            left = start + len(text[start:a].rstrip())
+            out += [[start, left]] if left > start else []
+            start = b + len(text[b:end]) - len(text[b:end].lstrip())
+    return [*out, [start, end]] if start < end or not out and [start, end] == span else out
+
+
 def _cutter(least_together: int) -> Callable:
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What stays of each text, from where to where its parts stand in the original, and how many lines lost
@@ -132,14 +238,17 @@ def _cutter(least_together: int) -> Callable:
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts, spans, counts = [], [], []
-            for text, cut in zip(binary(batch.column("text")), batch.column("cut").to_pylist(), strict=True):
+            given = (binary(batch.column("text")), batch.column("cut").to_pylist(), batch.column("runs").to_pylist())
+            for text, cut, again in zip(*given, strict=True):
                 lines = sentences(text)
                 places = [place for line in lines for place in line]
                 sizes = [len(text[a:b].split()) for a, b in places]
-                gone, inside = set(), set()
-                for c in cut or ():
-                    (inside if c["inside"] else gone).update(range(c["place"], c["end"] + 1))
-                gone |= _together(inside, sizes, least_together)
+                gone = _gone(cut, sizes, least_together)
+                cuts = []
+                if again:
+                    at = [m.span() for m in _WORDS.finditer(text)]
+                    cuts = [(at[r["place"]][0], at[r["end"]][1]) for r in again]
+                    cuts = _joined([(a, b) for a, b in cuts if not any(places[i][0] < b and places[i][1] > a for i in gone)])
                 kept, last = [], -2
                 for i, (start, end) in enumerate(places):
                     if i in gone:
@@ -149,6 +258,8 @@ def _cutter(least_together: int) -> Callable:
                     else:
                         kept.append([start, end])
                     last = i
+                if cuts:
+                    kept = [part for span in kept for part in _without(span, cuts, text)]
                 texts.append(b"\n".join(text[a:b] for a, b in kept).decode())
                 # From bytes to characters.
                 at = chars = 0
@@ -159,7 +270,9 @@ def _cutter(least_together: int) -> Callable:
                 spans.append([{"start": a, "end": b} for a, b in kept])
                 n, i = 0, 0
                 for line in lines:
-                    n += any(k in gone for k in range(i, i + len(line)))
+                    n += any(k in gone for k in range(i, i + len(line))) or any(
+                        line[0][0] < b and line[-1][1] > a for a, b in cuts
+                    )
                     i += len(line)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays(
@@ -170,6 +283,20 @@ def _cutter(least_together: int) -> Callable:
     return cut_out
 
 
+def _later_runs(docs: DataFrame, windows: DataFrame, open_windows: DataFrame) -> DataFrame:
+    """``(k1, k2, k3, runs)``: the runs of 51 words, around the open windows, that an earlier document has. ``windows``:
+    all places of the repeated windows; ``docs``: keys and texts."""
+    keys, content = ["k1", "k2", "k3"], ["h1", "h2"]
+    wanted = windows.join(open_windows.select(*content).distinct(), content, "left_semi")
+    asked = keep(wanted.groupBy(*keys).agg(F.collect_set("place").alias("asked")), "asked")
+    hashed = F.xxhash64(*keys)
+    texts = with_marked(docs, marks(asked, hashed), hashed, "wanted").where("wanted").drop("wanted").join(asked, keys)
+    runs = keep(in_arrow(texts, _runs_around, UNITS), "runs").withColumn("rank", _rank())
+    first = runs.groupBy(*content).agg(F.min("rank").alias("first"))
+    later = runs.join(first, content).where(F.col("rank") > F.col("first"))
+    return keep(later.groupBy(*keys).agg(F.collect_set(F.struct("place", "end")).alias("runs")), "later_runs")
+
+
 def drop_repeats(
     docs: DataFrame, least_words: int = LEAST_WORDS, least_together: int = LEAST_TOGETHER
 ) -> DataFrame:
@@ -178,7 +305,8 @@ def drop_repeats(
     line ends they are the text).
 
     Lines and runs with fewer than ``least_words`` words are left alone, and so are repeated sentences that have fewer
-    than ``least_together`` words where they follow each other, unless their whole lines are repeated. Blank lines
+    than ``least_together`` words where they follow each other, unless their whole lines are repeated. Runs of 51
+    words or more of an earlier document go word by word, except for runs of 51 that such lines or sentences cut into. Blank lines
     inside a repeated run go with it. Documents rank by id, null last; within a text the upper passage comes first, and
     passages that overlap it stay. Rows that repeat an id and a text are one document and get the same result; several
     texts with one id rank by their hashes. Null text: null, no spans. Very long texts are read whole. An empty table
@@ -186,23 +314,20 @@ def drop_repeats(
     """
     doc_id, text = field("doc_id").cast("long"), field("text").cast("string")
     keys = [F.coalesce(doc_id, F.lit(0)).alias("k1"), doc_id.isNull().alias("k2"), F.xxhash64(text).alias("k3")]
-    units = in_arrow(
-        docs.select(*keys, text.alias("text")), _hasher(least_words),
-        "k1 long, k2 boolean, k3 long, inside boolean, place long, end long, h1 long, h2 long",
-    )
-    units = keep(units, "units")
-    content = ["inside", "h1", "h2"]
+    units = keep(in_arrow(docs.select(*keys, text.alias("text")), _hasher(least_words), UNITS), "units")
+    content = ["kind", "h1", "h2"]
     first = units.groupBy(*content).agg(F.count("*").alias("n"), F.min(_rank()).alias("first")).where("n > 1")
     first = keep(first.drop("n"), "first")
     # Only what has a digest that may be repeated moves to the others that have it.
     often = with_marked(units, marks(first, F.xxhash64(*content)), F.xxhash64(*content), "often").where("often")
     met = often.drop("often").withColumn("rank", _rank()).join(first, content)
-    places = ["k1", "k2", "k3", "inside", "place", "end"]
+    places = ["k1", "k2", "k3", "kind", "place", "end"]
     later = met.where(F.col("rank") > F.col("first")).select(*places)
     # In the first document itself; passages with one content that start at different places end in the same order.
     upper = F.min("end").over(Window.partitionBy(*content))
-    again = met.where(F.col("rank") == F.col("first")).withColumn("upper", upper).where("place > upper").select(*places)
-    cut = later.unionAll(again).groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("inside", "place", "end")).alias("cut"))
+    own = met.where((F.col("rank") == F.col("first")) & (F.col("kind") != WINDOWS))
+    again = own.withColumn("upper", upper).where("place > upper").select(*places)
+    cut = later.unionAll(again).groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("kind", "place", "end")).alias("cut"))
     cut = keep(cut, "cuts")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     rows = with_marked(
@@ -216,9 +341,13 @@ def drop_repeats(
         F.when(F.col("text").isNull(), none).otherwise(whole.cast(ArrayType(span))).alias("spans"),
     )
     touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ["k1", "k2", "k3"], "left")
+    runs = _later_runs(docs.select(*keys, text.alias("text")), met.where(F.col("kind") == WINDOWS), keep(in_arrow(
+        touched.where("cut is not null").select("k1", "k2", "k3", "text", "cut"), _untouched(least_together), UNITS
+    ), "open"))
+    touched = touched.join(runs, ["k1", "k2", "k3"], "left").withColumn("cut", F.coalesce("cut", F.array()))
     schema = StructType([
         rows.schema["doc"], StructField("text", StringType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(span)),
     ])
-    done = in_arrow(touched.select("doc", "text", "cut"), _cutter(least_together), schema)
+    done = in_arrow(touched.select("doc", "text", "cut", "runs"), _cutter(least_together), schema)
     return unpacked(same.unionAll(done), docs.columns, F.col("text"), F.col("n_removed"), F.col("spans"))

@@ -41,13 +41,18 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def text_key(words: list[bytes]) -> tuple[int, int]:
-    """128 bits of the word sequence, as two signed numbers."""
-    digest = xxhash.xxh128_intdigest(b" ".join(words))
+def signed_halves(text: bytes) -> tuple[int, int]:
+    """128 bits of a text, as two signed numbers."""
+    digest = xxhash.xxh128_intdigest(text)
     high, low = digest >> 64, digest & (1 << 64) - 1
     return high - (1 << 64) * (high >> 63), low - (1 << 64) * (low >> 63)
 
 
+def text_key(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of the word sequence, as two signed numbers."""
+    return signed_halves(b" ".join(words))
+
+
 def binary(column: pa.Array) -> list[bytes | None]:
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()

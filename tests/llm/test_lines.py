@@ -1,9 +1,11 @@
+import random
 import re
 
+import numpy as np
 from cases import edge_documents, empty_documents
 from conftest import MEDIUM
 
-from cohortlab.llm import lines
+from cohortlab.llm import lines, windows
 from cohortlab.llm.queries import REGISTRY
 
 
@@ -64,9 +66,22 @@ def runs(words, least):
     return sorted(found)
 
 
+def earlier_runs(text, order, seen, gone, n=windows.RUN):
+    """Where runs of 51 words or more of an earlier document stand that nothing in ``gone`` cuts into; each is looked up."""
+    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    words, out = [text[a:b].encode().lower() for a, b in at], []
+    for i in range(len(words) - n + 1):
+        start, end = at[i][0], at[i + n - 1][1]
+        if seen.setdefault(tuple(words[i : i + n]), order) < order and not any(a < end and b > start for a, b in gone):
+            if out and start <= out[-1][1]:
+                start = out.pop()[0]
+            out.append((start, end))
+    return out
+
+
 def brute(docs, least=lines.LEAST_WORDS, together=lines.LEAST_TOGETHER):
     """Text and number of lines that lost something of each document, in the order of the ids."""
-    seen, out = {}, {}
+    seen, out, windows_of = {}, {}, {}
     for order, (doc_id, text) in enumerate(sorted(docs)):
         by_line = parts_of(text)
         places = [p for line in by_line for p in line]
@@ -87,6 +102,7 @@ def brute(docs, least=lines.LEAST_WORDS, together=lines.LEAST_TOGETHER):
                 j += 1
             if i - 1 not in gone[1] and sum(map(len, words[i:j])) >= together:
                 gone[0] |= set(range(i, j))
+        cuts = earlier_runs(text, order, windows_of, [places[i] for i in gone[0]])
         kept = []
         for i, (a, b) in enumerate(places):
             if i not in gone[0]:
@@ -94,7 +110,16 @@ def brute(docs, least=lines.LEAST_WORDS, together=lines.LEAST_TOGETHER):
                     kept[-1] = kept[-1][0], b
                 else:
                     kept.append((a, b))
-        out[doc_id] = "\n".join(text[a:b] for a, b in kept), len({line_of[i] for i in gone[0]}), kept
+        for c, d in cuts:
+            parts = [p for a, b in kept for p in (((a, min(b, c)), (max(a, d), b)) if a < d and b > c else ((a, b),))]
+            blank = " \t\n\x0b\x0c\r"
+            kept = [
+                (a + (a == d) * (len(text[a:b]) - len(text[a:b].lstrip(blank))), b - (b == c) * (len(text[a:b]) - len(text[a:b].rstrip(blank))))
+                for a, b in parts
+            ]
+            kept = [(a, b) for a, b in kept if a < b]
+        lost = {line_of[i] for i in gone[0]} | {line_of[i] for c, d in cuts for i, (a, b) in enumerate(places) if a < d and b > c}
+        out[doc_id] = "\n".join(text[a:b] for a, b in kept), len(lost), kept
     return out
 
 
@@ -169,3 +194,44 @@ def test_texts_without_repeats_stay(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     out = lines.drop_repeats(df)
     assert out.where("n_removed > 0").count() == 1 and out.count() == 302
+
+
+def test_runs_inside_long_sentences_go(spark):
+    """Runs of over 50 words of an earlier document go to the word, wherever they begin; shorter ones stay."""
+    rng = random.Random(5)
+
+    def some(n):
+        return [f"w{rng.randrange(10**9)}é" for _ in range(n)]
+
+    source = some(9000)
+    docs, want = [(0, " ".join(source))], {0: (" ".join(source), 0)}
+    for i in range(1, 61):
+        n, at = 49 + i % 30, rng.randrange(8800)
+        head, tail = some(rng.randrange(1, 40)), some(rng.randrange(1, 40))
+        text = " ".join([*head, *(w.replace("w", "W") if i % 2 else w for w in source[at : at + n]), *tail])
+        docs.append((i, f"first line {i}\n{text}\nlast line {i}"))
+        left = f"first line {i}\n{' '.join(head)}\n{' '.join(tail)}\nlast line {i}"
+        want[i] = (left, 1) if n > 50 else (docs[-1][1], 0)
+    # A run over several lines and at both ends of a text; the first to have it keeps it, within one text it stays.
+    run = some(70)
+    docs += [(71, " ".join([*some(30), *run, *run])), (72, "\n".join(map(" ".join, (run[:15], run[15:33], run[33:51], [*run[51:], "end"]))))]
+    want |= {71: (docs[-2][1], 0), 72: ("end", 4)}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = lines.drop_repeats(df).collect()
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows}
+    assert got == want
+    text_of = dict(docs)
+    assert all(r["text"] == "\n".join(text_of[r["doc_id"]][a:b] for a, b in r["spans"]) for r in rows)
+
+
+def test_chosen_windows_meet_in_every_run():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        run = rng.integers(0, 40, windows.RUN)
+        texts = [np.concatenate([rng.integers(0, 40, k), run, rng.integers(0, 40, 30)]).astype(np.uint64) for k in rng.integers(0, 40, 2)]
+        one, two = windows.window_hashes(np.concatenate(texts))
+        sizes = [len(t) for t in texts]
+        at = windows.chosen(sizes, one)
+        of_first = {(one[i], two[i]) for i in at if i < sizes[0]}
+        assert of_first & {(one[i], two[i]) for i in at if i >= sizes[0]}
+        assert all(i + windows.WINDOW <= sizes[0] or i >= sizes[0] for i in at)
