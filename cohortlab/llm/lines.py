@@ -149,7 +149,7 @@ def _untouched(least_together: int) -> Callable:
                 places = [place for line in lines for place in line]
                 counts = [len(text[a:b].split()) for a, b in places]
                 gone = _gone(cut, counts, least_together)
-                lost = np.concatenate([[0], np.cumsum(np.repeat([k in gone for k in range(len(counts))], counts))])
+                lost = _lost(gone, counts)
                 found = found[lost[found + WINDOW] == lost[found]]
                 if len(found):
                     one, two = window_hashes(word_hashes(word_list(text)))
@@ -209,6 +209,11 @@ def _gone(cut: list[dict], sizes: list[int], least_together: int) -> set[int]:
     return gone | _together(inside, sizes, least_together)
 
 
+def _lost(gone: set[int], sizes: list[int]) -> np.ndarray:
+    """Numbers of words before each word that are in sentences that go."""
+    return np.concatenate([[0], np.cumsum(np.repeat([k in gone for k in range(len(sizes))], sizes))])
+
+
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What overlapping runs cover together."""
     out: list[tuple[int, int]] = []
@@ -246,9 +251,10 @@ def _cutter(least_together: int) -> Callable:
                 gone = _gone(cut, sizes, least_together)
                 cuts = []
                 if again:
-                    at = [m.span() for m in _WORDS.finditer(text)]
-                    cuts = [(at[r["place"]][0], at[r["end"]][1]) for r in again]
-                    cuts = _joined([(a, b) for a, b in cuts if not any(places[i][0] < b and places[i][1] > a for i in gone)])
+                    lost = _lost(gone, sizes)
+                    runs = _joined([(r["place"], r["end"]) for r in again if lost[r["end"] + 1] == lost[r["place"]]])
+                    at = [m.span() for m in _WORDS.finditer(text)] if runs else ()
+                    cuts = [(at[a][0], at[b][1]) for a, b in runs]
                 kept, last = [], -2
                 for i, (start, end) in enumerate(places):
                     if i in gone:
@@ -330,9 +336,15 @@ def drop_repeats(
     cut = later.unionAll(again).groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("kind", "place", "end")).alias("cut"))
     cut = keep(cut, "cuts")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
-    rows = with_marked(
-        packed(docs, *keys, text.alias("text")), marks(cut, F.xxhash64("k1", "k2", "k3")), F.xxhash64("k1", "k2", "k3"), "touched"
-    )
+    keyed, hashed = docs.select(*keys, text.alias("text")), F.xxhash64("k1", "k2", "k3")
+    near = cut.where(F.exists("cut", lambda c: c["kind"] == WINDOWS))
+    near = with_marked(keyed, marks(near, hashed), hashed, "near").where("near").join(near, ["k1", "k2", "k3"])
+    near = keep(in_arrow(near.select("k1", "k2", "k3", "text", "cut"), _untouched(least_together), UNITS), "open")
+    runs = _later_runs(keyed, met.where(F.col("kind") == WINDOWS), near)
+    # Only what may lose something is cut.
+    cut = cut.withColumn("cut", F.filter("cut", lambda c: c["kind"] != WINDOWS)).where(F.size("cut") > 0)
+    cut = keep(cut.join(runs, ["k1", "k2", "k3"], "full"), "all_cuts")
+    rows = with_marked(packed(docs, *keys, text.alias("text")), marks(cut, hashed), hashed, "touched")
     # Texts that lose nothing stay where they are.
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end")))
     none = F.array().cast(ArrayType(span))
@@ -341,10 +353,7 @@ def drop_repeats(
         F.when(F.col("text").isNull(), none).otherwise(whole.cast(ArrayType(span))).alias("spans"),
     )
     touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ["k1", "k2", "k3"], "left")
-    runs = _later_runs(docs.select(*keys, text.alias("text")), met.where(F.col("kind") == WINDOWS), keep(in_arrow(
-        touched.where("cut is not null").select("k1", "k2", "k3", "text", "cut"), _untouched(least_together), UNITS
-    ), "open"))
-    touched = touched.join(runs, ["k1", "k2", "k3"], "left").withColumn("cut", F.coalesce("cut", F.array()))
+    touched = touched.withColumn("cut", F.coalesce("cut", F.array()))
     schema = StructType([
         rows.schema["doc"], StructField("text", StringType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(span)),
