@@ -15,167 +15,216 @@ sentences, go word by word. They are found by windows of words, of which a choic
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cohortlab.llm.bits import marks, with_marked
-from cohortlab.llm.shingles import binary, signed_halves, text_key, word_hashes, word_list
-from cohortlab.llm.tables import field, in_arrow, keep, packed, unpacked
-from cohortlab.llm.windows import RUN, WINDOW, chosen, window_hashes
+from cohortlab.llm.shingles import binary, word_hashes, word_list
+from cohortlab.llm.tables import BLANK, field, in_arrow, keep, kept, packed, unpacked
+from cohortlab.llm.windows import RUN, WINDOW, chosen, run_hashes, window_hashes
 
 # Words that a line, a sentence or a run of them must have to be looked for elsewhere, and words that repeated
 # sentences that follow each other must have to go.
 LEAST_WORDS, LEAST_TOGETHER = 20, 40
-# Where a sentence ends and another one follows in its line.
-_ENDS = re.compile(rb"(?<=[.!?])[ \t]+")
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 # What a passage is made of. Texts that are hashed at once.
 LINES, SENTENCES, WINDOWS, RUNS = 0, 1, 2, 3
 TEXTS = 500
-UNITS = "k1 long, k2 boolean, k3 long, kind byte, place int, end int, h1 long, h2 long"
-
-
-def passages(lines: list[list[bytes]], least: int) -> list[tuple[int, int]]:
-    """First and last line of the passages of a text, given by the words of its lines; neither of them is blank."""
-    full = [i for i, words in enumerate(lines) if words]
-    n, ahead = len(full), [0]
-    for i in full:
-        ahead.append(ahead[-1] + len(lines[i]))
-    found = set()
-    # Two pointers over the lines with words: the shortest run from each line on, and up to each line.
-    last = 0
-    for first in range(n):
-        last = max(last, first)
-        while last < n and ahead[last + 1] - ahead[first] < least:
-            last += 1
-        if last == n:
-            break
-        found.add((first, last))
-    first = 0
-    for last in range(n):
-        while ahead[last + 1] - ahead[first + 1] >= least and first < last:
-            first += 1
-        if ahead[last + 1] - ahead[first] >= least:
-            found.add((first, last))
-    first = 0
-    for last in range(n):
-        if last + 1 == n or full[last + 1] > full[last] + 1:
-            if ahead[last + 1] - ahead[first] >= least:
-                found.add((first, last))
-            first = last + 1
-    return sorted((full[a], full[b]) for a, b in found)
-
-
-def sentences(text: bytes) -> list[list[tuple[int, int]]]:
-    """Where the sentences of each line begin and end; a line's blanks at its ends belong to them."""
-    out, at = [], 0
-    for line in text.split(b"\n"):
-        cuts = [m.span() for m in _ENDS.finditer(line) if m.end() < len(line)]
-        starts, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(line)]
-        out.append([(at + a, at + b) for a, b in zip(starts, ends, strict=True)])
-        at += len(line) + 1
-    return out
+KEYS = "k1 long, k2 boolean, k3 long"
+# ``place`` and ``end``: first and last sentence (of windows and runs: word); ``start`` and ``stop``: in words.
+UNITS = f"{KEYS}, kind byte, place int, end int, start int, stop int, h1 long, h2 long"
+SETTLED = f"{KEYS}, gone array<struct<place int, end int, start int, stop int>>, open array<struct<h1 long, h2 long>>"
+_IS_BLANK, _IS_SPACE, _IS_END = (np.isin(np.arange(256), [*map(ord, x)]) for x in (BLANK, " \t", ".!?"))
+_NEWLINE = ord("\n")
+# More than the words or sentences of any text.
+_FAR = 1 << 32
+
+
+@dataclass
+class Layout:
+    """Where the words, sentences and lines of texts stand that are joined by line ends.
+
+    ``begin``: each text, in bytes. ``words``, ``sentences``: from where to where. ``before``: words before each sentence.
+    ``lines``: first sentence of each line. ``of_sentence``, ``of_line``, ``of_word``: the first one of each text. Where one
+    ends, the next one starts, so all but ``words`` and ``sentences`` have one number more.
+    """
+
+    text: bytes
+    begin: np.ndarray
+    words: tuple[np.ndarray, np.ndarray]
+    sentences: tuple[np.ndarray, np.ndarray]
+    before: np.ndarray
+    lines: np.ndarray
+    of_sentence: np.ndarray
+    of_line: np.ndarray
+    of_word: np.ndarray
+
+
+def _spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a text that are inside start and stop; its last byte is outside."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate([[0], edges]) if inside[0] else edges
+    return edges[::2], edges[1::2]
+
+
+def laid_out(texts: list[bytes]) -> Layout:
+    """A sentence ends where another one follows in its line; a line's blanks at its ends belong to its sentences."""
+    text = b"\n".join(texts) + b"\n"
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    at = np.frombuffer(text, np.uint8)
+    words = _spans(~_IS_BLANK[at])
+    ends, starts = _spans(_IS_SPACE[at])
+    cut = _IS_END[at[ends - 1]] & (at[starts] != _NEWLINE)
+    line_ends = np.flatnonzero(at == _NEWLINE)
+    line_starts = np.concatenate([[0], line_ends[:-1] + 1])
+    starts = np.sort(np.concatenate([line_starts, starts[cut]]))
+    ends = np.sort(np.concatenate([line_ends, ends[cut]]))
+    before = np.append(np.searchsorted(words[0], starts), len(words[0]))
+    lines = np.append(np.searchsorted(starts, line_starts), len(starts))
+    of_sentence = np.searchsorted(starts, begin)
+    return Layout(
+        text, begin, words, (starts, ends), before, lines, of_sentence, np.searchsorted(line_starts, begin), before[of_sentence]
+    )
 
 
-def _units(batch: pa.RecordBatch, rows: np.ndarray, kinds, places, ends, h1, h2) -> pa.RecordBatch:
+def passages(before: np.ndarray, of_text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the passages of texts, given by the words before each line and the first line of each
+    text; neither of them is blank."""
+    full = np.flatnonzero(np.diff(before))
+    n = np.arange(len(full))
+    ahead = np.append(before[full], before[-1])
+    text = np.searchsorted(of_text, full, "right") - 1
+    first, last = np.searchsorted(full, of_text[text]), np.searchsorted(full, of_text[text + 1]) - 1
+    # Over the lines with words: the shortest run from each line on, and up to each line.
+    to = np.maximum(np.searchsorted(ahead, ahead[:-1] + least) - 1, n)
+    since = np.minimum(np.searchsorted(ahead, ahead[1:] - least, "right") - 1, n)
+    # Paragraphs.
+    heads = np.flatnonzero((n == first) | (np.diff(full, prepend=-2) > 1))
+    tails = np.append(heads[1:], len(full))[: len(heads)] - 1
+    enough = ahead[tails + 1] - ahead[heads] >= least
+    a = np.concatenate([n[to <= last], since[since >= first], heads[enough]])
+    b = np.concatenate([to[to <= last], n[since >= first], tails[enough]])
+    found = np.unique(a * (len(full) + 1) + b)
+    return full[found // (len(full) + 1)], full[found % (len(full) + 1)]
+
+
+def _units(batch: pa.RecordBatch, rows: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     taken = pa.array(rows, pa.int64())
-    columns = zip((kinds, places, ends, h1, h2), (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)
+    types = (pa.int8(), *[pa.int32()] * 4, *[pa.int64()] * 2)
+    *places, h1, h2 = columns
+    made = zip((*places, h1.view(np.int64), h2.view(np.int64)), types, strict=True)
     return pa.RecordBatch.from_arrays(
-        [*(batch.column(c).take(taken) for c in ("k1", "k2", "k3")), *(pa.array(x, t) for x, t in columns)],
-        names=["k1", "k2", "k3", "kind", "place", "end", "h1", "h2"],
+        [*(batch.column(c).take(taken) for c in ("k1", "k2", "k3")), *(pa.array(x.astype(t.to_pandas_dtype()), t) for x, t in made)],
+        names=["k1", "k2", "k3", "kind", "place", "end", "start", "stop", "h1", "h2"],
     )
 
 
-def _words_units(batch: pa.RecordBatch, kind: int, size: int, rows, places, one, two) -> pa.RecordBatch:
-    kinds = np.full(len(rows), kind, np.int8)
-    return _units(batch, rows, kinds, places, places + size - 1, one.view(np.int64), two.view(np.int64))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
 
 
 def _hasher(least: int) -> Callable:
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind, first and last part and digest of the passages of each text: of lines, of sentences (both counted in
-        sentences), and chosen windows (in words)."""
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, TEXTS):
-                batch = whole_batch.slice(at, TEXTS)
-                rows, found_in, digests, hashes = [], [], [], []
-                for i, text in enumerate(binary(batch.column("text"))):
-                    text = text or b""
-                    lines = [[word_list(text[a:b]) for a, b in line] for line in sentences(text)]
-                    first = [0]
-                    for line in lines:
-                        first.append(first[-1] + len(line))
-                    parts = [part for line in lines for part in line]
-                    words = [w for part in parts for w in part]
-                    hashes.append(word_hashes(words))
-                    # Where the words of each part begin in the text with one blank between all words.
-                    joined, begins = b" ".join(words), [0]
-                    for part in parts:
-                        begins.append(begins[-1] + sum(map(len, part)) + len(part))
-                    whole = [[w for part in line for w in part] for line in lines]
-                    found = [(LINES, first[a], first[b + 1] - 1) for a, b in passages(whole, least)]
-                    found += [(SENTENCES, a, b) for a, b in passages(parts, least)]
-                    rows.extend([i] * len(found))
-                    found_in.extend(found)
-                    digests.extend(signed_halves(joined[begins[a] : begins[b + 1] - 1]) for _, a, b in found)
-                if found_in:
-                    yield _units(batch, rows, *zip(*found_in, strict=True), *zip(*digests, strict=True))
-                sizes = [len(h) for h in hashes]
-                one, two = window_hashes(np.concatenate(hashes))
-                at_words = chosen(sizes, one)
-                start = np.cumsum([0, *sizes])
-                of = np.searchsorted(start, at_words, "right") - 1
-                yield _words_units(batch, WINDOWS, WINDOW, of, at_words - start[of], one[at_words], two[at_words])
+        """Kind, place and digest of the passages of each text: of lines, of sentences (both counted in sentences), and
+        chosen windows (in words)."""
+        for batch in _slices(batches):
+            at = laid_out([text or b"" for text in binary(batch.column("text"))])
+            hashes = word_hashes(word_list(at.text))
+            a, b = passages(at.before[at.lines], at.of_line, least)
+            for kind, place, end in (
+                (LINES, at.lines[a], at.lines[b + 1] - 1), (SENTENCES, *passages(at.before, at.of_sentence, least))
+            ):
+                rows = np.searchsorted(at.of_sentence, place, "right") - 1
+                start, stop, zero = at.before[place], at.before[end + 1], at.of_sentence[rows]
+                yield _units(
+                    batch, rows, np.full(len(rows), kind), place - zero, end - zero, start - at.of_word[rows],
+                    stop - at.of_word[rows], *run_hashes(hashes, start, stop, kind),
+                )
+            one, two = window_hashes(hashes)
+            start = chosen(np.diff(at.of_word), one)
+            rows = np.searchsorted(at.of_word, start, "right") - 1
+            place, kinds = start - at.of_word[rows], np.full(len(rows), WINDOWS)
+            yield _units(batch, rows, kinds, place, place + WINDOW - 1, place, place + WINDOW, one[start], two[start])
 
     return units
 
 
-def _untouched(least_together: int) -> Callable:
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The repeated windows that no line or sentence that goes cuts into."""
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """The row of each member of a list column, and its fields."""
+    members = column.flatten()
+    rows = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return rows, *(members.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+
+
+def _as_lists(n: int, rows: np.ndarray, kind: pa.DataType, **fields: np.ndarray) -> pa.Array:
+    """The other way round; rows in order."""
+    offsets = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x, kind) for x in fields.values()], names=[*fields]))
+
+
+def _merged(place: np.ndarray, end: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What passages that overlap or follow each other cover together, in sentences and in words."""
+    order = np.argsort(place, kind="stable")
+    place, end, start, stop = (x[order] for x in (place, end, start, stop))
+    end, stop = np.maximum.accumulate(end), np.maximum.accumulate(stop)
+    new = np.concatenate([np.ones(1, bool), place[1:] > end[:-1] + 1])[: len(place)]
+    last = np.append(np.flatnonzero(new)[1:], len(place))[: new.sum()] - 1
+    return place[new], end[last], start[new], stop[last]
+
+
+def _settler(least_together: int) -> Callable:
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sentences of each text that go, and the repeated windows that none of them cuts into."""
         for batch in batches:
-            rows, at_words, ones, twos = [], [], [], []
-            for i, (text, cut) in enumerate(zip(binary(batch.column("text")), batch.column("cut").to_pylist(), strict=True)):
-                found = np.array(sorted(c["place"] for c in cut if c["kind"] == WINDOWS), np.int64)
-                if not len(found):
-                    continue
-                lines = sentences(text)
-                places = [place for line in lines for place in line]
-                counts = [len(text[a:b].split()) for a, b in places]
-                gone = _gone(cut, counts, least_together)
-                lost = _lost(gone, counts)
-                found = found[lost[found + WINDOW] == lost[found]]
-                if len(found):
-                    one, two = window_hashes(word_hashes(word_list(text)))
-                    rows.append(np.full(len(found), i))
-                    at_words.append(found)
-                    ones.append(one[found])
-                    twos.append(two[found])
-            if rows:
-                yield _words_units(batch, WINDOWS, WINDOW, *map(np.concatenate, (rows, at_words, ones, twos)))
-
-    return windows
+            n = batch.num_rows
+            rows, kind, *places = _listed(batch.column("cut"), "kind", "place", "end", "start", "stop")
+            # The texts are laid out one after another.
+            places = [x + rows * _FAR for x in places]
+            together = _merged(*(x[kind == SENTENCES] for x in places))
+            enough = together[3] - together[2] >= least_together
+            gone = _merged(*(np.concatenate([x[kind == LINES], y[enough]]) for x, y in zip(places, together, strict=True)))
+            of = gone[0] // _FAR
+            where = dict(zip(("place", "end", "start", "stop"), (x - of * _FAR for x in gone), strict=True))
+            found, at, h1, h2 = _listed(batch.column("windows"), "place", "h1", "h2")
+            at = at + found * _FAR
+            near = np.searchsorted(gone[2], at + WINDOW)
+            free = np.concatenate([[-1], gone[3]])[near] <= at
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("k1", "k2", "k3")), _as_lists(n, of, pa.int32(), **where),
+                    _as_lists(n, found[free], pa.int64(), h1=h1[free], h2=h2[free]),
+                ],
+                names=["k1", "k2", "k3", "gone", "open"],
+            )
+
+    return settled
 
 
 def _runs_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs of 51 words that hold one of the asked windows."""
-    for batch in batches:
-        rows, at_words, digests = [], [], []
-        for i, (text, asked) in enumerate(zip(binary(batch.column("text")), batch.column("asked").to_pylist(), strict=True)):
-            words = word_list(text)
-            wanted = {s for p in asked for s in range(max(p + WINDOW - RUN, 0), min(p, len(words) - RUN) + 1)}
-            rows.extend([i] * len(wanted))
-            at_words.extend(wanted)
-            digests.extend(text_key(words[s : s + RUN]) for s in wanted)
-        if rows:
-            ends = [s + RUN - 1 for s in at_words]
-            yield _units(batch, rows, [RUNS] * len(rows), at_words, ends, *zip(*digests, strict=True))
+    for batch in _slices(batches):
+        at = laid_out(binary(batch.column("text")))
+        asked = batch.column("asked")
+        rows, begin = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy()), at.of_word
+        place = asked.flatten().to_numpy().astype(np.int64) + begin[rows]
+        least, most = np.maximum(place + WINDOW - RUN, begin[rows]), np.minimum(place, begin[rows + 1] - RUN)
+        some = most >= least
+        change = np.zeros(begin[-1] + 2, np.int64)
+        np.add.at(change, least[some], 1)
+        np.add.at(change, most[some] + 1, -1)
+        start = np.flatnonzero(change.cumsum() > 0)
+        rows = np.searchsorted(begin, start, "right") - 1
+        place, kinds = start - begin[rows], np.full(len(rows), RUNS)
+        digests = run_hashes(word_hashes(word_list(at.text)), start, start + RUN, RUNS)
+        yield _units(batch, rows, kinds, place, place + RUN - 1, place, place + RUN, *digests)
 
 
 def _rank() -> Column:
@@ -188,32 +237,6 @@ def _rank() -> Column:
     return (doc * F.lit(1 << 60).cast("decimal(19,0)") + bits).cast(wide)
 
 
-def _together(places: set[int], sizes: list[int], least: int) -> set[int]:
-    """Of some sentences, those that follow each other with enough words."""
-    out, run, words = set(), [], 0
-    for place in [*sorted(places), -1]:
-        if run and place != run[-1] + 1:
-            out |= set(run) if words >= least else set()
-            run, words = [], 0
-        run.append(place)
-        words += sizes[place]
-    return out
-
-
-def _gone(cut: list[dict], sizes: list[int], least_together: int) -> set[int]:
-    """The sentences that go, given by the repeated passages and the numbers of words of the sentences."""
-    gone, inside = set(), set()
-    for c in cut:
-        if c["kind"] in (LINES, SENTENCES):
-            (inside if c["kind"] == SENTENCES else gone).update(range(c["place"], c["end"] + 1))
-    return gone | _together(inside, sizes, least_together)
-
-
-def _lost(gone: set[int], sizes: list[int]) -> np.ndarray:
-    """Numbers of words before each word that are in sentences that go."""
-    return np.concatenate([[0], np.cumsum(np.repeat([k in gone for k in range(len(sizes))], sizes))])
-
-
 def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What overlapping runs cover together."""
     out: list[tuple[int, int]] = []
@@ -236,71 +259,80 @@ def _without(span: list[int], cuts: list[tuple[int, int]], text: bytes) -> list[
     return [*out, [start, end]] if start < end or not out and [start, end] == span else out
 
 
-def _cutter(least_together: int) -> Callable:
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What stays of each text, from where to where its parts stand in the original, and how many lines lost
-        something."""
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            texts, spans, counts = [], [], []
-            given = (binary(batch.column("text")), batch.column("cut").to_pylist(), batch.column("runs").to_pylist())
-            for text, cut, again in zip(*given, strict=True):
-                lines = sentences(text)
-                places = [place for line in lines for place in line]
-                sizes = [len(text[a:b].split()) for a, b in places]
-                gone = _gone(cut, sizes, least_together)
-                cuts = []
-                if again:
-                    lost = _lost(gone, sizes)
-                    runs = _joined([(r["place"], r["end"]) for r in again if lost[r["end"] + 1] == lost[r["place"]]])
-                    at = [m.span() for m in _WORDS.finditer(text)] if runs else ()
-                    cuts = [(at[a][0], at[b][1]) for a, b in runs]
-                kept, last = [], -2
-                for i, (start, end) in enumerate(places):
-                    if i in gone:
-                        continue
-                    if i == last + 1:
-                        kept[-1][1] = end
-                    else:
-                        kept.append([start, end])
-                    last = i
-                if cuts:
-                    kept = [part for span in kept for part in _without(span, cuts, text)]
-                texts.append(b"\n".join(text[a:b] for a, b in kept).decode())
-                # From bytes to characters.
-                at = chars = 0
-                for span in kept:
-                    for k in (0, 1):
-                        chars += len(text[at : span[k]].decode())
-                        at, span[k] = span[k], chars
-                spans.append([{"start": a, "end": b} for a, b in kept])
-                n, i = 0, 0
-                for line in lines:
-                    n += any(k in gone for k in range(i, i + len(line))) or any(
-                        line[0][0] < b and line[-1][1] > a for a, b in cuts
-                    )
-                    i += len(line)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, spans_type)],
-                names=["doc", "text", "n_removed", "spans"],
-            )
-
-    return cut_out
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stays of each text, from where to where its parts stand in the original, and how many lines lost
+    something."""
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        texts, spans, counts = [], [], []
+        given = (binary(batch.column("text")), batch.column("gone").to_pylist(), batch.column("runs").to_pylist())
+        for text, gone, again in zip(*given, strict=True):
+            at = laid_out([text])
+            starts, ends = (x.tolist() for x in at.sentences)
+            gone = gone or []
+            cuts = []
+            if again:
+                # Runs that no sentence that goes cuts into.
+                first = np.sort(np.array(again, np.int64))
+                lost = [np.array([g[k] for g in gone], np.int64) for k in ("start", "stop")]
+                near = np.searchsorted(lost[0], first + RUN)
+                first = first[np.concatenate([[-1], lost[1]])[near] <= first]
+                cuts = [
+                    (int(at.words[0][a]), int(at.words[1][b])) for a, b in _joined([(a, a + RUN - 1) for a in first.tolist()])
+                ]
+            sides = [-1, *(x for g in gone for x in (g["place"], g["end"])), len(starts)]
+            kept = [[starts[a + 1], ends[b - 1]] for a, b in zip(sides[::2], sides[1::2], strict=True) if b > a + 1]
+            if cuts:
+                kept = [part for span in kept for part in _without(span, cuts, text)]
+            texts.append(b"\n".join(text[a:b] for a, b in kept).decode())
+            # From bytes to characters.
+            done = chars = 0
+            for span in kept:
+                for k in (0, 1):
+                    chars += len(text[done : span[k]].decode())
+                    done, span[k] = span[k], chars
+            spans.append([{"start": a, "end": b} for a, b in kept])
+            lines = at.lines.tolist()
+            lost = {k for g in gone for k in range(g["place"], g["end"] + 1)}
+            counts.append(sum(
+                any(k in lost for k in range(i, j)) or any(starts[i] < b and ends[j - 1] > a for a, b in cuts)
+                for i, j in zip(lines, lines[1:], strict=False)
+            ))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, spans_type)],
+            names=["doc", "text", "n_removed", "spans"],
+        )
+
+
+def _first(units: DataFrame) -> DataFrame:
+    """The digests that are repeated, and the rank of the first document that has them. Written, so that joins can split
+    digests that are very common."""
+    first = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_rank()).alias("first")).where("n > 1")
+    return keep(first.drop("n"), "first")
+
+
+def _met(units: DataFrame) -> DataFrame:
+    """The passages whose digest is repeated, and whether they are in a later document than the first one that has it."""
+    h1 = F.col("h1")
+    with kept(units, "units") as units:
+        # Only what may be repeated, by half of its digest, is ranked and moves to the others that have the digest.
+        twice = units.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
+        often = keep(with_marked(units, marks(twice, h1), h1, "often").where("often").drop("often"), "often")
+    with_first = often.join(_first(often), ["h1", "h2"])
+    return keep(with_first.withColumn("later", _rank() > F.col("first")).drop("first"), "met")
 
 
 def _later_runs(docs: DataFrame, windows: DataFrame, open_windows: DataFrame) -> DataFrame:
-    """``(k1, k2, k3, runs)``: the runs of 51 words, around the open windows, that an earlier document has. ``windows``:
-    all places of the repeated windows; ``docs``: keys and texts."""
+    """``(k1, k2, k3, runs)``: where the runs of 51 words, around the open windows, begin that an earlier document has.
+    ``windows``: all places of the repeated windows; ``open_windows``: digests; ``docs``: keys and texts."""
     keys, content = ["k1", "k2", "k3"], ["h1", "h2"]
-    wanted = windows.join(open_windows.select(*content).distinct(), content, "left_semi")
+    wanted = windows.join(keep(open_windows.distinct(), "open"), content, "left_semi")
     asked = keep(wanted.groupBy(*keys).agg(F.collect_set("place").alias("asked")), "asked")
     hashed = F.xxhash64(*keys)
     texts = with_marked(docs, marks(asked, hashed), hashed, "wanted").where("wanted").drop("wanted").join(asked, keys)
-    runs = keep(in_arrow(texts, _runs_around, UNITS), "runs").withColumn("rank", _rank())
-    first = runs.groupBy(*content).agg(F.min("rank").alias("first"))
-    later = runs.join(first, content).where(F.col("rank") > F.col("first"))
-    return keep(later.groupBy(*keys).agg(F.collect_set(F.struct("place", "end")).alias("runs")), "later_runs")
+    runs = keep(in_arrow(texts, _runs_around, UNITS).select(*keys, "place", *content), "runs")
+    later = runs.join(_first(runs), content).where(_rank() > F.col("first"))
+    return keep(later.groupBy(*keys).agg(F.collect_set("place").alias("runs")), "later_runs")
 
 
 def drop_repeats(
@@ -320,30 +352,23 @@ def drop_repeats(
     """
     doc_id, text = field("doc_id").cast("long"), field("text").cast("string")
     keys = [F.coalesce(doc_id, F.lit(0)).alias("k1"), doc_id.isNull().alias("k2"), F.xxhash64(text).alias("k3")]
-    units = keep(in_arrow(docs.select(*keys, text.alias("text")), _hasher(least_words), UNITS), "units")
-    content = ["kind", "h1", "h2"]
-    first = units.groupBy(*content).agg(F.count("*").alias("n"), F.min(_rank()).alias("first")).where("n > 1")
-    first = keep(first.drop("n"), "first")
-    # Only what has a digest that may be repeated moves to the others that have it.
-    often = with_marked(units, marks(first, F.xxhash64(*content)), F.xxhash64(*content), "often").where("often")
-    met = often.drop("often").withColumn("rank", _rank()).join(first, content)
-    places = ["k1", "k2", "k3", "kind", "place", "end"]
-    later = met.where(F.col("rank") > F.col("first")).select(*places)
+    ids, content = ["k1", "k2", "k3"], ["h1", "h2"]
+    met = _met(in_arrow(docs.select(*keys, text.alias("text")), _hasher(least_words), UNITS))
     # In the first document itself; passages with one content that start at different places end in the same order.
     upper = F.min("end").over(Window.partitionBy(*content))
-    own = met.where((F.col("rank") == F.col("first")) & (F.col("kind") != WINDOWS))
-    again = own.withColumn("upper", upper).where("place > upper").select(*places)
-    cut = later.unionAll(again).groupBy("k1", "k2", "k3").agg(F.collect_set(F.struct("kind", "place", "end")).alias("cut"))
-    cut = keep(cut, "cuts")
+    own = met.where(~F.col("later") & (F.col("kind") != WINDOWS))
+    again = own.withColumn("upper", upper).where("place > upper").drop("upper")
+    passage = F.when(F.col("kind") != WINDOWS, F.struct("kind", "place", "end", "start", "stop"))
+    window = F.when(F.col("kind") == WINDOWS, F.struct("place", "h1", "h2"))
+    cut = met.where("later").unionByName(again).groupBy(*ids)
+    cut = cut.agg(F.collect_set(passage).alias("cut"), F.collect_set(window).alias("windows"))
+    cut = keep(in_arrow(cut, _settler(least_together), SETTLED), "cuts")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     keyed, hashed = docs.select(*keys, text.alias("text")), F.xxhash64("k1", "k2", "k3")
-    near = cut.where(F.exists("cut", lambda c: c["kind"] == WINDOWS))
-    near = with_marked(keyed, marks(near, hashed), hashed, "near").where("near").join(near, ["k1", "k2", "k3"])
-    near = keep(in_arrow(near.select("k1", "k2", "k3", "text", "cut"), _untouched(least_together), UNITS), "open")
-    runs = _later_runs(keyed, met.where(F.col("kind") == WINDOWS), near)
+    open_windows = cut.select(F.explode("open").alias("o")).select("o.*")
+    runs = _later_runs(keyed, met.where(F.col("kind") == WINDOWS), open_windows)
     # Only what may lose something is cut.
-    cut = cut.withColumn("cut", F.filter("cut", lambda c: c["kind"] != WINDOWS)).where(F.size("cut") > 0)
-    cut = keep(cut.join(runs, ["k1", "k2", "k3"], "full"), "all_cuts")
+    cut = keep(cut.where(F.size("gone") > 0).drop("open").join(runs, ids, "full"), "all_cuts")
     rows = with_marked(packed(docs, *keys, text.alias("text")), marks(cut, hashed), hashed, "touched")
     # Texts that lose nothing stay where they are.
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end")))
@@ -352,11 +377,10 @@ def drop_repeats(
         "doc", "text", F.lit(0).cast("long").alias("n_removed"),
         F.when(F.col("text").isNull(), none).otherwise(whole.cast(ArrayType(span))).alias("spans"),
     )
-    touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ["k1", "k2", "k3"], "left")
-    touched = touched.withColumn("cut", F.coalesce("cut", F.array()))
+    touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ids, "left")
     schema = StructType([
         rows.schema["doc"], StructField("text", StringType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(span)),
     ])
-    done = in_arrow(touched.select("doc", "text", "cut", "runs"), _cutter(least_together), schema)
+    done = in_arrow(touched.select("doc", "text", "gone", "runs"), _cut_out, schema)
     return unpacked(same.unionAll(done), docs.columns, F.col("text"), F.col("n_removed"), F.col("spans"))

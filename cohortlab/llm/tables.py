@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.session import new_folder
+from cohortlab.session import new_folder, scratch
 
 # What separates words, as a pattern and as a set of characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -29,7 +30,17 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 
     It cuts the lineage, outlives lost executors, and fixes whatever a rerun could number differently.
     """
-    path = new_folder(df.sparkSession, label)
+    return _written(df, new_folder(df.sparkSession, label))
+
+
+@contextmanager
+def kept(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """Like ``keep`` for what is no longer read after its ``with`` block: the copy is removed then."""
+    with scratch(df.sparkSession, label) as path:
+        yield _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

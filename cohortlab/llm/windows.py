@@ -15,6 +15,8 @@ from cohortlab.llm.shingles import _mixed
 WINDOW, RUN = 26, 51
 _K = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
+# Factors of the run hashes: 5 modulo 8, so that powers repeat as late as they can.
+_FACTORS = 0xD1342543DE82EF95, 0x9FB21C651E98DF25
 
 
 def _joined(a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
@@ -37,6 +39,21 @@ def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _lane(_mixed(h)), _lane(_mixed(h ^ _OTHER))
 
 
+def _powers(factor: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.full(n, factor, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+def run_hashes(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of a sequence, given by the hashes of its words and where it starts and stops; runs of
+    different kinds differ. Each is a difference of two sums over the sequence, so a run costs the same at any length."""
+    out = []
+    for words, factor in zip((_mixed(h), _mixed(h ^ _OTHER)), _FACTORS, strict=True):
+        sums = np.concatenate([np.zeros(1, np.uint64), (words * _powers(factor, len(h))[:-1]).cumsum(dtype=np.uint64)])
+        moved = (sums[stops] - sums[starts]) * _powers(pow(factor, -1, 1 << 64), len(h))[starts]
+        out.append(_mixed(moved + (stops - starts).astype(np.uint64) * _K + np.uint64(kind)))
+    return out[0], out[1]
+
+
 def _extreme(x: np.ndarray, least: np.ufunc) -> np.ndarray:
     """Of each 26 numbers in a row."""
     two = least(x[:-1], x[1:])

@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 from cases import edge_documents, empty_documents
 from conftest import MEDIUM
 
-from cohortlab.llm import lines, windows
+from cohortlab.llm import lines, shingles, windows
 from cohortlab.llm.queries import REGISTRY
 
 
@@ -235,3 +237,85 @@ def test_chosen_windows_meet_in_every_run():
         of_first = {(one[i], two[i]) for i in at if i < sizes[0]}
         assert of_first & {(one[i], two[i]) for i in at if i >= sizes[0]}
         assert all(i + windows.WINDOW <= sizes[0] or i >= sizes[0] for i in at)
+
+
+def test_layout_against_brute_force():
+    """Words, sentences, lines and passages of many texts at once."""
+    rng = random.Random(11)
+    texts = ["", " ", ". a", "a. ", "\n", "a.\r\nb. \r c!\t\x0bd? \n.", "Oh! no", " b.\x0c c"]
+    texts += ["".join(rng.choices(["a", "bc", "d", ".", "?", " ", "\t", "\n", "\n\n", "\r", " . "], k=rng.randrange(300))) for _ in range(80)]
+    at = lines.laid_out([t.encode() for t in texts])
+    assert [at.text[a:b] for a, b in zip(*at.words, strict=True)] == [w for t in texts for w in t.encode().split()]
+    assert at.of_word.tolist() == np.cumsum([0, *(len(t.encode().split()) for t in texts)]).tolist()
+    found = {kind: list(zip(*lines.passages(before, of, 5), strict=True)) for kind, before, of in (
+        ("line", at.before[at.lines], at.of_line), ("sentence", at.before, at.of_sentence)
+    )}
+    for i, text in enumerate(texts):
+        a, b = at.of_sentence[i], at.of_sentence[i + 1]
+        by_line = parts_of(text)
+        places = [p for line in by_line for p in line]
+        assert places == [(x - at.begin[i], y - at.begin[i]) for x, y in zip(at.sentences[0][a:b], at.sentences[1][a:b], strict=True)]
+        assert np.diff(at.before[a : b + 1]).tolist() == [len(text[x:y].encode().split()) for x, y in places]
+        assert np.diff(at.lines[at.of_line[i] : at.of_line[i + 1] + 1]).tolist() == [len(line) for line in by_line]
+        words = {"line": [x.encode().split() for x in text.split("\n")], "sentence": [text[x:y].encode().split() for x, y in places]}
+        for kind, of in (("line", at.of_line), ("sentence", at.of_sentence)):
+            assert [(x - of[i], y - of[i]) for x, y in found[kind] if of[i] <= x < of[i + 1]] == runs(words[kind], 5)
+
+
+def test_settled_against_brute_force():
+    """Sentences that go and windows that none of them cuts into, of many texts at once."""
+    rng = random.Random(12)
+    rows, want = [], []
+    for i in range(60):
+        sizes = [rng.randrange(9) for _ in range(rng.randrange(1, 40))]
+        before = [0, *np.cumsum(sizes).tolist()]
+        cut, gone, inside = [], set(), set()
+        for _ in range(rng.randrange(7)):
+            kind, a = rng.randrange(2), rng.randrange(len(sizes))
+            b = min(a + rng.randrange(6), len(sizes) - 1)
+            if sizes[a] and sizes[b]:  # passages begin and end with words
+                cut.append({"kind": kind, "place": a, "end": b, "start": before[a], "stop": before[b + 1]})
+                (inside if kind else gone).update(range(a, b + 1))
+        for a in range(len(sizes)):
+            b = next(b for b in range(a, len(sizes) + 1) if b not in inside)
+            if a - 1 not in inside and before[b] - before[a] >= 15:
+                gone |= set(range(a, b))
+        lost = {w for k in gone for w in range(before[k], before[k + 1])}
+        at = rng.sample(range(400), 5)
+        rows.append({
+            "k1": i, "k2": False, "k3": -i, "cut": cut, "windows": [{"place": w, "h1": w, "h2": -w} for w in at],
+        })
+        want.append((gone, [w for w in at if not lost & set(range(w, w + windows.WINDOW))]))
+    passage = pa.list_(pa.struct([("kind", pa.int8()), *((n, pa.int32()) for n in ("place", "end", "start", "stop"))]))
+    window = pa.list_(pa.struct([("place", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    kinds = pa.schema({"k1": pa.int64(), "k2": pa.bool_(), "k3": pa.int64(), "cut": passage, "windows": window})
+    batch = pa.RecordBatch.from_pylist(rows, kinds)
+    # Whole and in parts, which begin inside the columns.
+    for batches in ([batch], [batch.slice(0, 17), batch.slice(17)]):
+        got = [r for b in lines._settler(15)(iter(batches)) for r in b.to_pylist()]
+        assert [{k for g in r["gone"] for k in range(g["place"], g["end"] + 1)} for r in got] == [w[0] for w in want]
+        assert [[w["h1"] for w in r["open"]] for r in got] == [w[1] for w in want]
+
+
+def test_hashing_passages_costs_little_beside_words():
+    """Over the budget of 960 CPU seconds a GB before: passages were hashed one by one, at many times what words cost."""
+    rng = random.Random(13)
+
+    def text():
+        sentence = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(3, 30))) + "."
+        return "\n".join(" ".join(sentence() for _ in range(3)) for _ in range(10))
+
+    texts = [text() for _ in range(1000)]
+    n = pa.array(range(1000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, pa.array([False] * 1000), n, pa.array(texts)], names=["k1", "k2", "k3", "text"])
+
+    def seconds(work):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    words = seconds(lambda: [shingles.word_hashes(shingles.word_list(t.encode())) for t in texts])
+    assert seconds(lambda: list(lines._hasher(lines.LEAST_WORDS)(iter([batch])))) < 4 * words
