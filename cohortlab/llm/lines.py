@@ -29,6 +29,7 @@ from cohortlab.llm.bits import marks, with_marked
 from cohortlab.llm.shingles import binary, word_hashes, word_list
 from cohortlab.llm.tables import BLANK, field, in_arrow, keep, kept, packed, unpacked
 from cohortlab.llm.windows import RUN, WINDOW, chosen, run_hashes, window_hashes
+from cohortlab.session import passing_shuffles, remove_folder, scratch
 
 # Words that a line, a sentence or a run of them must have to be looked for elsewhere, and words that repeated
 # sentences that follow each other must have to go.
@@ -36,6 +37,8 @@ LEAST_WORDS, LEAST_TOGETHER = 20, 40
 # What a passage is made of. Texts that are hashed at once.
 LINES, SENTENCES, WINDOWS, RUNS = 0, 1, 2, 3
 TEXTS = 500
+# Parts of the passages, by digest, that are gone through one after another.
+PARTS = 4
 KEYS = "k1 long, k2 boolean, k3 long"
 # ``place`` and ``end``: first and last sentence (of windows and runs: word); ``start`` and ``stop``: in words.
 UNITS = f"{KEYS}, kind byte, place int, end int, start int, stop int, h1 long, h2 long"
@@ -305,21 +308,34 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first(units: DataFrame) -> DataFrame:
-    """The digests that are repeated, and the rank of the first document that has them. Written, so that joins can split
-    digests that are very common."""
+    """The digests that are repeated, and the rank of the first document that has them. To be written, so that joins can
+    split digests that are very common."""
     first = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_rank()).alias("first")).where("n > 1")
-    return keep(first.drop("n"), "first")
+    return first.drop("n")
 
 
-def _met(units: DataFrame) -> DataFrame:
-    """The passages whose digest is repeated, and whether they are in a later document than the first one that has it."""
-    h1 = F.col("h1")
-    with kept(units, "units") as units:
-        # Only what may be repeated, by half of its digest, is ranked and moves to the others that have the digest.
-        twice = units.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
-        often = keep(with_marked(units, marks(twice, h1), h1, "often").where("often").drop("often"), "often")
-    with_first = often.join(_first(often), ["h1", "h2"])
-    return keep(with_first.withColumn("later", _rank() > F.col("first")).drop("first"), "met")
+def _met(units: DataFrame, path: str) -> DataFrame:
+    """The passages whose digest is repeated, and whether they are in a later document than the first one that has it;
+    written to ``path``.
+
+    The passages are written in parts by their digests, which are gone through one after another: what is shuffled for a
+    part goes before the next one, and so does the part.
+    """
+    spark, h1 = units.sparkSession, F.col("h1")
+    with scratch(spark, "units") as folder:
+        dealt = units.withColumn("part", F.pmod("h2", F.lit(PARTS)).cast("int"))
+        dealt.write.option("compression", "zstd").partitionBy("part").parquet(folder)
+        for k in range(PARTS):
+            part = spark.read.schema(dealt.schema).parquet(folder).where(F.col("part") == k).drop("part")
+            # Only what may be repeated, by half of its digest, is ranked and moves to the others that have the digest.
+            twice = part.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
+            may_be = with_marked(part, marks(twice, h1), h1, "often").where("often").drop("often")
+            with kept(may_be, "often") as often:
+                remove_folder(spark, f"{folder}/part={k}")
+                with kept(_first(often), "first") as first:
+                    met = often.join(first, ["h1", "h2"]).withColumn("later", _rank() > F.col("first")).drop("first")
+                    met.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(met.schema).parquet(path)
 
 
 def _later_runs(docs: DataFrame, windows: DataFrame, open_windows: DataFrame) -> DataFrame:
@@ -330,9 +346,29 @@ def _later_runs(docs: DataFrame, windows: DataFrame, open_windows: DataFrame) ->
     asked = keep(wanted.groupBy(*keys).agg(F.collect_set("place").alias("asked")), "asked")
     hashed = F.xxhash64(*keys)
     texts = with_marked(docs, marks(asked, hashed), hashed, "wanted").where("wanted").drop("wanted").join(asked, keys)
-    runs = keep(in_arrow(texts, _runs_around, UNITS).select(*keys, "place", *content), "runs")
-    later = runs.join(_first(runs), content).where(_rank() > F.col("first"))
-    return keep(later.groupBy(*keys).agg(F.collect_set("place").alias("runs")), "later_runs")
+    with kept(in_arrow(texts, _runs_around, UNITS).select(*keys, "place", *content), "runs") as runs:
+        with kept(_first(runs), "first") as first:
+            later = runs.join(first, content).where(_rank() > F.col("first"))
+            return keep(later.groupBy(*keys).agg(F.collect_set("place").alias("runs")), "later_runs")
+
+
+def _all_cuts(docs: DataFrame, least_words: int, least_together: int) -> DataFrame:
+    """``(k1, k2, k3, gone, runs)``: the sentences and the runs that go, of each text that loses any."""
+    ids, content, spark = ["k1", "k2", "k3"], ["h1", "h2"], docs.sparkSession
+    with scratch(spark, "met") as path:
+        met = _met(in_arrow(docs, _hasher(least_words), UNITS), path)
+        # In the first document itself; passages with one content that start at different places end in the same order.
+        upper = F.min("end").over(Window.partitionBy(*content))
+        own = met.where(~F.col("later") & (F.col("kind") != WINDOWS))
+        again = own.withColumn("upper", upper).where("place > upper").drop("upper")
+        passage = F.when(F.col("kind") != WINDOWS, F.struct("kind", "place", "end", "start", "stop"))
+        window = F.when(F.col("kind") == WINDOWS, F.struct("place", "h1", "h2"))
+        cut = met.where("later").unionByName(again).groupBy(*ids)
+        cut = cut.agg(F.collect_set(passage).alias("cut"), F.collect_set(window).alias("windows"))
+        cut = keep(in_arrow(cut, _settler(least_together), SETTLED), "cuts")
+        open_windows = cut.select(F.explode("open").alias("o")).select("o.*")
+        runs = _later_runs(docs, met.where(F.col("kind") == WINDOWS), open_windows)
+        return keep(cut.where(F.size("gone") > 0).drop("open").join(runs, ids, "full"), "all_cuts")
 
 
 def drop_repeats(
@@ -352,23 +388,10 @@ def drop_repeats(
     """
     doc_id, text = field("doc_id").cast("long"), field("text").cast("string")
     keys = [F.coalesce(doc_id, F.lit(0)).alias("k1"), doc_id.isNull().alias("k2"), F.xxhash64(text).alias("k3")]
-    ids, content = ["k1", "k2", "k3"], ["h1", "h2"]
-    met = _met(in_arrow(docs.select(*keys, text.alias("text")), _hasher(least_words), UNITS))
-    # In the first document itself; passages with one content that start at different places end in the same order.
-    upper = F.min("end").over(Window.partitionBy(*content))
-    own = met.where(~F.col("later") & (F.col("kind") != WINDOWS))
-    again = own.withColumn("upper", upper).where("place > upper").drop("upper")
-    passage = F.when(F.col("kind") != WINDOWS, F.struct("kind", "place", "end", "start", "stop"))
-    window = F.when(F.col("kind") == WINDOWS, F.struct("place", "h1", "h2"))
-    cut = met.where("later").unionByName(again).groupBy(*ids)
-    cut = cut.agg(F.collect_set(passage).alias("cut"), F.collect_set(window).alias("windows"))
-    cut = keep(in_arrow(cut, _settler(least_together), SETTLED), "cuts")
-    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     keyed, hashed = docs.select(*keys, text.alias("text")), F.xxhash64("k1", "k2", "k3")
-    open_windows = cut.select(F.explode("open").alias("o")).select("o.*")
-    runs = _later_runs(keyed, met.where(F.col("kind") == WINDOWS), open_windows)
-    # Only what may lose something is cut.
-    cut = keep(cut.where(F.size("gone") > 0).drop("open").join(runs, ids, "full"), "all_cuts")
+    with passing_shuffles(docs.sparkSession):
+        cut = _all_cuts(keyed, least_words, least_together)
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     rows = with_marked(packed(docs, *keys, text.alias("text")), marks(cut, hashed), hashed, "touched")
     # Texts that lose nothing stay where they are.
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end")))
@@ -377,7 +400,7 @@ def drop_repeats(
         "doc", "text", F.lit(0).cast("long").alias("n_removed"),
         F.when(F.col("text").isNull(), none).otherwise(whole.cast(ArrayType(span))).alias("spans"),
     )
-    touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ids, "left")
+    touched = rows.where(F.col("touched") & F.col("text").isNotNull()).join(cut, ["k1", "k2", "k3"], "left")
     schema = StructType([
         rows.schema["doc"], StructField("text", StringType()), StructField("n_removed", LongType()),
         StructField("spans", ArrayType(span)),

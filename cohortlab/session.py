@@ -121,6 +121,19 @@ def remove_folder(spark: SparkSession, path: str) -> None:
         _MADE.remove(path)
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a query that starts in the ``with`` block shuffles is removed when the query ends, not when the driver
+    happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def passing_folders(spark: SparkSession) -> Iterator[None]:
     """For a job that ends in its ``with`` block: the folders that are made in it are removed afterwards."""

@@ -1,12 +1,14 @@
 import random
 import re
 import time
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from cases import edge_documents, empty_documents
 from conftest import MEDIUM
 
+from cohortlab import session
 from cohortlab.llm import lines, shingles, windows
 from cohortlab.llm.queries import REGISTRY
 
@@ -319,3 +321,39 @@ def test_hashing_passages_costs_little_beside_words():
 
     words = seconds(lambda: [shingles.word_hashes(shingles.word_list(t.encode())) for t in texts])
     assert seconds(lambda: list(lines._hasher(lines.LEAST_WORDS)(iter([batch])))) < 4 * words
+
+
+def test_copies_and_shuffles_of_passages_go(spark, monkeypatch):
+    """Over four times the input on disk before: all repeated passages were moved at once, and copies and shuffles stayed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rng = random.Random(14)
+    text = lambda: "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + "." for _ in range(4))
+    texts = [text() for _ in range(50)]
+    docs = [(i, f"{texts[i % 50]}\n{text()}") for i in range(150)]
+    rows, kept = [], lines.kept
+
+    @contextmanager
+    def counted(df, label):
+        with kept(df, label) as out:
+            rows.append((label, out.count()))
+            yield out
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i)) for i in range(files.size()) if "shuffle_" in str(files.apply(i))}
+
+    monkeypatch.setattr(lines, "kept", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    folders, before, value = set(session._MADE), shuffled(), spark.conf.get(name, None)
+    out = lines.drop_repeats(df)
+    left = {path.split("/")[-1].rsplit("-", 1)[0] for path in session._MADE if path not in folders}
+    assert left <= {"cuts", "open", "asked", "later_runs", "all_cuts"}
+    assert spark.conf.get(name, None) == value
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not shuffled() - before
+    sizes = [n for label, n in rows if label == "often"]
+    assert len(sizes) == lines.PARTS and 0 < max(sizes) < 0.5 * sum(sizes)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()}
+    assert got == {i: (t, 0) if i < 50 else (t.split("\n", 4)[4], 4) for i, t in docs}
