@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import round_even
+from cohortlab.operators import boosts
 from cohortlab.operators.features import SEED, Encoding, double, quoted
 from cohortlab.session import scratch, shared_folder
 from cohortlab.spec import CohortSpec
@@ -106,11 +107,61 @@ def in_few_tasks(rows: DataFrame, n: int) -> DataFrame:
     return rows.coalesce(max(1, -(-n // ROWS_PER_TASK)))
 
 
-def staged_errors(rows: DataFrame, fold: int, **params: Any) -> list[float]:
+# Parameters that may differ between boosts that grow together.
+TOGETHER = {"maxIter", "maxDepth", "stepSize", "subsamplingRate"}
+
+
+@dataclass(frozen=True)
+class Grown:
+    """Boosts of the same rows that were grown together: errors on the fold left out, or trees, of each."""
+
+    layout: boosts.Layout
+    found: dict[boosts.Boost, tuple[list[float], list[boosts.Tree]]]
+
+
+def boost_of(rows: DataFrame, fold: int | None, **params: Any) -> boosts.Boost | None:
+    """The boost that Spark's learner fits to the rows of all other folds; none if it can only do so itself."""
+    learner = regressor(**params)
+    kinds = rows.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    depth, trees = learner.getMaxDepth(), learner.getMaxIter()
+    if set(params) - TOGETHER or {"nominal", "binary"} & set(kinds) or not 1 <= depth <= boosts.DEEPEST or trees < 1:
+        return None
+    return boosts.Boost(fold, trees, depth, learner.getStepSize(), learner.getSubsamplingRate())
+
+
+def at_once(rows: DataFrame) -> int:
+    """How many jobs over the rows leave each of them a core for every partition."""
+    return max(1, rows.sparkSession.sparkContext.defaultParallelism // rows.rdd.getNumPartitions())
+
+
+def grow_together(rows: DataFrame, wanted: Sequence[boosts.Boost], parallelism: int | None = None) -> Grown:
+    """Fit the boosts in ``parallelism`` groups. Those of one group share every pass over the rows."""
+    learner, folds = regressor(), list(dict.fromkeys(b.fold for b in wanted))
+    layout = boosts.layout_of(rows, learner, folds)
+    if parallelism is None:
+        alone = layout.rows <= boosts.HELD
+        parallelism = rows.sparkSession.sparkContext.defaultParallelism if alone else at_once(rows)
+    # Boosts of one fold share the rows drawn for a tree.
+    ordered = sorted(wanted, key=lambda b: folds.index(b.fold))
+    size = -(-len(ordered) // parallelism)
+    groups = [ordered[i : i + size] for i in range(0, len(ordered), size)]
+    return Grown(layout, boosts.grow(rows, layout, groups, learner.getSeed(), CHECKPOINTS))
+
+
+def staged_errors(rows: DataFrame | Grown, fold: int, **params: Any) -> list[float]:
     """Mean absolute error on a fold after 1, 2, 3 and so on of the trees fitted to the other folds.
 
     A boost of 100 trees is the first half of one of 200, so one fit tells the errors of all smaller numbers of trees.
+    ``rows`` may be boosts that have been grown already.
     """
+    if isinstance(rows, Grown):
+        learner = regressor(**params)
+        boost = boosts.Boost(fold, learner.getMaxIter(), learner.getMaxDepth(), learner.getStepSize(), learner.getSubsamplingRate())
+        return rows.found[boost][0]
+    boost = boost_of(rows, fold, **params)
+    if boost is not None:
+        shared_folder(rows.sparkSession)
+        return grow_together(rows, [boost]).found[boost][0]
     model = regressor(**params).fit(rows.where(F.col("fold") != fold).select("features", "label"))
     return list(model.evaluateEachIteration(rows.where(F.col("fold") == fold).select("features", "label"), "absolute"))
 
@@ -124,8 +175,9 @@ def tune_trees(
     """Cross-validated grid on the log scale: best model refitted on all rows, and every mean error.
 
     ``rows`` has a ``fold`` column in ``[0, k)``, see ``features.folds``. The numbers of trees of the grid share one fit
-    per fold and other parameters. ``parallelism`` fits run at once; by default as many as leave each of them a core
-    for every partition of the rows. Equal errors: the first combination is the best.
+    per fold and other parameters, and the fits to all rows grow beside those to the folds. ``parallelism`` groups of
+    fits run at once; by default one for each core if a task holds all rows, otherwise as many as leave each of them a
+    core for every partition of the rows. Equal errors: the first combination is the best.
     """
     shared_folder(rows.sparkSession)
     grid = {name: list(values) for name, values in (grid or GRID).items()}
@@ -136,15 +188,14 @@ def tune_trees(
         others = tuple((n, v) for n, v in point.items() if n != "maxIter")
         fits[others] = max(fits.get(others, 0), point.get("maxIter", default))
     jobs = [(others, fold) for others in fits for fold in range(k)]
-    if parallelism is None:
-        cores = rows.sparkSession.sparkContext.defaultParallelism
-        parallelism = max(1, min(len(jobs), cores // rows.rdd.getNumPartitions()))
+    wanted = {(others, fold): boost_of(rows, fold, **dict(others), maxIter=fits[others]) for others in fits for fold in (*range(k), None)}
+    grown = grow_together(rows, list(dict.fromkeys(wanted.values())), parallelism) if all(wanted.values()) else None
 
     def errors(job: tuple) -> list[float]:
         others, fold = job
-        return staged_errors(rows, fold, **dict(others), maxIter=fits[others])
+        return staged_errors(grown or rows, fold, **dict(others), maxIter=fits[others])
 
-    with ThreadPoolExecutor(parallelism) as pool:
+    with ThreadPoolExecutor(min(len(jobs), parallelism or at_once(rows))) as pool:
         by_job = dict(zip(jobs, pool.map(inheritable_thread_target(rows.sparkSession)(errors), jobs), strict=True))
     table = []
     for point in points:
@@ -155,7 +206,12 @@ def tune_trees(
     for t in table:
         t["is_best"] = t["mae_log"] == best
     chosen = points[next(i for i, t in enumerate(table) if t["is_best"])]
-    return regressor(**chosen).fit(rows.select("features", "label")), table
+    learner = regressor(**chosen)
+    if grown is None:
+        return learner.fit(rows.select("features", "label")), table
+    whole = wanted[tuple((n, v) for n, v in chosen.items() if n != "maxIter"), None]
+    trees = grown.found[whole][1][: learner.getMaxIter()]
+    return boosts.model_of(rows.sparkSession, learner, grown.layout, None, trees, whole.step), table
 
 
 def grid_table(df: DataFrame, table: Sequence[Mapping[str, Any]]) -> DataFrame:
